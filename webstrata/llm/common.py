@@ -19,18 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables between steps: what the cluster names in spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    return "file:///tmp/webstrata-checkpoints"
+    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/webstrata-checkpoints"
+
+
+#: Folders that cut() has written and sweep() hasn't deleted.
+WRITTEN: list[str] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and return it from there: lineage ends, and any executor may be lost afterwards."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    """Write df as a table in the shared folder and return it from there: lineage ends, and any executor may be lost afterwards."""
+    path = f"{shared_dir(df.sparkSession)}/webstrata-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables of cut(), once no DataFrame that reads them is needed any more."""
+    while WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def parts(df: DataFrame) -> int:
