@@ -74,3 +74,24 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def hashed_sample(df: DataFrame, by: str, limit: int, *key: str) -> DataFrame:
+    """At most `limit` rows of each value of `by` (few values), those with the least hash of `key`; column `weight` is the number of rows that each stands for."""
+    h = F.xxhash64(*key, F.lit("sample"))
+    out = None
+    for row in df.groupBy(by).count().orderBy(F.desc("count"), by).limit(256).collect():
+        own = df.where(F.col(by) == row[by]) if row[by] is not None else df.where(F.col(by).isNull())
+        n = row["count"]
+        if n > 4 * limit:  # leaves about twice as many as wanted, so that top-k moves little
+            own = own.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int((1 << 30) * 2 * limit / n)))
+        own = own.withColumn("_h", h).orderBy("_h", *key).limit(limit).drop("_h").withColumn("weight", F.lit(max(1.0, n / limit)))
+        out = own if out is None else out.unionByName(own)
+    return df.where("false").withColumn("weight", F.lit(1.0)) if out is None else out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int) -> DataFrame:
+    """text, y and weight of at most 2 * limit labelled documents for which `learn` (of doc_id) holds. Only their ids are broadcast."""
+    marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(learn & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
+    ids = cut(hashed_sample(marked, "y", limit, "doc_id").dropDuplicates(["doc_id"]))
+    return cut(docs.select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 1 << 20).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y", "weight"))

@@ -33,11 +33,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_token_counts": op7_token_counts,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_language_id": op8_language_id,
+    "op3_quality_classifier": op3_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
