@@ -31,3 +31,14 @@ def test_defined_for_odd_rows(spark, library):
     out = count_tokens(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")).collect()
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in out) == [(0, 15000, 3000, True), (1, 0, 0, False), (2, 0, 0, False), (3, 11, 2, False), (3, 11, 2, False)]
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_batches_match_the_library(library):
+    from webstrata.llm.bpe import BatchEncoder
+
+    encoder = BatchEncoder(vocabulary_path(), limit=300)
+    all_texts = texts() + [" ".join(["the", "Thtionha,", "loweiä"] * 30)]
+    for k in range(0, len(all_texts), 50):
+        part = all_texts[k : k + 50]
+        for text, data in zip(part, encoder.encode([t.encode() for t in part]), strict=True):
+            assert memoryview(data).cast("I").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)

@@ -91,7 +91,7 @@ def hashed_sample(df: DataFrame, by: str, limit: int, *key: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int) -> DataFrame:
-    """text, y and weight of at most 2 * limit labelled documents for which `learn` (of doc_id) holds. Only their ids are broadcast."""
+    """text, y, weight and doc_id of at most 2 * limit labelled documents for which `learn` (of doc_id) holds. Only their ids are broadcast."""
     marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(learn & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     ids = cut(hashed_sample(marked, "y", limit, "doc_id").dropDuplicates(["doc_id"]))
-    return cut(docs.select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 1 << 20).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y", "weight"))
+    return cut(docs.select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 1 << 20).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y", "weight", "doc_id"))
