@@ -51,6 +51,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .cws import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_token_counts": op7_token_counts,
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op10_toxicity": op10_toxicity,
     "op9_substring_dedup": op9_substring_dedup,
+    "op5_fingerprints": op5_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
