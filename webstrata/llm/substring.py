@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, parts
+from .common import as_bytes, bounded_batches
 
 WIDTH, FLUSH, PART_BYTES = 20, 1_000_000, 12 << 20
 U = np.uint64
@@ -92,7 +92,7 @@ def probe_rows(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, block:
     first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     many = np.diff(np.r_[first, len(h)]) > 1
     repeated = np.repeat(many, np.diff(np.r_[first, len(h)]))
-    sure = order[repeated & aligned]
+    sure = np.array_split(np.sort(order[repeated & aligned]), n_parts)
     lone = np.zeros(len(h), bool)
     lone[first[~many]] = True
     blocks, runs = order[lone & aligned], order[first[many | ~aligned[first]]]
@@ -101,7 +101,7 @@ def probe_rows(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, block:
     out: list[list] = [[] for _ in range(7)]
     for p, (r, b) in enumerate(zip(slices(part_of(runs), n_parts), slices(part_of(blocks), n_parts), strict=True)):
         b = np.sort(blocks[b])  # in order of place
-        own = np.sort(sure[p::n_parts])
+        own = sure[p]
         row = (p, planes(steps(np.sort(local(runs[r])))), planes(local(b)), planes(steps(docs[b])), planes(starts[b]), planes(steps(docs[own])), planes(starts[own]))
         for col, v in zip(out, row, strict=True):
             col.append(v)
@@ -132,16 +132,25 @@ def hit_blocks(group: pa.Table) -> pa.Table:
 WINDOWS = "part int, hash binary, more binary, doc binary, start binary, sure_doc binary, sure_start binary"
 
 
-def window_rows(h: np.ndarray, more: np.ndarray, docs: np.ndarray, starts: np.ndarray, n_parts: int) -> pa.RecordBatch:
+def least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n values in a row."""
+    span = 1
+    while 2 * span <= n:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
+
+
+def window_rows(h: np.ndarray, more: np.ndarray, docs: np.ndarray, starts: np.ndarray, part: np.ndarray, n_parts: int) -> pa.RecordBatch:
     """The first of equal windows of one task's share, by partition; the others are surely repeats and travel as such."""
     order = np.lexsort((starts, docs, more, h))
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (more[order][1:] != more[order][:-1])]
     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     same = (docs[order] == docs[lead]) & (starts[order] == starts[lead])
-    firsts, sure = order[new], order[~same]
+    firsts, sure = order[new], np.array_split(np.sort(order[~same]), n_parts)
     out: list[list] = [[] for _ in range(7)]
-    for p, s in enumerate(slices((h[firsts] % U(n_parts)).astype("i4"), n_parts)):
-        s, own = np.sort(firsts[s]), np.sort(sure[p::n_parts])
+    for p, s in enumerate(slices(part[firsts], n_parts)):
+        s, own = np.sort(firsts[s]), sure[p]
         row = (p, h[s].tobytes(), more[s].tobytes(), planes(steps(docs[s])), planes(starts[s]), planes(steps(docs[own])), planes(starts[own]))
         for col, v in zip(out, row, strict=True):
             col.append(v)
@@ -193,9 +202,9 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
     spark, block = docs.sparkSession, width // 2
     bounded_batches(spark)
     extra = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("doc_id").isNull().alias("gone"), *extra)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_parts = max(min(parts(docs), 1 + size // (1 << 20)), 1 + size // PART_BYTES)
+    n_parts = max(min(64, 1 + size // (1 << 16)), 1 + size // PART_BYTES)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, share = Rolling(BASES[0]), Share(3)
@@ -211,15 +220,17 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
             yield probe_rows(*share.take(), block, n_parts)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two, share = Rolling(BASES[0]), Rolling(BASES[1]), Share(4)
+        one, two, share = Rolling(BASES[0]), Rolling(BASES[1]), Share(5)
         for batch in batches:
-            for key, text, starts in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for key, text, starts in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 words, blocks = word_hashes(text), np.unique(np.frombuffer(b"".join(starts), "u4")).astype("i8")
                 n = len(words) - width + 1
                 if n < 1:
                     continue
                 at = np.flatnonzero(covered(np.clip(blocks[blocks < len(words)] - (width - block), 0, None), n + width, width - block + 1)[:n])
-                share.add(one(words, width)[at], (two(words, width)[at] >> U(32)).astype("u4"), np.full(len(at), key, "i8"), at.astype("u4"))
+                # equal windows have the same least block hash, and neighbours mostly do: they travel, and return, together
+                part = (least(one(words, block), width - block + 1)[at] % U(n_parts)).astype("i4")
+                share.add(one(words, width)[at], (two(words, width)[at] >> U(32)).astype("u4"), np.full(len(at), key, "i8"), at.astype("u4"), part)
                 if share.n > FLUSH:
                     yield window_rows(*share.take(), n_parts)
         if share.n:
@@ -233,10 +244,10 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
             ids, kept, n_words, n_removed, spans = [], [], [], [], []
-            for key, gone, text, starts in zip(col["key"].to_pylist(), col["gone"].to_pylist(), as_bytes(col["text"]), col["starts"].to_pylist(), strict=True):
+            for key, text, starts in zip(col["key"].to_pylist(), as_bytes(col["text"]), col["starts"].to_pylist(), strict=True):
                 words = text.split()
                 n, found = len(words), []
-                ids.append(None if gone else key)
+                ids.append(None if key == -(1 << 63) else key)
                 n_words.append(n)
                 if starts:
                     at = np.frombuffer(b"".join(starts), "u4").astype("i8")
@@ -250,10 +261,10 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
             made = [pa.array(ids, pa.int64()), *[col[c] for c in names], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)]
             yield pa.record_batch(made, names=["doc_id", *names, "n_words", "n_removed", "kept", "spans"])
 
-    # one plan: both joins read the same exchange of the texts
+    # one plan: both joins take the same columns, so that they read the same exchange of the texts
     collected = lambda hits: hits.groupBy("key").agg(F.collect_list("starts").alias("starts"))
     hits = collected(rows.select("key", "text").mapInArrow(probe, PROBES).groupBy("part").applyInArrow(hit_blocks, HITS))
-    windows = rows.join(hits, "key").select("key", "text", "starts").mapInArrow(extend, WINDOWS)
+    windows = rows.join(hits, "key").mapInArrow(extend, WINDOWS)
     late = collected(windows.groupBy("part").applyInArrow(later_windows, HITS))
     out = rows.join(late, "key", "left").mapInArrow(remove, f"doc_id long, {shape + ', ' if shape else ''}n_words long, n_removed long, kept string, spans array<struct<start: int, length: int>>")
     return out.select("doc_id", *[F.col(a).alias(c) for a, c in zip(names, keep or [], strict=True)], "n_words", "n_removed", "kept", "spans")
