@@ -196,9 +196,9 @@ def covered(starts: np.ndarray, n: int, width: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WIDTH) -> DataFrame:
+def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WIDTH, as_is: bool = False) -> DataFrame:
     """doc_id, the columns `keep`, n_words, n_removed, kept (the words that stay, joined by one space) and spans (start and
-    length, in words, of the removed runs)."""
+    length, in words, of the removed runs). With `as_is`, a text that loses nothing is kept as it is, blanks included."""
     spark, block = docs.sparkSession, width // 2
     bounded_batches(spark)
     extra = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]
@@ -256,7 +256,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
                     found = [{"start": int(a), "length": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
                     words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
                 n_removed.append(n - len(words))
-                kept.append(b" ".join(words))
+                kept.append(text if as_is and len(words) == n else b" ".join(words))
                 spans.append(found)
             made = [pa.array(ids, pa.int64()), *[col[c] for c in names], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)]
             yield pa.record_batch(made, names=["doc_id", *names, "n_words", "n_removed", "kept", "spans"])
