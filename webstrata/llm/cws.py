@@ -23,10 +23,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, parts
-
 SAMPLES, R_STEPS, C_STEPS = 64, 12, 16  # samples; bits of the quantile tables of r and ln c
-ABSENT = (1 << 63) - 1
+#: Text in a range, and the most ranges; beyond, ranges grow.
+RANGE_BYTES, MOST_RANGES = 3 << 20, 20_000
 
 
 def gamma_quantiles(bits: int) -> list[float]:
@@ -52,44 +51,54 @@ def tables(df: DataFrame) -> tuple[Column, Column]:
 
 
 def packed(term: Column, weight: Column, k: int, r_of: Column, c_of: Column) -> Column:
-    """Value and (term, t) of one sample as a long that orders by value: 47 bits of the value, 16 of the pair's hash."""
+    """Value and (term, t) of one sample as a long that orders by value: 47 bits of the value, 16 of the pair."""
     h = F.xxhash64(term, F.lit(k))
     r = F.get(r_of, h.bitwiseAND(F.lit((1 << R_STEPS) - 1)).cast("int"))
     c = F.get(c_of, F.shiftrightunsigned(h, R_STEPS).bitwiseAND(F.lit((1 << C_STEPS) - 1)).cast("int"))
     b = F.shiftrightunsigned(h, R_STEPS + C_STEPS).cast("double") / float(1 << (64 - R_STEPS - C_STEPS))
     t = F.floor(weight / r + b)
-    value = c - r * (t - b + 1.0)
-    order = ((F.greatest(F.least(value, F.lit(60.0)), F.lit(-1000.0)) + 1024.0) * float(1 << 36)).cast("long")
-    pair = F.xxhash64(h, t.cast("long")).bitwiseAND(F.lit(0xFFFF).cast("long"))
+    # ln c is over -6 and under 3, r under 12, ln(weight) at most 22: the sum is positive and under 128
+    order = ((c - r * (t - b + 1.0) + 64.0) * float(1 << 40)).cast("long")
+    # the low bits of b are spare: they name the term
+    pair = F.shiftrightunsigned(h, R_STEPS + C_STEPS).bitwiseXOR(t.cast("long")).bitwiseAND(F.lit(0xFFFF).cast("long"))
     return F.shiftleft(order, 16).bitwiseOR(pair)
 
 
+def word_list(text: str) -> Column:
+    """The words of a text, and empty strings between blanks; plain replacement and a one-letter split are faster than a pattern."""
+    out = F.col(text)
+    for blank in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(blank), F.lit(" "))
+    return F.split(out, " ")
+
+
 def ordered(docs: DataFrame) -> DataFrame:
     """Rows (place, doc_id, text, edited) in ranges `place`, with their number `row` there; ghosts of neighbours stay, marked."""
-    n_ranges = parts(docs)
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"))
-    cuts = rows.select(F.percentile_approx("key", [i / n_ranges for i in range(1, n_ranges)] or [0.5], 10_000)).first()[0] or []
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, min(MOST_RANGES, size // RANGE_BYTES))
+    cuts = rows.select(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
     cuts = sorted({int(c) for c in cuts})
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
-    # range 0 has the largest ids
-    place = F.lit(0) if bounds is None else F.size(F.filter(bounds, lambda c: F.col("key") <= c))
-    rows = rows.withColumn("place", place)
-    # the first of each range: its largest id, the last text among rows of that id; bounded by the number of ranges
-    first = {r["place"]: (r["top"]["key"], r["top"]["text"]) for r in rows.groupBy("place").agg(F.max(F.struct("key", F.xxhash64("text").alias("text"))).alias("top")).collect()}
-    used = sorted(first)
-    target = {p: used[i - 1] for i, p in enumerate(used)}  # the range before; before the first, the last
-    ghost = F.lit(None).cast("int")
-    for p in used:
-        key, text = first[p]
-        ghost = F.when((F.col("key") == key) & (F.xxhash64("text") == text), F.lit(target[p])).otherwise(ghost)
-    both = rows.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("place").alias("at"), F.lit(False).alias("ghost")), F.when(ghost.isNotNull(), F.struct(ghost.alias("at"), F.lit(True).alias("ghost")))))))
-    return both.select(F.col("to.at").alias("place"), F.col("to.ghost").alias("ghost"), "doc_id", "key", "text", F.xxhash64("text").alias("tie")).repartition(n_ranges, "place")
+    # how many cuts a key reaches, in two steps of about the square root of their number; range 0 has the least ids
+    step = max(1, round(len(cuts) ** 0.5))
+    wide, all_cuts = (F.array(*[F.lit(c).cast("long") for c in x]).cast("array<long>") for x in (cuts[step - 1 :: step], cuts))
+    reached = lambda x: F.size(F.filter(x, lambda c: F.col("key") >= c))
+    rows = rows.withColumn("wide", reached(wide)).withColumn("place", F.col("wide") * step + reached(F.slice(all_cuts, F.col("wide") * step + 1, step))).drop("wide")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    # each range's first row is the next of the last row of the range above, and the very first that of the very last
+    tops = sorted((r["place"], r["top"]["key"], r["top"]["tie"]) for r in rows.groupBy("place").agg(F.max(F.struct("key", "tie")).alias("top")).collect())
+    target = [(key, tie, tops[(i + 1) % len(tops)][0]) for i, (_, key, tie) in enumerate(tops)]
+    ghosts = docs.sparkSession.createDataFrame(target, "key long, tie long, above int")  # a row a range
+    both = rows.join(F.broadcast(ghosts), ["key", "tie"], "left")
+    own, other = (F.struct(at.alias("at"), F.lit(g).alias("ghost")) for at, g in ((F.col("place"), False), (F.col("above"), True)))
+    both = both.withColumn("to", F.explode(F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, other))))
+    return both.select(F.col("to.at").alias("place"), F.col("to.ghost").alias("ghost"), "doc_id", "key", "text", "tie").repartition(max(n, 1), "place")
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     rows = ordered(docs)
-    order = Window.partitionBy("place").orderBy("ghost", F.desc("key"), F.desc("tie"))
+    order = Window.partitionBy("place").orderBy("ghost", F.desc("key"), F.desc("tie"), "doc_id")
     rows = rows.select("*", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("next"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
@@ -97,23 +106,26 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     rows = rows.select("place", "row", "ghost", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     # every text is a row from here on; a ghost is needed for its own fingerprint only
     texts = rows.select("place", "row", F.explode(F.expr("if(ghost, array(struct(0 AS version, text AS body)), array(struct(0 AS version, text AS body), struct(1 AS version, edited AS body)))")).alias("v"))
-    words = texts.select("place", "row", "v.version", F.explode(F.split("v.body", BLANK)).alias("word")).where("word <> ''")
-    weights = words.groupBy("place", "row", "version", F.xxhash64("word").alias("term")).agg(F.ln(F.count("*").cast("double")).alias("weight"))
+    words = texts.select("place", "row", "v.version", F.explode(word_list("v.body")).alias("word"))
+    # empty strings are a term without weight, which no sample takes; so every text has a row
+    term = F.when(F.col("word") != "", F.xxhash64("word"))
+    weights = words.groupBy("place", "row", "version", term.alias("term")).agg(F.count("*").cast("double").alias("n"))
+    weights = weights.select("place", "row", "version", "term", F.when(F.col("term").isNotNull(), F.ln("n")).alias("weight"))
     r_of, c_of = tables(docs)
-    least = [F.min(packed(F.col("term"), F.col("weight"), k, r_of, c_of)).alias(f"m{k}") for k in range(samples)]
+    weights = weights.select("*", r_of.alias("r_of"), c_of.alias("c_of"))  # one subquery each, not one a sample
+    least = [F.min(packed(F.col("term"), F.col("weight"), k, F.col("r_of"), F.col("c_of"))).alias(f"m{k}") for k in range(samples)]
     minima = weights.groupBy("place", "row", "version").agg(*least)
     hexes = F.concat(*[F.lpad(F.lower(F.hex(F.col(f"m{k}").bitwiseAND(F.lit(0xFFFF).cast("long")))), 4, "0") for k in range(samples)])
     prints = minima.select("place", "row", "version", hexes.alias("print"))
     facts = rows.select("place", "row", "ghost", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     none = F.lit("-" * 4 * samples)
     both = prints.groupBy("place", "row").agg(F.max(F.when(F.col("version") == 0, F.col("print"))).alias("a"), F.max(F.when(F.col("version") == 1, F.col("print"))).alias("b"))
-    joined = facts.join(both, ["place", "row"], "left").select("*", F.coalesce("a", none).alias("fingerprint"), F.coalesce("b", none).alias("edited_fingerprint"))
+    # likenesses before the join: up to here all rows are where their range is
     follow = Window.partitionBy("place").orderBy("row")
-    joined = joined.withColumn("next_fingerprint", F.lead("fingerprint").over(follow))
-    return joined.where("not ghost").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"),
-    )
+    both = both.select("place", "row", F.coalesce("a", none).alias("fingerprint"), F.coalesce("b", none).alias("edited_fingerprint"))
+    both = both.withColumn("next_fingerprint", F.lead("fingerprint").over(follow))
+    near = both.select("place", "row", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next_fingerprint", samples).alias("near_next"))
+    return facts.where("not ghost").join(near, ["place", "row"]).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
