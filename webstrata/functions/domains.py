@@ -4,9 +4,6 @@ The list covers common suffixes only (a caller may pass another); names under an
 were their last label, as the list's default rule has it.
 """
 
-from __future__ import annotations
-
-from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes, urljoin, urlsplit
 
 import pandas as pd
@@ -51,9 +48,12 @@ def url_domain(url: Column | str) -> Column:
     return registrable(url_host(F.when(F.contains(u, F.lit("://")), u).otherwise(F.concat(F.lit("https://"), u))))
 
 
-@F.pandas_udf("string")
-def url_join(base: pd.Series, ref: pd.Series) -> pd.Series:
+def url_join(base: Column | str, ref: Column | str) -> Column:
     """RFC 3986 resolution; null where either is missing, blank or no http(s) URL comes out."""
+    return F.pandas_udf(join_batch, "string")(base, ref)
+
+
+def join_batch(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([resolve(b, r) for b, r in zip(base, ref, strict=True)])
 
 
@@ -67,11 +67,13 @@ def resolve(base: str | None, ref: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def percent_decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def percent_decoded(text: Column | str) -> Column:
     """%XX decoded, broken escapes and + kept, invalid UTF-8 replaced."""
-    for s in batches:
-        yield s.map(lambda x: None if x is None else unquote_to_bytes(x).decode("utf-8", "replace"))
+    return F.pandas_udf(decode_batch, "string")(text)
+
+
+def decode_batch(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unquote_to_bytes(x).decode("utf-8", "replace"))
 
 
 #: Hosts whose scripts are never the site's own; fixed values.

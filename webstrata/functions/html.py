@@ -4,13 +4,12 @@ Built-in expressions can't parse HTML; this is the one place where Python reads
 (analytics, social links, contacts, script hosts) is native and lives in operators.extract.
 """
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCHEMA = """title string, description string, canonical_url string, favicon_href string, meta array<struct<key: string, content: string>>, script_sources array<string>, script_ids array<string>,
@@ -112,7 +111,14 @@ def parse(body: str | None) -> dict:
     return Page(body or "").out
 
 
-@F.pandas_udf(SCHEMA)
-def page_parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+NAMES = ["title", "description", "canonical_url", "favicon_href", "meta", "script_sources", "script_ids", "inline_script", "hints", "hrefs", "json_ld", "comments"]
+
+
+def parse_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
-        yield pd.DataFrame([parse(x) for x in s], columns=["title", "description", "canonical_url", "favicon_href", "meta", "script_sources", "script_ids", "inline_script", "hints", "hrefs", "json_ld", "comments"])
+        yield pd.DataFrame([parse(x) for x in s], columns=NAMES)
+
+
+def page_parts(html: Column | str) -> Column:
+    # the function is declared when it is used: workers import this module without a session
+    return F.pandas_udf(parse_batches, SCHEMA)(html)
