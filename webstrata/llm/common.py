@@ -95,3 +95,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int)
     marked = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(learn & F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     ids = cut(hashed_sample(marked, "y", limit, "doc_id").dropDuplicates(["doc_id"]))
     return cut(docs.select("doc_id", F.substring(F.coalesce(F.col("text"), F.lit("")), 1, 1 << 20).alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y", "weight", "doc_id"))
+
+
+#: Memos that live on in this Python worker.
+MEMOS: list[dict] = []
+
+
+def claim(memo: dict | None = None) -> None:
+    """Called where a task's Python code begins: workers are reused, so what other operators remember there is let go."""
+    for other in MEMOS:
+        if other is not memo:
+            other.clear()
+    MEMOS[:] = [] if memo is None else [memo]

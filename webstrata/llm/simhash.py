@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, parts
+from .common import as_bytes, bounded_batches, claim, cut, parts
 from .components import connected
 
 BITS, RADIUS, BUCKET, LEVELS = 64, 3, 1024, 4
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             data = b"".join(simhash(t, width) for t in as_bytes(batch.column(1)))
             yield pa.record_batch([batch.column(0), pa.array(np.frombuffer(data, ">i8").astype("i8"))], names=["doc_id", "fp"])

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches
+from .common import as_bytes, bounded_batches, claim
 
 WIDTH, FLUSH, PART_BYTES = 20, 1_000_000, 12 << 20
 U = np.uint64
@@ -207,6 +207,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
     n_parts = max(min(64, 1 + size // (1 << 16)), 1 + size // PART_BYTES)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         rolling, share = Rolling(BASES[0]), Share(3)
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -220,6 +221,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
             yield probe_rows(*share.take(), block, n_parts)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         one, two, share = Rolling(BASES[0]), Rolling(BASES[1]), Share(5)
         for batch in batches:
             for key, text, starts in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
@@ -240,6 +242,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns, strict=True))

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, bounded_batches
+from .common import Memo, as_bytes, bounded_batches, claim
 
 #: Unicode's White_Space, as the vocabulary's patterns mean it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -110,6 +110,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = counter(path)
+        claim(seen)
         for batch in batches:
             texts = [t or b"" for t in as_bytes(batch.column(1))]
             n = pa.array([sum(map(seen.__getitem__, t.split())) for t in texts], pa.int64())

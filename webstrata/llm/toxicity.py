@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, crc_mod, labelled
+from .common import as_bytes, bounded_batches, claim, crc_mod, labelled
 from .langid import STRIP
 from .quality import logistic
 
@@ -181,6 +181,7 @@ def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total, n = Counts(words), np.zeros(len(words), "i8"), 0
+        claim(counts.known)
         for batch in batches:
             for t in as_bytes(batch.column(0)):
                 total[counts(t or b"")[0]] += 1
@@ -228,6 +229,8 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     nearest = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.value.counts = shared.value.counts or Counts(shared.value.terms)
+        claim(shared.value.counts.known)
         for batch in batches:
             scores, evidence = shared.value.scores(as_bytes(batch.column(1)))
             near = pa.array([[{"doc_id": i, "cosine": s, "label": y} for i, s, y in e] for e in evidence], nearest)
