@@ -15,11 +15,11 @@ def plain(text):
 
 def test_masks_cover_every_pair_within_the_radius():
     rng = random.Random(1)
-    for level in range(S.LEVELS):
-        masks = S.covering_masks(level=level)
-        assert len(masks) == 15
+    for radius, level in ((3, 0), (3, 1), (3, 2), (3, 3), (5, 0), (5, 1)):
+        masks = S.covering_masks(radius, level)
+        assert len(masks) == 2 ** (radius + 1) - 1 and min((m & (1 << 64) - 1).bit_count() for m in masks) >= 20
         for _ in range(3000):
-            d = sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 4)))
+            d = sum(1 << b for b in rng.sample(range(64), rng.randrange(1, radius + 1)))
             assert any(m & d == 0 for m in masks)
 
 
@@ -64,3 +64,26 @@ def test_odd_rows(spark):
     got = S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(5, 5), (6, 5), (7, 5), (8, 8), (9, 8), (9, 8), (10, 10)]
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_are_alike_and_originals_stay(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    rows, n = [], 0
+    for _ in range(40):
+        base = rng.choices(words, k=rng.choice([30, 300]))
+        for k in range(rng.choice([1, 1, 4])):
+            own = list(base)
+            for _ in range(k * len(base) // 300):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append((n := n + 1, " ".join(own)))
+    rows += [(500, None), (501, ""), (502, rows[0][1]), (502, rows[0][1])]
+    gone = {r.doc_id for r in S.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rolling = S.Rolling(S.BASES[0])
+    sets = {k: S.shingle_set((t or "").encode(), 5, rolling) for k, t in rows}
+    near = lambda a, b: S.jaccard(sets[a], sets[b]) >= 0.8
+    assert 502 in gone and 501 in gone and 500 not in gone
+    assert all(any(near(k, o) for o in sets if o not in gone and o < k) for k in gone)
+    alike = [k for k in sets if any(o < k and near(k, o) for o in sets)]
+    assert len([k for k in alike if k not in gone]) <= 0.1 * len(alike)
+    assert S.copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, claim, cut, parts
 from .components import connected
+from .substring import BASES, Rolling, word_hashes
 
-BITS, RADIUS, BUCKET, LEVELS = 64, 3, 1024, 4
+BITS, RADIUS, BUCKET, LEVELS = 64, 3, 4096, 4
 
 
 def simhash(text: bytes | None, width: int = 3) -> bytes:
@@ -61,9 +62,14 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def covering_masks(radius: int = RADIUS, level: int = 0) -> list[int]:
     """2 ** (radius + 1) - 1 masks, as signed longs; each keeps about half of the positions. Levels differ by a permutation."""
     n = (1 << (radius + 1)) - 1
-    code = [i % n + 1 for i in range(BITS)]
-    random.Random(f"covering {level}").shuffle(code)
-    masks = [sum(1 << i for i in range(BITS) if (code[i] & v).bit_count() % 2) for v in range(1, n + 1)]
+    best: list[int] = []
+    for turn in range(1 if n < BITS else 40):  # of random codes, those whose lightest mask is heaviest
+        rng = random.Random(f"covering {level} {turn}")
+        code = [i % n + 1 for i in range(BITS)] if n < BITS else rng.sample(range(1, n + 1), BITS)
+        rng.shuffle(code)
+        masks = [sum(1 << i for i in range(BITS) if (code[i] & v).bit_count() % 2) for v in range(1, n + 1)]
+        best = max(best, masks, key=lambda m: min((x.bit_count() for x in m), default=0))
+    masks = best
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -157,3 +163,59 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> Da
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_print = cut(rooted.join(named, "root").select("fp", "component_id"))
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: bytes | None, width: int, rolling: Rolling) -> np.ndarray:
+    """Hashes of the distinct word shingles, in lower case; of the whole sequence if it is shorter."""
+    words = word_hashes((text or b"").lower())
+    return np.unique(rolling(words, min(width, len(words)))) if len(words) else words
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def copies(docs: DataFrame, width: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
+    """doc_id of documents whose word shingles have a Jaccard similarity of `least` or more with those of a document that stays.
+
+    Fingerprints of word pairs within five bits make candidate groups. In each round every member is compared, exactly,
+    with the first of its group; those alike are copies, the rest form a group of their own. What is left after the rounds
+    stays. So no pairs are made, nothing goes without an exact comparison, and a hot group's rows can be split."""
+    groups = near_duplicates(docs, width=2, radius=5).select("doc_id", F.col("component_id").alias("first")).where("doc_id IS NOT NULL").distinct()
+    groups = cut(groups)
+    many = cut(groups.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first"))
+    members = groups.join(many, "first").select("doc_id", "first")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = cut(texts.join(cut(members), "doc_id").select("doc_id", "first", "text"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
+        rolling, held = Rolling(BASES[0]), (None, None)
+        for batch in batches:
+            alike = []
+            for t, f in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
+                if t == f:
+                    alike.append(True)
+                    continue
+                if held[0] != f:
+                    held = (f, shingle_set(f, width, rolling))
+                alike.append(jaccard(shingle_set(t, width, rolling), held[1]) >= least)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(alike)], names=["doc_id", "first", "alike"])
+
+    out = None
+    for turn in range(rounds):
+        heads = cut(rows.where("doc_id = first").select("first", F.col("text").alias("head")).dropDuplicates(["first"]))
+        pairs = rows.where("doc_id <> first").join(heads, "first").select("doc_id", "first", "text", "head")
+        judged = cut(pairs.mapInArrow(compare, "doc_id long, first long, alike boolean"))
+        found = judged.where("alike").select("doc_id")
+        out = found if out is None else out.unionByName(found)
+        rest = judged.where("not alike").select("doc_id", "first")
+        if turn == rounds - 1 or rest.isEmpty():
+            break
+        heads_of = cut(rest.groupBy("first").agg(F.min("doc_id").alias("head")))
+        regrouped = rest.join(heads_of, "first").select("doc_id", F.col("head").alias("next"))
+        rows = cut(rows.join(cut(regrouped), "doc_id").select("doc_id", F.col("next").alias("first"), "text"))
+    return out.distinct()
