@@ -98,10 +98,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int)
 
 
 #: Memos that live on in this Python worker.
-MEMOS: list[dict] = []
+MEMOS: list = []
 
 
-def claim(memo: dict | None = None) -> None:
+def claim(memo=None) -> None:
     """Called where a task's Python code begins: workers are reused, so what other operators remember there is let go."""
     for other in MEMOS:
         if other is not memo:

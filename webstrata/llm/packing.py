@@ -12,6 +12,7 @@ as often as they occur; extra columns are ignored. No group is larger than a blo
 
 from __future__ import annotations
 
+import gc
 import random
 import zlib
 from collections.abc import Iterator
@@ -22,41 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, bounded_batches, cut
+from .bpe import BatchEncoder
+from .common import as_bytes, bounded_batches, claim, cut
 from .tokens import vocabulary_path
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 4096, 2, 2, 4, 24
 Packing = list[list[int]]  # bins, each a list of item numbers
 
 
-class IdMemo(Memo):
-    """Token ids (little-endian unsigned 32-bit) of a piece of text without blanks."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        super().__init__(lambda piece: self.encode([piece])[0])
-
-    def encode(self, pieces: list[bytes]) -> list[bytes]:
-        out = self.library.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in out]
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self))
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            self.update(zip(new[i : i + 4096], self.encode(new[i : i + 4096]), strict=True))
-
-
 @lru_cache(maxsize=1)
-def id_memo(path: str) -> IdMemo:
-    return IdMemo(path)
+def encoder(path: str) -> BatchEncoder:
+    return BatchEncoder(path)
 
 
 def tokenised(docs: DataFrame, capacity: int, vocabulary: str | None = None) -> DataFrame:
@@ -66,15 +43,16 @@ def tokenised(docs: DataFrame, capacity: int, vocabulary: str | None = None) ->
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, row, end = id_memo(path), 0, b"\0\0\0\0"
+        encode, row, end = encoder(path).encode, 0, b"\0\0\0\0"
+        claim(encoder(path).memo)
+        gc.disable()  # no cycles arise here, and looking for them in many short lists costs a tenth of the time
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             cols: tuple[list, ...] = ([], [], [], [], [], [])
-            for at in range(0, len(ids), 64):
-                split = [(t or b"").split() for t in texts[at : at + 64]]
-                memo.learn([w for words in split for w in words])
-                for doc_id, words in zip(ids[at : at + 64], split, strict=True):
-                    data = b"".join(map(memo.__getitem__, words)) + end
+            for at in range(0, len(ids), 256):
+                got = encode([t or b"" for t in texts[at : at + 256]])
+                for doc_id, data in zip(ids[at : at + 256], got, strict=True):
+                    data += end
                     for piece, k in enumerate(range(0, len(data), 4 * capacity)):
                         x = data[k : k + 4 * capacity]
                         row += 1
