@@ -33,11 +33,15 @@ def test_defined_for_odd_rows(spark, library):
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_ids_of_batches_match_the_library(library):
-    from webstrata.llm.bpe import BatchEncoder
+def test_ids_of_batches_match_the_library(library, monkeypatch):
+    from webstrata.llm import bpe
 
-    encoder = BatchEncoder(vocabulary_path(), limit=300)
-    all_texts = texts() + [" ".join(["the", "Thtionha,", "loweiä"] * 30)]
+    monkeypatch.setattr(bpe, "CHUNK", 500)
+    encoder = bpe.BatchEncoder(vocabulary_path(), limit=300)
+    import itertools
+
+    anagrams = ["".join(p) for n in (3, 5, 6) for p in itertools.permutations("abtheo"[:n])] + ["abba", "baab", "onno", "noon"]
+    all_texts = texts() + [" ".join(anagrams), ".".join(anagrams)] + [" ".join(["the", "Thtionha,", "loweiä"] * 30)]
     for k in range(0, len(all_texts), 50):
         part = all_texts[k : k + 50]
         for text, data in zip(part, encoder.encode([t.encode() for t in part]), strict=True):

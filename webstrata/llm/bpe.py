@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
@@ -16,6 +17,7 @@ from .tokens import PairMerger
 
 LONGEST, NONE, SLOTS = 32, 1 << 30, 19
 BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+CHUNK, END = 1 << 20, re.compile(rb"[\t-\r ]")
 #: A random value for each byte.
 MIXED = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype="u8") * np.uint64(2) + np.uint64(1)
 
@@ -46,10 +48,17 @@ class BatchEncoder(PairMerger):
         self.library = Tokenizer.from_file(path)
         self.marks = {bytes([b]): self.by_library(chr(b)) for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "<"}
         self.memo, self.limit = WordMemo(limit), limit
+        self.up = self.down = np.empty(0, "u8")
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def reach(self, n: int) -> None:
+        """Powers of an odd number, and of its inverse modulo 2 ** 64, for texts of n bytes."""
+        if n >= len(self.up):
+            odd = 0xC2B2AE3D27D4EB4F
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(2 * n, np.uint64(p))], dtype="u8") for p in (odd, pow(odd, -1, 1 << 64)))
+
     @staticmethod
     def slot(key: np.ndarray) -> np.ndarray:
         return ((key.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype("i8")
@@ -159,7 +168,29 @@ class BatchEncoder(PairMerger):
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text. Words are hashed (64 bits) over one array of all bytes, and only words whose hash is new become objects."""
+        """The ids of each text. Arrays stay small: texts go in groups of about CHUNK bytes, and longer ones in parts that end at a blank."""
+        out: list[bytes] = []
+        group: list[bytes] = []
+        held = 0
+        for t in texts:
+            if held and held + len(t) > CHUNK:
+                out += self.encode_group(group)
+                group, held = [], 0
+            if len(t) <= CHUNK:
+                group.append(t)
+                held += len(t)
+                continue
+            parts, at = [], 0
+            while at < len(t):
+                cut = END.search(t, at + CHUNK)
+                to = cut.start() if cut else len(t)
+                parts += self.encode_group([t[at:to]])
+                at = to
+            out.append(b"".join(parts))
+        return out + self.encode_group(group) if group else out
+
+    def encode_group(self, texts: list[bytes]) -> list[bytes]:
+        """Words are hashed (64 bits) over one array of all bytes, and only words whose hash is new become objects."""
         raw = b" ".join(texts) + b" "
         x = np.frombuffer(raw, np.uint8)
         inside = ~BLANKS[x]
@@ -169,11 +200,12 @@ class BatchEncoder(PairMerger):
         starts, ends = edges[::2], edges[1::2]
         if not len(starts):
             return [b""] * len(texts)
-        value = MIXED[x]
-        plain = np.r_[np.uint64(0), np.cumsum(value, dtype="u8")]
-        placed = np.r_[np.uint64(0), np.cumsum(value * np.arange(1, 2 * len(x), 2, dtype="u8"), dtype="u8")]
-        # the sum of value * (2 * place in the word + 1): a random linear hash of the word's bytes
-        h = (placed[ends] - placed[starts]) - (plain[ends] - plain[starts]) * (2 * starts).astype("u8")
+        # a polynomial of the bytes' random values, from prefix sums
+        self.reach(len(x))
+        total = np.r_[np.uint64(0), np.cumsum(MIXED[x] * self.up[: len(x)], dtype="u8")]
+        h = (total[ends] - total[starts]) * self.down[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
         number = self.memo.find(h)
         if (number < 0).any():
             lost = np.flatnonzero(number < 0)
