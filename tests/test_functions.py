@@ -112,3 +112,14 @@ def test_longest_prefix(spark):
 
 def test_native_json_ld(spark):
     assert one(spark, F.size(X.native_json_ld("a")), a=HTML) == 2
+
+
+def test_icons_and_charsets(spark):
+    from webstrata.functions import binary as B
+
+    assert B.murmur3(b"hello") == 613153351 and B.murmur3(b"") == 0 and B.murmur3(b"test", 0) == -1167338989
+    assert B.decoded("é".encode("latin-1"), "text/html; charset=ISO-8859-1") == "é" and B.decoded(b"\xef\xbb\xbfx", None) == "x"
+    assert B.decoded(b'<meta charset="utf-16-le">', "") is not None and B.decoded(b"\xff", None) == "\ufffd" and B.decoded(b"a", "text/html; charset=none-such") == "a"
+    df = spark.createDataFrame([(bytearray(b"icon"), "text/html", "https://e.com/a/b", "i.png"), (None, None, "https://e.com/a/b", None)], "d binary, k string, p string, h string")
+    got = df.select(B.favicon_hash("d").alias("f"), B.decode_body("d", "k").alias("t"), B.favicon_url("p", "h").alias("u")).collect()
+    assert [tuple(r) for r in got] == [(B.icon_hash(b"icon"), "icon", "https://e.com/a/i.png"), (None, None, "https://e.com/favicon.ico")]
