@@ -13,9 +13,10 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     whole = F.lit(True)
     for k in keys:
         whole = whole & F.col(k).isNotNull()
-    by = Window.partitionBy(*keys, F.when(whole, F.lit(None)).otherwise(F.xxhash64(*keys, *order)))
-    ranked = rows.withColumn("_rank", F.row_number().over(by.orderBy(*[F.desc(c) for c in order])))
-    return ranked.where((F.col("_rank") == 1) | ~whole).drop("_rank") if any(rows.schema[k].nullable for k in keys) else ranked.where("_rank = 1").drop("_rank")
+    ranked = rows.where(whole).withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])))
+    won = ranked.where("_rank = 1").drop("_rank")
+    nullable = any(rows.schema[k].nullable for k in keys)
+    return won.unionByName(rows.where(~whole)) if nullable else won
 
 
 def satellites_of(winners: DataFrame, satellite: DataFrame, id_col: str = "id", ref: str = "url_status_id") -> DataFrame:
