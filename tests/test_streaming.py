@@ -42,3 +42,16 @@ def test_windows_and_counters(spark):
     chains = spark.createDataFrame([(1, 1, "http://a"), (1, 2, "https://a"), (2, 1, "https://b"), (3, 1, "https://c"), (3, 2, "https://d"), (3, 3, "https://e")], "url_status_id long, sequence_order int, redirect_url string")
     assert tuple(I.chain_counters(chains).first()) == (2, 1, 1)
     assert I.fresh(spark.createDataFrame([(1, 0), (2, 90)], "k int, fetched_at_ms long"), 100, 50).count() == 1
+
+
+def test_metrics_and_runs(spark):
+    from webstrata.operators import runs as R
+    from webstrata.streaming import metrics as M
+
+    row = M.timing_averages(spark.createDataFrame([(10, 1), (15, 2)], "a long, b long"), ["a", "b"]).first()
+    assert (row.n, row.a_sum, row.a_avg, row.b_avg) == (2, 25, 12, 1) and abs(row.a_percent + row.b_percent - 100) < 1e-9
+    assert M.prometheus({"urls_total": 3, "rate": 1.5}, labels={"run": "r"}) == '# TYPE webstrata_urls_total counter\nwebstrata_urls_total{run="r"} 3\n# TYPE webstrata_rate gauge\nwebstrata_rate{run="r"} 1.5\n'
+    table = R.begin(R.begin(None, spark, "r1", 1000), spark, "r2", 2000)
+    facts = spark.createDataFrame([("r2",), ("r2",), ("r1",)], "run_id string")
+    done = {r.run_id: r for r in R.finish(table, "r2", 5000, facts, facts.where("run_id = 'r1'"), 1).collect()}
+    assert (done["r2"].total_urls, done["r2"].elapsed_seconds, done["r2"].end_time_ms, done["r1"].end_time_ms) == (3, 3.0, 5000, None)

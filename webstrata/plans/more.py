@@ -13,7 +13,7 @@ from webstrata.operators import export, extract, geo, secrets, tech, upsert
 from webstrata.plans import summary
 from webstrata.plans.bridge import Star, epoch_ms, say, with_tables
 from webstrata.plans.pages import marked
-from webstrata.streaming import ingest
+from webstrata.streaming import ingest, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,6 +142,11 @@ def _(t):
     return tech.technologies_of(extract.parsed(marked(t.spark, t.sf_dir).select("page_id", "url", "page"), html="page"), html="page")
 
 
+@query("timing_averages", "SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS l_linenumber_sum, sum(l_linenumber)::BIGINT // count(*) AS l_linenumber_avg, 100.0 * sum(l_linenumber) / (sum(l_linenumber) + sum(l_suppkey)) AS l_linenumber_percent, sum(l_suppkey)::BIGINT AS l_suppkey_sum, sum(l_suppkey)::BIGINT // count(*) AS l_suppkey_avg, 100.0 * sum(l_suppkey) / (sum(l_linenumber) + sum(l_suppkey)) AS l_suppkey_percent FROM lineitem")
+def _(t):
+    return metrics.timing_averages(t.raw("lineitem"), ["l_linenumber", "l_suppkey"])
+
+
 @query("document_secrets")
 def _(t):
     return secrets.exposed(t.raw("documents"), "doc_id", "text")
