@@ -46,8 +46,8 @@ def parts(df: DataFrame) -> int:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 16 MB as well as at a row count, so a run of very long texts can't fill a worker."""
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")):
+    """Arrow batches end at 8 MB as well as at a row count, so a run of very long texts can't fill a worker."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20)), ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
 
