@@ -30,6 +30,16 @@ P1, P2, P3 = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(
 BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
+POWERS: list[np.ndarray] = [np.empty(0, "u8")] * 2
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2 ** 64, n at least."""
+    if n > len(POWERS[0]):
+        POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(2 * n, np.uint64(p))], dtype="u8") for p in (int(P3), pow(int(P3), -1, 1 << 64))]
+    return POWERS
+
+
 def ngrams(text: bytes) -> np.ndarray:
     """Table positions of a text's n-grams, with repeats."""
     raw = np.frombuffer(text, np.uint8)
@@ -49,10 +59,11 @@ def ngrams(text: bytes) -> np.ndarray:
     if len(starts):
         ends = np.flatnonzero(inside & ~np.r_[inside[1:], False]) + 1
         mixed = (x * P3 ^ (x * P3 >> np.uint64(29))) * P2  # a value of each byte
-        total = np.r_[np.uint64(0), np.cumsum(mixed * (np.arange(len(x), dtype="u8") * np.uint64(2) + np.uint64(1)), dtype="u8")]
-        plain = np.r_[np.uint64(0), np.cumsum(mixed, dtype="u8")]
-        # sum of value * (place in the word): the word's own place is taken out, so equal words have equal hashes
-        word = (total[ends] - total[starts]) - (plain[ends] - plain[starts]) * (starts.astype("u8") * np.uint64(2)) + (ends - starts).astype("u8") * P1
+        # a polynomial of the bytes' values, from prefix sums, so that equal words have equal hashes wherever they stand
+        up, down = powers(len(x))
+        total = np.r_[np.uint64(0), np.cumsum(mixed * up[: len(x)], dtype="u8")]
+        word = (total[ends] - total[starts]) * down[starts]
+        word ^= word >> np.uint64(32)
         out.append(place(word * P3, 11))
         if len(word) > 1:
             out.append(place((word[:-1] * P1 + word[1:]) * P3, 12))
