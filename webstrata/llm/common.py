@@ -9,10 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word, as every operator here understands it, is a run of bytes other than these; the pattern is for SQL.
-BLANK = r"[\x20\x09-\x0D]+"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
