@@ -1,6 +1,6 @@
 """The cookbook: relational queries over the star schema, each as a DataFrame plan and, for the oracle, as SQL.
 
-Ties in the reference's orderings are broken by further columns, so results with a limit are defined. Concatenations have
+Ties in orderings are broken by further columns, so results with a limit are defined. Concatenations have
 a fixed order. "Now" is a parameter.
 """
 
