@@ -3,12 +3,17 @@
 Equal vectors of a label are one node. Random hyperplanes deal the nodes into leaves of at most LEAF, and all pairs of a
 leaf give every node its first list of K neighbours. Each round then joins neighbours of neighbours: the nodes of a home
 leaf and all that their lists name meet in one block, compare by one matrix product, and improve the lists of all of
-them. Rounds end when lists hardly change and an audit - a sample of nodes compared with every node - finds nearly all
-links. Pairs at or over the threshold are links.
+them, until lists hardly change.
 
-A list whose last neighbour still links is saturated: it can't hold all links. Lists are then enlarged to the whole
-component: its members are compared block by block, which counts every link and emits none. So there is no cap on links,
-and groups of thousands of near copies cost block pairs, spread over tasks, not rows.
+A list whose last neighbour still links is saturated: it can't hold all links. Blocks therefore also give a spanning
+forest of the links that lists have no room for. Saturated nodes then search again, for links beyond their own
+component, until a search finds none. A component with saturated nodes is compared whole, block by block, which counts
+every link and emits none. So there is no cap on links, and groups of thousands of near copies cost block pairs, spread
+over tasks, not rows.
+
+An audit - a sample of nodes compared with every node - must find at least ENOUGH of its links in the result, saturated
+nodes included. If not, TREES more partitions are searched from where the lists stand; after ATTEMPTS of them all pairs
+of a label are compared in blocks, which is exact and quadratic.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those of null label, link with nothing;
 vectors of different length are never compared; an empty table gives an empty result; rows that repeat a vec_id are one
@@ -17,7 +22,8 @@ more copy of their vector; rows of null vec_id take part and keep it; extra colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut
 from .components import connected
 
-K, LEAF, TREES, ROUNDS, AUDIT, ENOUGH, BLOCK = 12, 256, 4, 8, 512, 0.995, 256
+K, LEAF, TREES, ROUNDS, ATTEMPTS, AUDIT, ENOUGH, BLOCK, WHOLE = 12, 256, 4, 8, 4, 512, 0.995, 256, 1024
 EDGES = "id long, other long, sim double"
 
 
@@ -44,25 +50,58 @@ def as_edges(id_: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pa.Table:
     return pa.table({"id": pa.array(id_, pa.int64()), "other": pa.array(other, pa.int64()), "sim": pa.array(sim, pa.float64())})
 
 
-def best_of(group: pa.Table) -> pa.Table:
-    """For each node of a block, its K nearest there that beat the last of its list."""
-    ids, x = group["id"].to_numpy(), matrix(group["v"])
-    floor = group["floor"].to_numpy() if "floor" in group.column_names else np.full(len(ids), -2.0)
-    k, out = min(K, len(ids) - 1), []
-    for at in range(0, len(ids), 512):
-        if k < 1:
-            break
-        s = x[at : at + 512] @ x.T
-        rows = np.arange(len(s))
-        s[rows, rows + at] = -3.0
-        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        sim = np.take_along_axis(s, near, axis=1)
-        good = sim > floor[at : at + 512, None]
-        out.append((np.repeat(ids[at : at + 512], good.sum(axis=1)), ids[near[good]], sim[good]))
-    return as_edges(*(np.concatenate(c) for c in zip(*out, strict=True))) if out else as_edges(*[np.empty(0)] * 3)
+def least_members(near: np.ndarray) -> np.ndarray:
+    """The least member of the component of each row of a symmetric boolean matrix."""
+    label = np.arange(len(near))
+    while True:
+        new = label.copy()
+        for k in range(0, len(near), 512):
+            new[k : k + 512] = np.minimum(label[k : k + 512], np.where(near[k : k + 512], label[None, :], len(near)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def best_in(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """For each node of a block, its K nearest there that beat the last of its list; and, where a list can't hold all links
+    of the block, a spanning forest of the links, as ties. Nodes of one colour don't see each other."""
+
+    def best_of(group: pa.Table) -> pa.Table:
+        ids, x = group["id"].to_numpy(), matrix(group["v"])
+        floor = group["floor"].to_numpy() if "floor" in group.column_names else np.full(len(ids), -2.0)
+        colour = group["colour"].to_numpy() if "colour" in group.column_names else None
+        k, out = min(K, len(ids) - 1), []
+        near = np.zeros((len(ids), len(ids)), bool)
+        for at in range(0, len(ids), 512):
+            if k < 1:
+                break
+            s = x[at : at + 512] @ x.T
+            rows = np.arange(len(s))
+            s[rows, rows + at] = -3.0
+            if colour is not None:
+                s[colour[at : at + 512, None] == colour[None, :]] = -3.0
+            near[at : at + 512] = s >= threshold
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            sim = np.take_along_axis(s, best, axis=1)
+            good = sim > floor[at : at + 512, None]
+            out.append((np.repeat(ids[at : at + 512], good.sum(axis=1)), ids[best[good]], sim[good]))
+        lists = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 3
+        n = near.sum(axis=1)
+        full = (n > K) | ((n > 0) & ((floor >= threshold) | (colour is not None)))
+        if full.any():
+            near |= near.T  # rounding may differ
+            label = least_members(near)
+            tied = np.flatnonzero(np.isin(label, label[full]) & (label != np.arange(len(ids))))
+        else:
+            tied = label = np.empty(0, int)
+        table = as_edges(*(np.r_[c, t] for c, t in zip(lists, (ids[tied], ids[label[tied]], np.ones(len(tied))), strict=True)))
+        return table.append_column("tie", pa.array(np.repeat([False, True], [len(lists[0]), len(tied)])))
+
+    return best_of
 
 
-def leaves(nodes: DataFrame) -> DataFrame:
+def leaves(nodes: DataFrame, seed: int = 0) -> DataFrame:
     """id, tree, leaf: TREES partitions of the nodes of a label by the signs of random projections, in leaves of about LEAF at most."""
     sizes = cut(nodes.groupBy("g").agg(F.count("*").alias("n")))
     small = sizes.count() <= 100_000
@@ -76,7 +115,7 @@ def leaves(nodes: DataFrame) -> DataFrame:
             code = np.zeros((len(lengths), TREES), "i8")
             for d in np.unique(lengths):
                 if d not in planes:
-                    planes[d] = np.random.default_rng(int(d)).normal(size=(int(d), TREES * 24))
+                    planes[d] = np.random.default_rng([int(d), seed] if seed else int(d)).normal(size=(int(d), TREES * 24))
                 where = np.flatnonzero(lengths == d)
                 bits = (matrix(batch.column(2).take(pa.array(where))) @ planes[d] > 0).reshape(len(where), TREES, 24)
                 keep = np.arange(24)[None, :] < batch.column(3).to_numpy()[where][:, None]
@@ -87,19 +126,20 @@ def leaves(nodes: DataFrame) -> DataFrame:
     rows = cut(coded.select("id", F.posexplode("codes").alias("tree", "code"), "g").select("id", "tree", F.xxhash64("g", "tree", "code").alias("leaf")))
     # a leaf of near copies can't be split by planes; there, chance does it
     counts = cut(rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > LEAF))
-    split = F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / LEAF))
+    split = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.ceil(F.col("n") / LEAF))
     return rows.join(counts, "leaf", "left").select("id", "tree", F.when(F.col("n").isNull(), F.col("leaf")).otherwise(F.xxhash64("leaf", split)).alias("leaf"))
 
 
-def merged(edges: DataFrame) -> DataFrame:
-    """The K best of each node."""
-    once = edges.groupBy("id", "other").agg(F.max("sim").alias("sim"))
+def merged(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The K best of each node, and what else links: (id, other, sim) of which lists have no room, and ties."""
+    once = edges.where("not tie").groupBy("id", "other").agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K).drop("rank")
+    ranked = cut(once.withColumn("rank", F.row_number().over(order)))
+    return ranked.where(F.col("rank") <= K).drop("rank"), ranked.where(F.col("rank") > K).drop("rank")
 
 
 def audited(nodes: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
-    """All links of the sample's nodes with any node; the sample has AUDIT rows at most, so it is collected and sent along."""
+    """All links of the sample's nodes with any node; the sample is bounded, so it is collected and sent along."""
     asked: dict[str, tuple[list, list]] = {}
     for r in sample.collect():
         own = asked.setdefault(r["g"], ([], []))
@@ -112,62 +152,126 @@ def audited(nodes: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
             ids, g = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
             for name in set(g.tolist()) & set(probes):
                 where = np.flatnonzero(g == name)
-                s = matrix(batch.column(2).take(pa.array(where))) @ probes[name][1].T
-                a, b = np.nonzero(s >= threshold)
-                own = ids[where[a]] != probes[name][0][b]
-                yield from as_edges(probes[name][0][b][own], ids[where[a]][own], s[a, b][own]).to_batches()
+                for part in np.split(where, range(256, len(where), 256)):
+                    s = matrix(batch.column(2).take(pa.array(part))) @ probes[name][1].T
+                    a, b = np.nonzero(s >= threshold)
+                    own = ids[part[a]] != probes[name][0][b]
+                    yield from as_edges(probes[name][0][b][own], ids[part[a]][own], s[a, b][own]).to_batches()
 
     return nodes.select("id", "g", "v").mapInArrow(run, EDGES)
 
 
-def descend(nodes: DataFrame, threshold: float) -> DataFrame:
-    """Neighbour lists (id, other, sim) of the nodes (id, g, v), with what the audits found besides."""
-    dealt = cut(leaves(nodes))
-    vectors = nodes.select("id", "v")
-    first = dealt.join(vectors, "id").select("tree", "leaf", "id", "v").groupBy("tree", "leaf").applyInArrow(best_of, EDGES)
-    lists = cut(merged(first))
-    home = dealt.where("tree = 0").select("id", F.col("leaf").alias("home"))
-    sample = cut(nodes.select("id", "g", "v").orderBy(F.xxhash64("id")).limit(AUDIT))
-    truth = cut(audited(nodes, sample, threshold))
-    n_truth, n_nodes = truth.count(), nodes.count()
-    for turn in range(ROUNDS):
+def truth_of(nodes: DataFrame, threshold: float) -> DataFrame:
+    """The links of a sample of nodes, found by comparison with every node. It grows from AUDIT nodes until it holds AUDIT
+    links, to 16 times AUDIT nodes at most."""
+    size, n = AUDIT, nodes.count()
+    while True:
+        sample = nodes.select("id", "g", "v").orderBy(F.xxhash64("id")).limit(size)
+        truth = cut(audited(nodes, sample, threshold))
+        if size >= min(n, 16 * AUDIT) or truth.count() >= AUDIT:
+            return truth
+        size *= 4
+
+
+def descend(nodes: DataFrame, threshold: float, seed: int, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Neighbour lists (id, other, sim) of the nodes (id, g, v and, if need be, colour), improved from `lists`, and ties (a, b)."""
+    dealt = cut(leaves(nodes, seed))
+    vectors = nodes.select("id", "v", *(c for c in nodes.columns if c == "colour"))
+    best_of, edges = best_in(threshold), EDGES + ", tie boolean"
+    found = cut(dealt.join(vectors, "id").select("tree", "leaf", *vectors.columns).groupBy("tree", "leaf").applyInArrow(best_of, edges))
+    ties = []
+
+    def merge(found: DataFrame, lists: DataFrame | None) -> DataFrame:
+        known = found if lists is None else found.unionByName(lists.withColumn("tie", F.lit(False)))
+        best, rest = merged(known)
+        ties.append(found.where("tie").select(F.col("id").alias("a"), F.col("other").alias("b")))
+        ties.append(rest.where(F.col("sim") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b")))
+        return best
+
+    lists = merge(found, lists)
+    home, n_nodes = dealt.where("tree = 0").select("id", F.col("leaf").alias("home")), nodes.count()
+    for _ in range(ROUNDS):
         named = lists.join(home, "id").select("home", F.col("other").alias("id"))
         meet = cut(named.unionByName(home.select("home", "id")).distinct())
         floor = lists.groupBy("id").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(-2.0).alias("floor"))
-        block = cut(vectors.join(floor, "id", "left").select("id", "v", F.coalesce("floor", F.lit(-2.0)).alias("floor"))).join(meet, "id")
-        better = cut(block.groupBy("home").applyInArrow(best_of, EDGES))
-        improved = cut(merged(lists.unionByName(better)))
+        block = cut(vectors.join(floor, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))).join(meet, "id")
+        improved = merge(cut(block.groupBy("home").applyInArrow(best_of, edges)), lists)
         moved = improved.join(lists, ["id", "other"], "left_anti").count()
         lists = improved
-        saturated = lists.groupBy("id").agg(F.min("sim").alias("m"), F.count("*").alias("n")).where((F.col("m") >= threshold) & (F.col("n") >= K)).select("id")
-        missed = truth.join(lists.select("id", "other"), ["id", "other"], "left_anti").join(lists.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"], "left_anti")
-        lost = missed.join(saturated, "id", "left_anti").count()  # a saturated list is enlarged below
-        if moved <= 0.01 * n_nodes and lost <= (1 - ENOUGH) * n_truth:
+        if moved <= 0.01 * n_nodes:
             break
-    return lists.unionByName(truth).groupBy("id", "other").agg(F.max("sim").alias("sim"))
-
-
-def whole_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """id, links: for nodes (id, root, v, copies) of enlarged components, the copies of the other members that each links with."""
-    sizes = cut(members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    return lists, cut(reduce(DataFrame.unionByName, ties).distinct())
+
+
+def full_of(lists: DataFrame, threshold: float) -> DataFrame:
+    """The saturated nodes: all of their K neighbours, or more, link."""
+    return lists.groupBy(F.col("id").alias("node")).agg(F.count_if(F.col("sim") >= threshold).alias("n")).where(F.col("n") >= K).select("node")
+
+
+def rooted(lists: DataFrame, ties: DataFrame, threshold: float) -> DataFrame:
+    links = lists.where(F.col("sim") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b"))
+    return cut(connected(links.unionByName(ties)))
+
+
+def bridged(nodes: DataFrame, lists: DataFrame, ties: DataFrame, threshold: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """ties and roots once saturated nodes have looked for links beyond their own component, until no search finds any.
+    Nodes that are not saturated have found theirs already."""
+    full = cut(full_of(lists, threshold))
+    while True:
+        root = rooted(lists, ties, threshold)
+        seeking = nodes.select("id", "g", "v").join(full.join(root, "node").select(F.col("node").alias("id"), F.col("root").alias("colour")), "id")
+        many = seeking.groupBy("g").agg(F.count_distinct("colour").alias("n")).where("n > 1").select("g")
+        seeking = cut(seeking.join(cut(many), "g"))
+        if seeking.isEmpty():
+            return ties, root
+        _, more = descend(seeking, threshold, seed)
+        if more.isEmpty():
+            return ties, root
+        ties = cut(ties.unionByName(more))
+
+
+def searched(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """Neighbour lists, with what the audit found besides, and roots (node, root); None if no attempt passes the audit."""
+    truth = truth_of(nodes, threshold)
+    n_truth, lists, ties = truth.count(), None, None
+    for attempt in range(ATTEMPTS):
+        lists, more = descend(nodes, threshold, 2 * attempt, lists)
+        ties, root = bridged(nodes, lists, more if ties is None else ties.unionByName(more), threshold, 2 * attempt + 1)
+        whole = full_of(lists, threshold).join(root, "node").select("root").distinct().join(root, "root")
+        a, b = whole.select(F.col("node").alias("id"), "root"), whole.select(F.col("node").alias("other"), "root")
+        missed = cut(truth.join(lists.select("id", "other"), ["id", "other"], "left_anti").join(lists.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"], "left_anti"))
+        lost = missed.count() - missed.join(a, "id").join(b, ["other", "root"]).count()  # components with saturated nodes are counted whole
+        if lost <= (1 - ENOUGH) * n_truth:
+            lists = cut(lists.unionByName(truth).groupBy("id", "other").agg(F.max("sim").alias("sim")))
+            return lists, rooted(lists, ties, threshold) if lost else root
+    return None
+
+
+def whole_counts(members: DataFrame, threshold: float, size: int) -> DataFrame:
+    """Over groups (id, root, v, copies), every pair in blocks of about `size`: rows (id, links) with the copies of other members that
+    a node links with in a block pair, and rows (id, other) of a spanning forest of its links."""
+    sizes = cut(members.groupBy("root").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))
     placed = cut(members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     against = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     low, high = F.least("b", "o"), F.greatest("b", "o")
     pairs = placed.select("*", against.alias("o")).select("root", low.alias("i"), high.alias("j"), "b", "id", "v", "copies")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, b, copies, x = group["id"].to_numpy(), group["b"].to_numpy(), group["copies"].to_numpy(), matrix(group["v"])
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        left, right = np.flatnonzero(b == i), np.flatnonzero(b == j)
-        near = x[left] @ x[right].T >= threshold
-        if i == j:
-            np.fill_diagonal(near, False)
-            n, who = near @ copies[right], left
-        else:
-            n, who = np.r_[near @ copies[right], copies[left] @ near], np.r_[left, right]
-        return pa.table({"id": pa.array(ids[who], pa.int64()), "links": pa.array(n, pa.int64())})
-
-    return pairs.groupBy("root", "i", "j").applyInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+        ids, copies, x = group["id"].to_numpy(), group["copies"].to_numpy(), matrix(group["v"])
+        b, i, j = group["b"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
+        near = x @ x.T >= threshold
+        near |= near.T
+        np.fill_diagonal(near, False)
+        label = least_members(near)
+        if i != j:  # links within a block are counted where it meets itself
+            near &= b[:, None] != b[None, :]
+        n, tied = near @ copies, np.flatnonzero(label != np.arange(len(ids)))
+        own = np.flatnonzero(n)
+        who, other = np.r_[ids[own], ids[tied]], np.r_[np.zeros(len(own), "i8"), ids[label[tied]]]
+        links = np.r_[n[own], np.zeros(len(tied), "i8")]
+        return pa.table({"id": pa.array(who, pa.int64()), "other": pa.array(other, pa.int64(), mask=np.arange(len(who)) < len(own)), "links": pa.array(links, pa.int64())})
+
+    return cut(pairs.groupBy("root", "i", "j").applyInArrow(run, "id long, other long, links long"))
 
 
 def usable(v: Column, label: Column) -> Column:
@@ -183,15 +287,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows = cut(rows.select("vec_id", F.when(F.col("good"), F.concat("label", F.lit(":"), F.size("v"))).alias("g"), F.when(F.col("good"), F.col("v")).alias("v")))
     good = rows.where(F.col("g").isNotNull())
     nodes = cut(good.groupBy("g", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select(F.coalesce("least", F.xxhash64("g", "v")).alias("id"), "least", "g", "v", "copies"))
-    lists = cut(descend(nodes, threshold))
-    linked = lists.where(F.col("sim") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b"))
-    both = cut(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    root = cut(connected(both))
-    full = lists.groupBy("id").agg(F.count_if(F.col("sim") >= threshold).alias("n")).where(F.col("n") >= K).select("id")
-    enlarged = cut(root.join(full.withColumnRenamed("id", "node"), "node").select("root").distinct())
-    grown = cut(root.join(enlarged, "root").select(F.col("node").alias("id"), "root"))
-    counted = whole_counts(grown.join(nodes.select("id", "v", "copies"), "id"), threshold)
-    listed = both.join(nodes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("listed"))
+    got = searched(nodes, threshold)
+    if got is None:  # every pair, in blocks
+        counted = whole_counts(nodes.select("id", F.xxhash64("g").alias("root"), "v", "copies"), threshold, WHOLE)
+        root = cut(connected(counted.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))))
+        listed = nodes.select("id", F.lit(0).cast("long").alias("listed"))
+    else:
+        lists, root = got
+        linked = lists.where(F.col("sim") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b"))
+        both = cut(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        enlarged = cut(root.join(full_of(lists, threshold), "node").select("root").distinct())
+        grown = cut(root.join(enlarged, "root").select(F.col("node").alias("id"), "root"))
+        counted = whole_counts(grown.join(nodes.select("id", "v", "copies"), "id"), threshold, BLOCK)
+        listed = both.join(nodes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("listed"))
+    counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
     per_node = nodes.join(counted, "id", "left").join(listed, "id", "left").join(root.select(F.col("node").alias("id"), "root"), "id", "left")
     links = F.coalesce("links", "listed", F.lit(0)) + F.col("copies") - 1
     done = cut(per_node.select("g", "v", links.alias("n_links"), F.coalesce("root", "id").alias("component_id")))
