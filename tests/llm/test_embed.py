@@ -57,3 +57,38 @@ def test_matches_brute_force(spark, monkeypatch, leaf):
 
 def test_empty(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
+
+
+def nested(rng, n_pairs, filler):
+    """Pairs of groups of 14, cosine 0.999 within a group and 0.94 across, among single vectors."""
+    unit = lambda v: v / np.linalg.norm(v)
+    rows, n = [], 0
+    for _ in range(n_pairs):
+        a = unit(rng.normal(size=24))
+        w = rng.normal(size=24)
+        b = 0.945 * a + np.sqrt(1 - 0.945**2) * unit(w - (w @ a) * a)
+        rows += [(n := n + 1, 1, unit(c + 0.004 * rng.normal(size=24)).tolist()) for c in (a, b) for _ in range(14)]
+    return rows + [(n := n + 1, 1, rng.normal(size=24).tolist()) for _ in range(filler)]
+
+
+def result(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df).collect()}
+
+
+def test_links_between_saturated_groups(spark, monkeypatch):
+    monkeypatch.setattr(E, "AUDIT", 16)
+    rows = nested(np.random.default_rng(5), 6, 400)
+    got, want = result(spark, rows), brute(rows)
+    assert got == want, [(k, got[k], want[k]) for k in want if got[k] != want[k]][:9]
+
+
+@pytest.mark.parametrize("attempts", [1, 4])
+def test_failed_audit_goes_on(spark, monkeypatch, attempts):
+    for name, value in (("TREES", 1), ("ROUNDS", 1), ("LEAF", 8), ("K", 3), ("AUDIT", 64), ("ATTEMPTS", attempts)):
+        monkeypatch.setattr(E, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(n, 1, rng.normal(size=24)) for n in range(1, 301)]
+    rows = [(n, 1, v.tolist()) for n, _, v in rows] + [(n + 300, 1, (v + 0.3 * rng.normal(size=24)).tolist()) for n, _, v in rows]
+    got, want = result(spark, rows), brute(rows)
+    assert sum(got[k] == want[k] for k in want) / len(want) > 0.99
