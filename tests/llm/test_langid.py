@@ -54,3 +54,11 @@ def test_odd_rows(spark):
     assert L.identify(empty).count() == 0
     assert {r.lang_pred for r in L.identify(df.withColumn("lang", df.source.substr(9, 0)).where("lang > 'a'")).collect()} <= {"und"}
     assert {r.lang_pred for r in L.identify(df.withColumn("lang", df.lang.substr(9, 0)).selectExpr("doc_id", "text", "nullif(lang, '') lang")).collect()} == {"und"}
+
+
+def test_all_of_a_text_without_blanks_counts():
+    model = L.fit([(t.encode(), k) for t, k in rows(200, 1)])
+    text = "theofandthingwith" * 2 + "derundschönnichtein" * 30
+    assert model.tag([text.encode()])[0][0] == "cc"
+    runs = L.split_words(("é" * 50 + " ab " + "x" * 33).encode())
+    assert b"".join(runs) == ("é" * 50 + "ab" + "x" * 33).encode() and max(map(len, runs)) <= 32 and all(r.decode() for r in runs)

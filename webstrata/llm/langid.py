@@ -3,7 +3,7 @@
 A word's emission score adds the weights of its affixes, n-grams and lexicon entry; learned transitions tie
 neighbouring words together, and forward-backward gives each word a distribution over languages, also in text that
 switches between them. A document's language is the one with the most probability over its words that have letters;
-its score is that share.
+its score is that share. Words over LONGEST bytes, such as text without blanks, are cut into runs, each a word of its own.
 
 The model is fitted on at most FIT_DOCS labelled documents (chosen by a hash of their text, split evenly between
 languages; of a text, at most its first megabyte is learned from, but all of it is tagged). Their words are cut into sequences, some of which switch language half-way, so that transitions are learned
@@ -33,6 +33,7 @@ LETTER = re.compile(r"[^\W\d_]")
 
 STRIP = b".,;:!?\"'()[]{}<>|#*$%&-_"
 WIDTHS, PRIME, SPREAD = (6, 10, 16, 32), np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+LONGEST = WIDTHS[-1]
 
 
 def core(word: bytes) -> bytes:
@@ -41,9 +42,26 @@ def core(word: bytes) -> bytes:
     return w if w.isalpha() or LETTER.search(w.decode("utf-8", "replace")) else b""
 
 
+def split_words(text: bytes) -> list[bytes]:
+    """The words of a text; longer ones than LONGEST are cut, between characters, into runs of at most LONGEST bytes."""
+    words = text.split()
+    if not words or len(max(words, key=len)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        at = 0
+        while len(w) - at > LONGEST:
+            end = at + LONGEST
+            while end > at + LONGEST - 3 and w[end] & 0xC0 == 0x80:
+                end -= 1
+            out.append(w[at:end])
+            at = end
+        out.append(w[at:])
+    return out
+
+
 def features(words: list[bytes], width: int) -> np.ndarray:
-    """Table positions (len(words), F) of the features of words of 1 to `width` bytes (of longer ones, of their first `width`):
-    the word itself, affixes of 1 to 4 bytes, n-grams of 1 to 3 bytes. TABLE stands for none."""
+    """Table positions (len(words), F) of the features of words of 1 to `width` bytes: the word itself, affixes of 1 to 4 bytes, n-grams of 1 to 3 bytes. TABLE stands for none."""
     n = np.array([min(len(w), width) for w in words], "i8")[:, None]
     raw = np.frombuffer(b"".join(w[:width].ljust(width + 4, b"\0") for w in words), np.uint8).reshape(-1, width + 4).astype("u8") + np.uint64(1)
     at = np.arange(width)[None, :]
@@ -121,7 +139,7 @@ class Tagger:
         self.known.update(zip(words, [data[i : i + size] for i in range(0, len(data), size)], strict=True))
 
     def emissions(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        split = [(t or b"").split() for t in texts]
+        split = [split_words(t or b"") for t in texts]
         found = [list(map(self.known.get, words)) for words in split]
         new = {w for words, got in zip(split, found, strict=True) if None in got for w, x in zip(words, got, strict=True) if x is None}
         if new:
@@ -180,7 +198,7 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 0) -> Tagger:
     runs: dict[int, list] = defaultdict(list)
     words_of: dict[int, int] = defaultdict(int)
     for text, lang in rows:
-        k, words = langs.index(lang), text.split()
+        k, words = langs.index(lang), split_words(text)
         for i in range(0, len(words), SEQUENCE):
             if words_of[k] >= quota:
                 break
