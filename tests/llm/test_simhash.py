@@ -87,3 +87,26 @@ def test_copies_are_alike_and_originals_stay(spark):
     alike = [k for k in sets if any(o < k and near(k, o) for o in sets)]
     assert len([k for k in alike if k not in gone]) <= 0.1 * len(alike)
     assert S.copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("batch", [16 << 20, 20_000])
+def test_no_copy_of_a_large_family_stays(spark, monkeypatch, batch):
+    monkeypatch.setattr(S, "BATCH", batch, raising=False)
+    rng = random.Random(8)
+    base, rows = [f"w{rng.randrange(9999)}" for _ in range(300)], []
+    for k in range(30):  # each edited in ten places, most of them under 0.8 to each other
+        own = list(base)
+        for i in rng.sample(range(300), 10):
+            own[i] = f"x{k}y{i}"
+        rows += [(n, " ".join(own[: 300 - 2 * (n - 4 * k)])) for n in range(4 * k, 4 * k + 3)] + [(4 * k + 3, " ".join(own))]
+    for k in range(120, 200, 2):  # edited so often that word pairs differ in many bits
+        own = [f"v{rng.randrange(9999)}" for _ in range(60)]
+        rows += [(k, " ".join(own)), (k + 1, " ".join([*own[:30], "new", *own[30:], "end"]))]
+    gone = {r.doc_id for r in S.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    rolling = S.Rolling(S.BASES[0])
+    sets = {k: S.shingle_set(t.encode(), 5, rolling) for k, t in rows}
+    want = []
+    for k in sorted(sets):
+        if not any(S.jaccard(sets[k], sets[o]) >= 0.8 for o in want):
+            want.append(k)
+    assert len(want) > 60 and set(sets) - gone == set(want)

@@ -15,6 +15,7 @@ has no other id; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import accumulate
@@ -22,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, claim, cut, parts
@@ -30,6 +31,7 @@ from .components import connected
 from .substring import BASES, Rolling, word_hashes
 
 BITS, RADIUS, BUCKET, LEVELS = 64, 3, 4096, 4
+BANDS, ROWS, BATCH = 42, 6, 16 << 20
 
 
 def simhash(text: bytes | None, width: int = 3) -> bytes:
@@ -178,44 +180,123 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def copies(docs: DataFrame, width: int = 5, least: float = 0.8, rounds: int = 3) -> DataFrame:
-    """doc_id of documents whose word shingles have a Jaccard similarity of `least` or more with those of a document that stays.
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, digest of the text, and BANDS hashes, each of ROWS least values of the word shingles; no shuffle."""
+    bounded_batches(docs.sparkSession)
+    factor = np.random.default_rng(1).integers(0, 1 << 63, size=(BANDS * ROWS, 1), dtype="u8") * np.uint64(2) + np.uint64(1)
 
-    Fingerprints of word pairs within five bits make candidate groups. In each round every member is compared, exactly,
-    with the first of its group; those alike are copies, the rest form a group of their own. What is left after the rounds
-    stays. So no pairs are made, nothing goes without an exact comparison, and a hot group's rows can be split."""
-    groups = near_duplicates(docs, width=2, radius=5).select("doc_id", F.col("component_id").alias("first")).where("doc_id IS NOT NULL").distinct()
-    groups = cut(groups)
-    many = cut(groups.groupBy("first").agg(F.count("*").alias("n")).where("n > 1").select("first"))
-    members = groups.join(many, "first").select("doc_id", "first")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(texts.join(cut(members), "doc_id").select("doc_id", "first", "text"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bands(text: bytes, rolling: Rolling) -> np.ndarray:
+        x, least = shingle_set(text, width, rolling).astype("u8"), np.full(BANDS * ROWS, ~np.uint64(0))
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        for k in range(0, len(x), 1024):
+            np.minimum(least, (x[None, k : k + 1024] * factor).min(axis=1), out=least)
+        return least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
-        rolling, held = Rolling(BASES[0]), (None, None)
+        rolling = Rolling(BASES[0])
         for batch in batches:
-            alike = []
-            for t, f in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
-                if t == f:
-                    alike.append(True)
+            if not batch.num_rows:
+                continue
+            least = np.stack([bands(t, rolling) for t in as_bytes(batch.column(2))]).reshape(-1, BANDS, ROWS)
+            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype="u8"), least.shape[:2])
+            for i in range(ROWS):
+                key = (key ^ (key >> np.uint64(32)) ^ least[:, :, i]) * np.uint64(0xBF58476D1CE4E5B9)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(key.view("i8")), pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text")).mapInArrow(run, "doc_id long, digest string, bands array<long>")
+
+
+class Stays:
+    """Shingle sets, found again by the least fifth of their hashes: sets of similarity `least` or more share one of these."""
+
+    def __init__(self, least: float):
+        self.least, self.sets, self.where = least, [], {}
+
+    def prefix(self, x: np.ndarray) -> list[int]:
+        return x[: len(x) - math.ceil(self.least * len(x) - 1e-9) + 1].tolist() or [-1]
+
+    def alike(self, x: np.ndarray) -> bool:
+        seen: set[int] = set()
+        for h in self.prefix(x):
+            for k in self.where.get(h, ()):
+                if k not in seen:
+                    seen.add(k)
+                    y = self.sets[k]
+                    if min(len(x), len(y)) >= self.least * max(len(x), len(y)) - 1e-9 and jaccard(x, y) >= self.least:
+                        return True
+        return False
+
+    def add(self, x: np.ndarray) -> None:
+        for h in self.prefix(x):
+            self.where.setdefault(h, []).append(len(self.sets))
+        self.sets.append(x)
+
+
+def judged(rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Over rows (root, chunk, kind, doc_id, text): alike, for each document but those of kind 0, which are known to stay. Kind 1 is
+    compared with these; kind 2, by rising doc_id, with all that stay of its kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
+        rolling, group, last, stays = Rolling(BASES[0]), None, None, Stays(least)
+        for batch in batches:
+            ids, roots, out = [], [], []
+            for root, chunk, kind, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), as_bytes(batch.column(4)), strict=True):
+                if group != (root, chunk):
+                    group, last, stays = (root, chunk), None, Stays(least)
+                if doc == last:  # a row that repeats
                     continue
-                if held[0] != f:
-                    held = (f, shingle_set(f, width, rolling))
-                alike.append(jaccard(shingle_set(t, width, rolling), held[1]) >= least)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(alike)], names=["doc_id", "first", "alike"])
-
-    out = None
-    for turn in range(rounds):
-        heads = cut(rows.where("doc_id = first").select("first", F.col("text").alias("head")).dropDuplicates(["first"]))
-        pairs = rows.where("doc_id <> first").join(heads, "first").select("doc_id", "first", "text", "head")
-        judged = cut(pairs.mapInArrow(compare, "doc_id long, first long, alike boolean"))
-        found = judged.where("alike").select("doc_id")
-        out = found if out is None else out.unionByName(found)
-        rest = judged.where("not alike").select("doc_id", "first")
-        if turn == rounds - 1 or rest.isEmpty():
-            break
-        heads_of = cut(rest.groupBy("first").agg(F.min("doc_id").alias("head")))
-        regrouped = rest.join(heads_of, "first").select("doc_id", F.col("head").alias("next"))
-        rows = cut(rows.join(cut(regrouped), "doc_id").select("doc_id", F.col("next").alias("first"), "text"))
-    return out.distinct()
+                last, x = doc, shingle_set(text, width, rolling)
+                alike = kind > 0 and stays.alike(x)
+                if kind != 1 and not alike:
+                    stays.add(x)
+                if kind:
+                    ids.append(doc)
+                    roots.append(root)
+                    out.append(alike)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(out, pa.bool_())], names=["doc_id", "root", "alike"])
+
+    dealt = rows.select("root", "chunk", "kind", "doc_id", "text").repartition(parts(rows), "root", "chunk")
+    return cut(dealt.sortWithinPartitions("root", "chunk", "kind", "doc_id").mapInArrow(run, "doc_id long, root long, alike boolean"))
+
+
+def copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id of documents whose word shingles have a Jaccard similarity of `least` or more with those of a document that stays.
+
+    Equal texts go first. Fingerprints of word pairs within five bits, and least hashes of the shingles - ROWS of them equal
+    in one of BANDS bands - make candidate groups. Of a group, the first documents, up to BATCH bytes, are decided in order:
+    each is compared, exactly, with those before it that stay. The others are compared with all that stay of these, in
+    chunks, and those left are a group again, until none is left. So no pairs are made, nothing goes without an exact
+    comparison, no two that stay in a group are alike, and a hot group is spread over tasks."""
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+    sketched = cut(sketches(docs, width))
+    first = cut(sketched.groupBy("digest").agg(F.min("doc_id").alias("least")))
+    equal = sketched.join(first, "digest").where("doc_id <> least").select("doc_id").distinct()
+    out = cut(equal)
+    banded = cut(sketched.join(out, "doc_id", "left_anti").select(F.col("doc_id").alias("a"), F.explode("bands").alias("band")))
+    heads = cut(banded.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("band", "b"))
+    alike = banded.join(heads, "band").where("a <> b").select("a", "b")
+    prints = near_duplicates(docs, width=2, radius=5).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b")
+    root = cut(connected(alike.unionByName(prints.join(out.withColumnRenamed("doc_id", "a"), "a", "left_anti")).distinct()))
+    members = root.select(F.col("node").alias("doc_id"), "root")
+    rows = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(members, "doc_id"))
+    size, none = F.octet_length("text") + F.lit(64), F.lit(0)
+    while True:
+        so_far = F.sum("size").over(Window.partitionBy("root").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
+        ranked = cut(rows.select("doc_id", "root", size.cast("long").alias("size")).withColumn("before", F.coalesce(so_far, F.lit(0))))
+        rest = cut(ranked.where(F.col("before") >= BATCH).select("doc_id").distinct())
+        now = judged(rows.join(rest, "doc_id", "left_anti").withColumns({"chunk": none, "kind": F.lit(2)}), width, least)
+        out = out.unionByName(now.where("alike").select("doc_id"))
+        if rest.isEmpty():
+            return out.distinct()
+        chunks = cut(ranked.where(F.col("before") >= BATCH).groupBy("root").agg(F.ceil(F.sum("size") / BATCH).cast("int").alias("n")))
+        stay = rows.join(now.where("not alike").select("doc_id"), "doc_id").join(chunks, "root")
+        stay = stay.select("root", F.explode(F.sequence(none, F.col("n") - 1)).alias("chunk"), none.alias("kind"), "doc_id", "text")
+        left = rows.join(rest, "doc_id").join(chunks, "root")
+        left = left.select("root", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "doc_id", "text")
+        then = judged(stay.unionByName(left), width, least)
+        out = out.unionByName(then.where("alike").select("doc_id"))
+        rows = cut(rows.join(then.where("not alike").select("doc_id").distinct(), "doc_id"))
