@@ -92,3 +92,30 @@ def test_failed_audit_goes_on(spark, monkeypatch, attempts):
     rows = [(n, 1, v.tolist()) for n, _, v in rows] + [(n + 300, 1, (v + 0.3 * rng.normal(size=24)).tolist()) for n, _, v in rows]
     got, want = result(spark, rows), brute(rows)
     assert sum(got[k] == want[k] for k in want) / len(want) > 0.99
+
+
+def test_many_nodes(spark, monkeypatch):
+    """Planted pairs and a group of near copies among more nodes than the audit has, which adds no link itself."""
+    monkeypatch.setattr(E, "AUDIT", 64)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(1900, 32))
+    pairs = base[:300] + 0.1 * rng.normal(size=(300, 32))
+    group = base[-1] + 0.12 * rng.normal(size=(250, 32))
+    x = np.concatenate([base, pairs, group])
+    rows = [(i + 1, 1, v.tolist()) for i, v in enumerate(x)]
+    got = result(spark, rows)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    root = E.least_members(near | np.eye(len(x), dtype=bool)) + 1
+    want = {i + 1: (int(near[i].sum()), int(root[i]), bool(root[i] == i + 1)) for i in range(len(x))}
+    assert sum(v[0] > 0 for v in want.values()) > 600
+    assert sum(got[k] == want[k] for k in want) >= 0.999 * len(want)
+
+
+def test_very_long_vectors_and_clashing_columns(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=20_000).tolist()
+    df = spark.createDataFrame([(1, 0, v, 1, 2), (2, 0, [2 * x for x in v], 1, 2), (None, 0, v, 1, 2), (4, 0, v[::-1], 1, 2)], "vec_id long, label int, embedding array<double>, id int, root int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df).collect()}
+    assert got[1][0] == 2 and got[2][0] == 2 and got[4] == (0, 4) and got[1][1] == got[2][1]

@@ -11,17 +11,20 @@ component, until a search finds none. A component with saturated nodes is compar
 every link and emits none. So there is no cap on links, and groups of thousands of near copies cost block pairs, spread
 over tasks, not rows.
 
-An audit - a sample of nodes compared with every node - must find at least ENOUGH of its links in the result, saturated
-nodes included. If not, TREES more partitions are searched from where the lists stand; after ATTEMPTS of them all pairs
-of a label are compared in blocks, which is exact and quadratic.
+An audit compares a sample of nodes with every node and counts the links that the search has missed, saturated nodes
+included; it adds none. At least ENOUGH must be found. If not, TREES more partitions are searched from where the lists
+stand; after ATTEMPTS of them all pairs of a label are compared in blocks, which is exact and quadratic. The audit's figures
+are logged.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those of null label, link with nothing;
 vectors of different length are never compared; an empty table gives an empty result; rows that repeat a vec_id are one
-more copy of their vector; rows of null vec_id take part and keep it; extra columns are ignored.
+more copy of their vector; rows of null vec_id take part and keep it; ties in lists go to the smaller id; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut
 from .components import connected
 
-K, LEAF, TREES, ROUNDS, ATTEMPTS, AUDIT, ENOUGH, BLOCK, WHOLE = 12, 256, 4, 8, 4, 512, 0.995, 256, 1024
+K, LEAF, TREES, ROUNDS, ATTEMPTS, AUDIT, ENOUGH, BLOCK, WHOLE = 12, 256, 4, 8, 4, 512, 0.995, 256, 2048
+LOG = logging.getLogger(__name__)
 EDGES = "id long, other long, sim double"
 
 
@@ -132,73 +136,103 @@ def leaves(nodes: DataFrame, seed: int = 0) -> DataFrame:
 
 def merged(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The K best of each node, and what else links: (id, other, sim) of which lists have no room, and ties."""
-    once = edges.where("not tie").groupBy("id", "other").agg(F.max("sim").alias("sim"))
+    once = edges.where("not tie").repartition("id").groupBy("id", "other").agg(F.max("sim").alias("sim"))  # one exchange for both
     order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     ranked = cut(once.withColumn("rank", F.row_number().over(order)))
     return ranked.where(F.col("rank") <= K).drop("rank"), ranked.where(F.col("rank") > K).drop("rank")
 
 
-def audited(nodes: DataFrame, sample: DataFrame, threshold: float) -> DataFrame:
-    """All links of the sample's nodes with any node; the sample is bounded, so it is collected and sent along."""
-    asked: dict[str, tuple[list, list]] = {}
-    for r in sample.collect():
-        own = asked.setdefault(r["g"], ([], []))
-        own[0].append(r["id"])
-        own[1].append(r["v"])
-    probes = {g: (np.array(ids), matrix(pa.array(v, pa.list_(pa.float64())))) for g, (ids, v) in asked.items()}
+AUDITED = "id long, other long, n long"
+
+
+def compared(nodes: DataFrame, sample: list, threshold: float) -> DataFrame:
+    """The links of the sample's nodes with any node of (id, g, v, whole): a row (id, other) each, but those within one whole component
+    are only counted, n. The sample is bounded, so it goes along."""
+    asked: dict[str, tuple[list, list, list]] = {}
+    for r in sample:
+        for column, value in zip(asked.setdefault(r["g"], ([], [], [])), (r["id"], r["v"], r["whole"]), strict=True):
+            column.append(value)
+    probes = {g: (np.array(ids), matrix(pa.array(v, pa.list_(pa.float64()))), np.array(whole, "f8")) for g, (ids, v, whole) in asked.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, names = 0, ["id", "other", "n"]
         for batch in batches:
             ids, g = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object)
+            whole = batch.column(3).cast(pa.float64()).to_numpy(zero_copy_only=False)  # numbers of components, nan if none
             for name in set(g.tolist()) & set(probes):
+                of, x, of_whole = probes[name]
                 where = np.flatnonzero(g == name)
                 for part in np.split(where, range(256, len(where), 256)):
-                    s = matrix(batch.column(2).take(pa.array(part))) @ probes[name][1].T
-                    a, b = np.nonzero(s >= threshold)
-                    own = ids[part[a]] != probes[name][0][b]
-                    yield from as_edges(probes[name][0][b][own], ids[part[a]][own], s[a, b][own]).to_batches()
-
-    return nodes.select("id", "g", "v").mapInArrow(run, EDGES)
-
-
-def truth_of(nodes: DataFrame, threshold: float) -> DataFrame:
-    """The links of a sample of nodes, found by comparison with every node. It grows from AUDIT nodes until it holds AUDIT
-    links, to 16 times AUDIT nodes at most."""
-    size, n = AUDIT, nodes.count()
+                    a, b = np.nonzero(matrix(batch.column(2).take(pa.array(part))) @ x.T >= threshold)
+                    own = ids[part[a]] != of[b]
+                    a, b = a[own], b[own]
+                    inside = whole[part[a]] == of_whole[b]
+                    n += int(inside.sum())
+                    a, b = a[~inside], b[~inside]
+                    if len(a):
+                        yield pa.record_batch([pa.array(of[b]), pa.array(ids[part[a]]), pa.array(np.ones(len(a), "i8"))], names=names)
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([n])], names=names)
+
+    return nodes.select("id", "g", "v", "whole").mapInArrow(run, AUDITED)
+
+
+def audit(nodes: DataFrame, lists: DataFrame, root: DataFrame, threshold: float) -> tuple[int, int]:
+    """How many links a sample of nodes has with all nodes, and how many of them the search has missed. The sample grows from AUDIT nodes
+    until it has AUDIT links, to 16 times AUDIT nodes or 32 MB at most. Components with saturated nodes are counted whole later, so
+    links within them count as found; their numbers are small enough to be exact as doubles."""
+    saturated = full_of(lists, threshold).join(root, "node").select("root").distinct()
+    numbers = cut(saturated.select("root", F.monotonically_increasing_id().alias("whole")))
+    placed = cut(root.join(numbers, "root").select(F.col("node").alias("id"), "whole"))
+    known = cut(nodes.select("id", "g", "v").join(placed, "id", "left"))
+    n, width = known.agg(F.count("*"), F.max(F.size("v"))).first()
+    size, most = AUDIT, min(n, 16 * AUDIT, max(AUDIT, (32 << 20) // (8 * (width or 1))))
     while True:
-        sample = nodes.select("id", "g", "v").orderBy(F.xxhash64("id")).limit(size)
-        truth = cut(audited(nodes, sample, threshold))
-        if size >= min(n, 16 * AUDIT) or truth.count() >= AUDIT:
-            return truth
+        sample = known.orderBy(F.xxhash64("id")).limit(size).collect()
+        truth = cut(compared(known, sample, threshold))
+        links = truth.agg(F.sum("n")).first()[0] or 0
+        if size >= most or links >= AUDIT:
+            break
         size *= 4
+    pairs = truth.where("id IS NOT NULL").select("id", "other")
+    back = lists.select(F.col("other").alias("id"), F.col("id").alias("other"))
+    return links, pairs.join(lists.select("id", "other").unionByName(back), ["id", "other"], "left_anti").count()
 
 
 def descend(nodes: DataFrame, threshold: float, seed: int, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Neighbour lists (id, other, sim) of the nodes (id, g, v and, if need be, colour), improved from `lists`, and ties (a, b)."""
+    """Neighbour lists (id, other, sim) of the nodes (id, g, v and, if need be, colour), improved from `lists`, and ties (a, b).
+
+    Rounds end when one brings less than one link in two hundred, or, as long as there are no links to go by, when lists hardly
+    change. With colours, only ties count: the search ends where it finds some, or after two rounds without any."""
     dealt = cut(leaves(nodes, seed))
+    coloured = "colour" in nodes.columns
     vectors = nodes.select("id", "v", *(c for c in nodes.columns if c == "colour"))
     best_of, edges = best_in(threshold), EDGES + ", tie boolean"
-    found = cut(dealt.join(vectors, "id").select("tree", "leaf", *vectors.columns).groupBy("tree", "leaf").applyInArrow(best_of, edges))
     ties = []
 
-    def merge(found: DataFrame, lists: DataFrame | None) -> DataFrame:
+    def merge(found: DataFrame, lists: DataFrame | None) -> tuple[DataFrame, int]:
         known = found if lists is None else found.unionByName(lists.withColumn("tie", F.lit(False)))
         best, rest = merged(known)
         ties.append(found.where("tie").select(F.col("id").alias("a"), F.col("other").alias("b")))
         ties.append(rest.where(F.col("sim") >= threshold).select(F.col("id").alias("a"), F.col("other").alias("b")))
-        return best
+        return best, found.where("tie").count() if coloured else best.where(F.col("sim") >= threshold).count()
 
-    lists = merge(found, lists)
+    found = cut(dealt.join(vectors, "id").select("tree", "leaf", *vectors.columns).groupBy("tree", "leaf").applyInArrow(best_of, edges))
+    lists, links = merge(found, lists)
     home, n_nodes = dealt.where("tree = 0").select("id", F.col("leaf").alias("home")), nodes.count()
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
+        if coloured and (links or turn == 2):
+            break
         named = lists.join(home, "id").select("home", F.col("other").alias("id"))
-        meet = cut(named.unionByName(home.select("home", "id")).distinct())
+        meet = named.unionByName(home.select("home", "id")).distinct()
         floor = lists.groupBy("id").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(-2.0).alias("floor"))
         block = cut(vectors.join(floor, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))).join(meet, "id")
-        improved = merge(cut(block.groupBy("home").applyInArrow(best_of, edges)), lists)
-        moved = improved.join(lists, ["id", "other"], "left_anti").count()
-        lists = improved
-        if moved <= 0.01 * n_nodes:
+        improved, more = merge(cut(block.groupBy("home").applyInArrow(best_of, edges)), lists)
+        if more and not coloured:
+            done = more <= 1.005 * links
+        else:
+            done = not coloured and improved.join(lists, ["id", "other"], "left_anti").count() <= 0.01 * n_nodes
+        lists, links = improved, more
+        if done:
             break
     return lists, cut(reduce(DataFrame.unionByName, ties).distinct())
 
@@ -221,7 +255,7 @@ def bridged(nodes: DataFrame, lists: DataFrame, ties: DataFrame, threshold: floa
         root = rooted(lists, ties, threshold)
         seeking = nodes.select("id", "g", "v").join(full.join(root, "node").select(F.col("node").alias("id"), F.col("root").alias("colour")), "id")
         many = seeking.groupBy("g").agg(F.count_distinct("colour").alias("n")).where("n > 1").select("g")
-        seeking = cut(seeking.join(cut(many), "g"))
+        seeking = cut(seeking.join(many, "g"))
         if seeking.isEmpty():
             return ties, root
         _, more = descend(seeking, threshold, seed)
@@ -231,25 +265,24 @@ def bridged(nodes: DataFrame, lists: DataFrame, ties: DataFrame, threshold: floa
 
 
 def searched(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame] | None:
-    """Neighbour lists, with what the audit found besides, and roots (node, root); None if no attempt passes the audit."""
-    truth = truth_of(nodes, threshold)
-    n_truth, lists, ties = truth.count(), None, None
+    """Neighbour lists and roots (node, root) that pass the audit; None if no attempt does."""
+    lists, ties = None, None
     for attempt in range(ATTEMPTS):
         lists, more = descend(nodes, threshold, 2 * attempt, lists)
         ties, root = bridged(nodes, lists, more if ties is None else ties.unionByName(more), threshold, 2 * attempt + 1)
-        whole = full_of(lists, threshold).join(root, "node").select("root").distinct().join(root, "root")
-        a, b = whole.select(F.col("node").alias("id"), "root"), whole.select(F.col("node").alias("other"), "root")
-        missed = cut(truth.join(lists.select("id", "other"), ["id", "other"], "left_anti").join(lists.select(F.col("other").alias("id"), F.col("id").alias("other")), ["id", "other"], "left_anti"))
-        lost = missed.count() - missed.join(a, "id").join(b, ["other", "root"]).count()  # components with saturated nodes are counted whole
-        if lost <= (1 - ENOUGH) * n_truth:
-            lists = cut(lists.unionByName(truth).groupBy("id", "other").agg(F.max("sim").alias("sim")))
-            return lists, rooted(lists, ties, threshold) if lost else root
+        links, lost = audit(nodes, lists, root, threshold)
+        LOG.info("attempt %d: the audit's %d links but for %d were found", attempt + 1, links, lost)
+        if lost <= (1 - ENOUGH) * links:
+            return lists, root
+    LOG.warning("no attempt passed the audit: all pairs of each label are compared")
     return None
 
 
-def whole_counts(members: DataFrame, threshold: float, size: int) -> DataFrame:
-    """Over groups (id, root, v, copies), every pair in blocks of about `size`: rows (id, links) with the copies of other members that
-    a node links with in a block pair, and rows (id, other) of a spanning forest of its links."""
+def whole_counts(members: DataFrame, threshold: float) -> DataFrame:
+    """Over groups (id, root, v, copies), every pair in block pairs: rows (id, links) with the copies of other members that a node links
+    with in a block pair, and rows (id, other) of a spanning forest of its links. Blocks grow with their group from BLOCK to WHOLE, so
+    a group of n is sent n / WHOLE times at most; counts of links need all pairs, which is quadratic."""
+    size = F.greatest(F.lit(BLOCK), F.least(F.lit(WHOLE), F.count("*") / 16))
     sizes = cut(members.groupBy("root").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks")))
     placed = cut(members.join(sizes, "root").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     against = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -259,7 +292,9 @@ def whole_counts(members: DataFrame, threshold: float, size: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         ids, copies, x = group["id"].to_numpy(), group["copies"].to_numpy(), matrix(group["v"])
         b, i, j = group["b"].to_numpy(), group["i"][0].as_py(), group["j"][0].as_py()
-        near = x @ x.T >= threshold
+        near = np.empty((len(x), len(x)), bool)
+        for k in range(0, len(x), 512):
+            near[k : k + 512] = x[k : k + 512] @ x.T >= threshold
         near |= near.T
         np.fill_diagonal(near, False)
         label = least_members(near)
@@ -289,7 +324,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     nodes = cut(good.groupBy("g", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select(F.coalesce("least", F.xxhash64("g", "v")).alias("id"), "least", "g", "v", "copies"))
     got = searched(nodes, threshold)
     if got is None:  # every pair, in blocks
-        counted = whole_counts(nodes.select("id", F.xxhash64("g").alias("root"), "v", "copies"), threshold, WHOLE)
+        counted = whole_counts(nodes.select("id", F.xxhash64("g").alias("root"), "v", "copies"), threshold)
         root = cut(connected(counted.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))))
         listed = nodes.select("id", F.lit(0).cast("long").alias("listed"))
     else:
@@ -298,7 +333,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         both = cut(linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
         enlarged = cut(root.join(full_of(lists, threshold), "node").select("root").distinct())
         grown = cut(root.join(enlarged, "root").select(F.col("node").alias("id"), "root"))
-        counted = whole_counts(grown.join(nodes.select("id", "v", "copies"), "id"), threshold, BLOCK)
+        counted = whole_counts(grown.join(nodes.select("id", "v", "copies"), "id"), threshold)
         listed = both.join(nodes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("listed"))
     counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
     per_node = nodes.join(counted, "id", "left").join(listed, "id", "left").join(root.select(F.col("node").alias("id"), "root"), "id", "left")
