@@ -5,12 +5,15 @@ neighbouring words together, and forward-backward gives each word a distribution
 switches between them. A document's language is the one with the most probability over its words that have letters;
 its score is that share. Words over LONGEST bytes, such as text without blanks, are cut into runs, each a word of its own.
 
-The model is fitted on at most FIT_DOCS labelled documents (chosen by a hash of their text, split evenly between
-languages; of a text, at most its first megabyte is learned from, but all of it is tagged). Their words are cut into sequences, some of which switch language half-way, so that transitions are learned
-rather than assumed. Weights live in a hashed table of fixed size, so the broadcast model does not grow with the data.
-
-Null text and text without a letter are `und` with score 0; with no labelled rows every text is; empty tables give
-empty results; repeated rows give one row each; extra columns are ignored.
+The model is fitted on FIT_DOCS labelled documents at most (more only where that many languages need one each), split
+evenly between languages and chosen by a hash of their id and text. A text's words are cut into sequences of SEQUENCE, of
+which FIT_RUNS, evenly placed over all of it, are learned from; all of every text is tagged. Some sequences switch language
+half-way, so that transitions are learned rather than assumed. Weights live in a hashed table of half a megabyte a
+language, so the broadcast model does not grow with the rows.
+
+Null text and text without a letter are `und` with score 0; with no labelled rows every text is; languages that tie go by
+their names' order; very long texts are tagged whole; empty tables give empty results; repeated rows give one row each;
+rows of null id are not held out; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, claim, crc_mod, cut, hashed_sample
 
-FIT_DOCS, FIT_WORDS, SEQUENCE, TABLE, PASSES = 1600, 400_000, 40, 1 << 17, 3
+FIT_DOCS, FIT_RUNS, SEQUENCE, TABLE, PASSES = 1600, 48, 40, 1 << 17, 3
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -194,16 +197,11 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 0) -> Tagger:
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Tagger([], np.zeros((TABLE + 1, 0)), np.zeros((0, 0)))
-    n, quota = len(langs), FIT_WORDS // len(langs)
+    n, place = len(langs), {lang: k for k, lang in enumerate(langs)}
     runs: dict[int, list] = defaultdict(list)
-    words_of: dict[int, int] = defaultdict(int)
     for text, lang in rows:
-        k, words = langs.index(lang), split_words(text)
-        for i in range(0, len(words), SEQUENCE):
-            if words_of[k] >= quota:
-                break
-            runs[k].append(words[i : i + SEQUENCE])
-            words_of[k] += len(words[i : i + SEQUENCE])
+        words = split_words(text)
+        runs[place[lang]] += [words[i : i + SEQUENCE] for i in range(0, len(words), SEQUENCE)]
     chains = []
     for k, own in runs.items():
         for run in own:
@@ -250,21 +248,34 @@ def fit(rows: list[tuple[bytes, str]], seed: int = 0) -> Tagger:
     return Tagger(langs, weights.astype("f4"), transition)
 
 
+def some_runs(text: bytes) -> list[bytes]:
+    """At most FIT_RUNS runs of SEQUENCE words, evenly placed over a text; all of them if there are no more."""
+    words = split_words(text)
+    at = np.arange(0, len(words), SEQUENCE)
+    if len(at) > FIT_RUNS:
+        at = at[np.linspace(0, len(at) - 1, FIT_RUNS).astype(int)]
+    return [b" ".join(words[i : i + SEQUENCE]) for i in at.tolist()]
+
+
 def fitted(docs: DataFrame, learn: Column, limit: int = FIT_DOCS) -> Tagger:
-    """Fit on at most `limit` rows of docs (text, lang) for which `learn` holds, as many of each language as can be."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(F.col("text"), "lang")
-    langs = rows.select("lang").distinct().limit(256).count()
-    if not langs:
-        return fit([])
-    picked = hashed_sample(rows, "lang", max(1, limit // langs), "text")
+    """Fit on about `limit` rows of docs (doc_id, text, lang) for which `learn` holds, as many of each language as can be and one at least."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"), "lang")
+    picked = hashed_sample(rows, "lang", "doc_id", "text", total=limit)
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = [(r, lang) for t, lang in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True) for r in some_runs(t)]
+            yield pa.record_batch([pa.array([r for r, _ in runs], pa.binary()), pa.array([x for _, x in runs], pa.string())], names=["run", "lang"])
 
     def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = [(t, lang) for b in tables for t, lang in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True)]
+        data = [pair for b in tables for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
         model = fit(sorted(data))
         yield pa.record_batch([pa.array([model.langs]), pa.array([model.weights.tobytes()]), pa.array([model.transition.tobytes()])], names=["langs", "weights", "transition"])
 
-    sample = cut(picked.select(F.substring("text", 1, 1 << 20).alias("text"), "lang"))
+    sample = cut(picked.select("text", "lang").mapInArrow(shorten, "run binary, lang string"))
     row = sample.coalesce(1).mapInArrow(run, "langs array<string>, weights binary, transition binary").first()
+    if row is None:
+        return fit([])
     n = len(row["langs"])
     return Tagger(list(row["langs"]), np.frombuffer(row["weights"], "f4").reshape(TABLE + 1, n), np.frombuffer(row["transition"], "f8").reshape(n, n))
 
