@@ -46,3 +46,21 @@ def test_run_and_empty(spark, tmp_path):
         spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
     assert P.run(spark, str(tmp_path / "some")).count() > 50
     assert P.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_rows_without_ids_of_their_own(spark, tmp_path):
+    """Null and repeated ids, clashing columns, a lazy result of another operator in the same session."""
+    from webstrata.llm import simhash
+
+    rows, _ = corpus()
+    rows = [(None if i % 3 == 0 else 7, *r[1:], "x", "y") for i, r in enumerate(rows[:60])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copy string, lang_pred string"
+    docs = spark.createDataFrame(rows, schema)
+    other = simhash.near_duplicates(docs)
+    kept = {}
+    for name, stage in P.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        kept[name] = docs.count()
+    assert kept["language_id"] == kept["simhash_near_dedup"] == kept["substring_dedup"] == 60
+    assert other.count() == 60

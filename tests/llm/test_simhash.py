@@ -78,7 +78,9 @@ def test_copies_are_alike_and_originals_stay(spark):
                 own[rng.randrange(len(own))] = rng.choice(words)
             rows.append((n := n + 1, " ".join(own)))
     rows += [(500, None), (501, ""), (502, rows[0][1]), (502, rows[0][1])]
-    gone = {r.doc_id for r in S.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = [r.doc_id for r in S.drop_copies(df).collect()]
+    gone = {k for k, _ in rows} - set(stay)
     rolling = S.Rolling(S.BASES[0])
     sets = {k: S.shingle_set((t or "").encode(), 5, rolling) for k, t in rows}
     near = lambda a, b: S.jaccard(sets[a], sets[b]) >= 0.8
@@ -86,7 +88,7 @@ def test_copies_are_alike_and_originals_stay(spark):
     assert all(any(near(k, o) for o in sets if o not in gone and o < k) for k in gone)
     alike = [k for k in sets if any(o < k and near(k, o) for o in sets)]
     assert len([k for k in alike if k not in gone]) <= 0.1 * len(alike)
-    assert S.copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert len(stay) == len(set(stay)) and S.drop_copies(df.where("false")).count() == 0
 
 
 @pytest.mark.parametrize("batch", [16 << 20, 20_000])
@@ -102,11 +104,29 @@ def test_no_copy_of_a_large_family_stays(spark, monkeypatch, batch):
     for k in range(120, 200, 2):  # edited so often that word pairs differ in many bits
         own = [f"v{rng.randrange(9999)}" for _ in range(60)]
         rows += [(k, " ".join(own)), (k + 1, " ".join([*own[:30], "new", *own[30:], "end"]))]
-    gone = {r.doc_id for r in S.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = [r.doc_id for r in S.drop_copies(df).collect()]
+    gone = {k for k, _ in rows} - set(stay)
     rolling = S.Rolling(S.BASES[0])
     sets = {k: S.shingle_set(t.encode(), 5, rolling) for k, t in rows}
-    want = []
+    stay, want = sorted(set(sets) - gone), []
     for k in sorted(sets):
         if not any(S.jaccard(sets[k], sets[o]) >= 0.8 for o in want):
             want.append(k)
-    assert len(want) > 60 and set(sets) - gone == set(want)
+    near = lambda k, o: S.jaccard(sets[k], sets[o]) >= 0.8
+    assert len(stay) > 60 and not any(near(k, o) for k in stay for o in stay if o < k)
+    assert all(any(near(k, o) for o in stay) for k in gone)
+    assert batch < 1 << 20 or stay == want
+
+
+def test_rows_go_for_their_texts_only(spark):
+    """Rows that share an id or have none; columns of any name."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(7)]
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:]]
+    schema = "doc_id long, text string, digest int, fp int, node int, root int, gone int, count int, least_id int, `_h` int"
+    df = spark.createDataFrame([(*r, *[n] * 8) for n, r in enumerate(rows)], schema)
+    assert S.drop_copies(df).count() == 7 and S.drop_copies(df).columns == df.columns
+    # of copies, the row of the least id; of rows equal in id and text, one
+    more = spark.createDataFrame([(*r, *[50 + n] * 8) for n, r in enumerate([(3, texts[0]), (3, texts[0]), (None, texts[1]), (None, None), (9, "")])], schema)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in S.drop_copies(df.unionByName(more)).collect())
+    assert got == sorted([(False, 3, texts[0]), *[(True, 0, t) for t in texts[1:5]], (False, 7, texts[5]), (False, 7, texts[6]), (False, 9, "")])

@@ -52,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(name)
 
 
-def sweep(spark: SparkSession, owner: str = "pipeline") -> None:
+def sweep(spark: SparkSession, owner: str) -> None:
     """Delete the tables of an owner, once no DataFrame that reads them is needed any more."""
     for name in WRITTEN.pop(owner, []):
         path = spark._jvm.org.apache.hadoop.fs.Path(name)

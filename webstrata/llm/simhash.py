@@ -23,7 +23,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, bounded_batches, claim, cut, parts
@@ -31,6 +31,7 @@ from .components import connected
 from .substring import BASES, Rolling, word_hashes
 
 BITS, RADIUS, BUCKET, LEVELS = 64, 3, 4096, 4
+DIGEST = "_digest_of_text"
 BANDS, ROWS, BATCH = 42, 6, 16 << 20
 
 
@@ -71,8 +72,7 @@ def covering_masks(radius: int = RADIUS, level: int = 0) -> list[int]:
         rng.shuffle(code)
         masks = [sum(1 << i for i in range(BITS) if (code[i] & v).bit_count() % 2) for v in range(1, n + 1)]
         best = max(best, masks, key=lambda m: min((x.bit_count() for x in m), default=0))
-    masks = best
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [m - (1 << 64) if m >> 63 else m for m in best]
 
 
 def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,14 +156,19 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id that links reach)."""
-    prints = cut(fingerprints(docs, width))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+def grouped(prints: DataFrame, key: str, radius: int = RADIUS) -> DataFrame:
+    """fp and component_id, the least `key` that links reach, for each fingerprint of prints (key, fp)."""
+    distinct = cut(prints.groupBy("fp").agg(F.min(key).alias("least")))
     root = connected(links(distinct, radius)).withColumnRenamed("node", "fp")
     rooted = cut(distinct.join(root, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_print = cut(rooted.join(named, "root").select("fp", "component_id"))
+    return cut(rooted.join(named, "root").select("fp", "component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id that links reach)."""
+    prints = cut(fingerprints(docs, width))
+    by_print = grouped(prints, "doc_id", radius)
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -180,8 +185,13 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def digest_of(docs: DataFrame) -> DataFrame:
+    """docs with the digest of the text, null text as empty; rows of one text have one digest, whatever their ids."""
+    return docs.withColumn(DIGEST, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, digest of the text, and BANDS hashes, each of ROWS least values of the word shingles; no shuffle."""
+    """doc_id, digest, fp (the fingerprint of word pairs) and BANDS hashes, each of ROWS least values of the word shingles; no shuffle."""
     bounded_batches(docs.sparkSession)
     factor = np.random.default_rng(1).integers(0, 1 << 63, size=(BANDS * ROWS, 1), dtype="u8") * np.uint64(2) + np.uint64(1)
 
@@ -199,14 +209,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            least = np.stack([bands(t, rolling) for t in as_bytes(batch.column(2))]).reshape(-1, BANDS, ROWS)
+            texts = as_bytes(batch.column(2))
+            least = np.stack([bands(t, rolling) for t in texts]).reshape(-1, BANDS, ROWS)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype="u8"), least.shape[:2])
             for i in range(ROWS):
                 key = (key ^ (key >> np.uint64(32)) ^ least[:, :, i]) * np.uint64(0xBF58476D1CE4E5B9)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(list(key.view("i8")), pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+            fp = np.frombuffer(b"".join(simhash(t, 2) for t in texts), ">i8").astype("i8")
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fp), pa.array(list(key.view("i8")), pa.list_(pa.int64()))], names=["doc_id", "digest", "fp", "bands"])
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text")).mapInArrow(run, "doc_id long, digest string, bands array<long>")
+    rows = digest_of(docs).select("doc_id", F.col(DIGEST), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, digest string, fp long, bands array<long>")
 
 
 class Stays:
@@ -236,67 +248,96 @@ class Stays:
 
 
 def judged(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """Over rows (root, chunk, kind, doc_id, text): alike, for each document but those of kind 0, which are known to stay. Kind 1 is
-    compared with these; kind 2, by rising doc_id, with all that stay of its kind."""
+    """Over rows (root, chunk, kind, digest, text, least_id): alike, for each text but those of kind 0, which are known to stay. Kind 1 is
+    compared with these; kind 2, by rising least_id, with all that stay of its kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
-        rolling, group, last, stays = Rolling(BASES[0]), None, None, Stays(least)
+        rolling, group, stays = Rolling(BASES[0]), None, Stays(least)
         for batch in batches:
-            ids, roots, out = [], [], []
-            for root, chunk, kind, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), as_bytes(batch.column(4)), strict=True):
+            names, out = [], []
+            for root, chunk, kind, digest, text in zip(*(batch.column(i).to_pylist() for i in range(4)), as_bytes(batch.column(4)), strict=True):
                 if group != (root, chunk):
-                    group, last, stays = (root, chunk), None, Stays(least)
-                if doc == last:  # a row that repeats
-                    continue
-                last, x = doc, shingle_set(text, width, rolling)
+                    group, stays = (root, chunk), Stays(least)
+                x = shingle_set(text, width, rolling)
                 alike = kind > 0 and stays.alike(x)
                 if kind != 1 and not alike:
                     stays.add(x)
                 if kind:
-                    ids.append(doc)
-                    roots.append(root)
+                    names.append(digest)
                     out.append(alike)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(roots, pa.int64()), pa.array(out, pa.bool_())], names=["doc_id", "root", "alike"])
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(out, pa.bool_())], names=["digest", "alike"])
 
-    dealt = rows.select("root", "chunk", "kind", "doc_id", "text").repartition(parts(rows), "root", "chunk")
-    return cut(dealt.sortWithinPartitions("root", "chunk", "kind", "doc_id").mapInArrow(run, "doc_id long, root long, alike boolean"))
+    dealt = rows.select("root", "chunk", "kind", "digest", "text", "least_id").repartition(parts(rows), "root", "chunk")
+    ordered = dealt.sortWithinPartitions("root", "chunk", "kind", F.col("least_id").asc_nulls_last(), "digest")
+    return cut(ordered.select("root", "chunk", "kind", "digest", "text").mapInArrow(run, "digest string, alike boolean"))
 
 
-def copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id of documents whose word shingles have a Jaccard similarity of `least` or more with those of a document that stays.
+def alike_texts(texts: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """Digests that go, of the distinct texts (digest, fp, bands) of candidate groups: texts whose shingles have a Jaccard similarity of
+    `least` or more with those of a text that stays. rows (digest, least_id, text) has each text once.
 
-    Equal texts go first. Fingerprints of word pairs within five bits, and least hashes of the shingles - ROWS of them equal
-    in one of BANDS bands - make candidate groups. Of a group, the first documents, up to BATCH bytes, are decided in order:
-    each is compared, exactly, with those before it that stay. The others are compared with all that stay of these, in
-    chunks, and those left are a group again, until none is left. So no pairs are made, nothing goes without an exact
-    comparison, no two that stay in a group are alike, and a hot group is spread over tasks."""
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sketched = cut(sketches(docs, width))
-    first = cut(sketched.groupBy("digest").agg(F.min("doc_id").alias("least")))
-    equal = sketched.join(first, "digest").where("doc_id <> least").select("doc_id").distinct()
-    out = cut(equal)
-    banded = cut(sketched.join(out, "doc_id", "left_anti").select(F.col("doc_id").alias("a"), F.explode("bands").alias("band")))
+    Of a group, a share of about BATCH bytes, chosen by hash, is decided first, in order of ids: each text is compared,
+    exactly, with those before it that stay. The others are compared with all that stay of these, in chunks, and those left
+    are a group again, until none is left. So no pairs are made, nothing goes without an exact comparison, no two that stay
+    in a group are alike, and a hot group of near copies is spread over tasks and gone after a round or two; a group of
+    texts that only chain together takes a round for every BATCH bytes that stay."""
+    node = F.xxhash64("digest")  # texts that share a hash by chance are only candidates more
+    banded = cut(texts.select(node.alias("a"), F.explode("bands").alias("band")))
     heads = cut(banded.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b < most").select("band", "b"))
     alike = banded.join(heads, "band").where("a <> b").select("a", "b")
-    prints = near_duplicates(docs, width=2, radius=5).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a <> b")
-    root = cut(connected(alike.unionByName(prints.join(out.withColumnRenamed("doc_id", "a"), "a", "left_anti")).distinct()))
-    members = root.select(F.col("node").alias("doc_id"), "root")
-    rows = cut(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(members, "doc_id"))
-    size, none = F.octet_length("text") + F.lit(64), F.lit(0)
+    prints = cut(texts.select(node.alias("a"), "fp"))
+    near = prints.join(grouped(prints, "a", radius=5), "fp").select("a", F.col("component_id").alias("b")).where("a <> b")
+    root = cut(connected(alike.unionByName(near)))
+    members = rows.withColumn("node", node).join(root, "node").select("digest", "least_id", "text", "root")
+    left, out, none, turn = cut(members), None, F.lit(0), 0
     while True:
-        so_far = F.sum("size").over(Window.partitionBy("root").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-        ranked = cut(rows.select("doc_id", "root", size.cast("long").alias("size")).withColumn("before", F.coalesce(so_far, F.lit(0))))
-        rest = cut(ranked.where(F.col("before") >= BATCH).select("doc_id").distinct())
-        now = judged(rows.join(rest, "doc_id", "left_anti").withColumns({"chunk": none, "kind": F.lit(2)}), width, least)
-        out = out.unionByName(now.where("alike").select("doc_id"))
+        size = F.octet_length("text") + F.lit(64)
+        sizes = cut(left.groupBy("root").agg(F.sum(size).alias("total"), F.min("digest").alias("one")))
+        share = F.pmod(F.xxhash64("digest", F.lit(turn)), F.lit(1 << 30)) < F.lit(float(BATCH << 30)) / F.col("total")
+        dealt = left.join(sizes, "root").withColumns({"first": (F.col("total") <= BATCH) | share | (F.col("digest") == F.col("one")), "chunks": F.ceil(F.col("total") / BATCH).cast("int")})
+        now = judged(dealt.where("first").withColumns({"chunk": none, "kind": F.lit(2)}), width, least)
+        gone = now.where("alike").select("digest")
+        out = gone if out is None else out.unionByName(gone)
+        rest = dealt.where("not first")
         if rest.isEmpty():
-            return out.distinct()
-        chunks = cut(ranked.where(F.col("before") >= BATCH).groupBy("root").agg(F.ceil(F.sum("size") / BATCH).cast("int").alias("n")))
-        stay = rows.join(now.where("not alike").select("doc_id"), "doc_id").join(chunks, "root")
-        stay = stay.select("root", F.explode(F.sequence(none, F.col("n") - 1)).alias("chunk"), none.alias("kind"), "doc_id", "text")
-        left = rows.join(rest, "doc_id").join(chunks, "root")
-        left = left.select("root", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "doc_id", "text")
-        then = judged(stay.unionByName(left), width, least)
-        out = out.unionByName(then.where("alike").select("doc_id"))
-        rows = cut(rows.join(then.where("not alike").select("doc_id").distinct(), "doc_id"))
+            return out
+        stay = dealt.join(now.where("not alike").select("digest"), "digest").select("root", F.explode(F.sequence(none, F.col("chunks") - 1)).alias("chunk"), none.alias("kind"), "digest", "text", "least_id")
+        others = rest.select("root", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "digest", "text", "least_id")
+        then = judged(stay.unionByName(others), width, least)
+        out = out.unionByName(then.where("alike").select("digest"))
+        left, turn = cut(left.join(then.where("not alike").select("digest"), "digest").select(*left.columns)), turn + 1
+
+
+def drop_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, without copies: of equal texts the row of the least doc_id stays, and a text goes when its
+    word shingles have a Jaccard similarity of `least` or more with those of a text that stays.
+
+    Fingerprints of word pairs within five bits, and least hashes of the shingles - ROWS of them equal in one of BANDS bands -
+    make candidate groups, which are then compared exactly. Rows are told apart by their text and id together, so rows
+    that share an id, or have none, go only for their texts; null ids come after all others. Texts of fewer words than a shingle
+    are one shingle; null text counts as empty and is one text; rows equal in id and text are one row, of whose other
+    columns the least stay; very long texts are compared whole; an empty table gives an empty result."""
+    columns = docs.columns
+    sketched = cut(sketches(docs, width))
+    by_text = cut(sketched.groupBy("digest").agg(F.min("doc_id").alias("least_id")))
+    mine = F.col("doc_id").eqNullSafe(F.col("least_id"))
+    texts = sketched.join(by_text, "digest").where(mine).select("digest", "fp", "bands")
+    rows = digest_of(docs.select("doc_id", "text")).withColumnRenamed(DIGEST, "digest")
+    rows = rows.join(by_text, (rows["digest"] == by_text["digest"]) & rows["doc_id"].eqNullSafe(by_text["least_id"])).select(rows["digest"], "least_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    repeats = cut(sketched.groupBy("doc_id", "digest").count().where("count > 1").select("doc_id", "digest"))
+    some = not repeats.isEmpty()
+    if some:  # rows of one id and text
+        texts = texts.groupBy("digest", "fp").agg(F.min("bands").alias("bands"))
+        rows = rows.groupBy("digest", "least_id").agg(F.min("text").alias("text"))
+    gone = cut(alike_texts(texts, rows, width, least).distinct().withColumn("gone", F.lit(True)))
+    judged_rows = sketched.select("doc_id", "digest").join(by_text, "digest").join(gone, "digest", "left")
+    going = cut(judged_rows.where(F.col("gone") | ~mine).select("doc_id", "digest").distinct())
+    marked = digest_of(docs)
+    same = lambda other: (marked[DIGEST] == other["digest"]) & marked["doc_id"].eqNullSafe(other["doc_id"])
+    if not some:
+        return marked.join(going, same(going), "left_anti").select(*columns)
+    out = marked.join(going.unionByName(repeats), same(going.unionByName(repeats)), "left_anti").select(*columns)
+    kept = cut(repeats.join(going, repeats["digest"].eqNullSafe(going["digest"]) & repeats["doc_id"].eqNullSafe(going["doc_id"]), "left_anti"))
+    twice = marked.join(kept, same(kept), "left_semi").groupBy(DIGEST, "doc_id").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return out.unionByName(twice)
