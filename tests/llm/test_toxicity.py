@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from webstrata.llm import toxicity as X
 
@@ -20,24 +21,33 @@ def data(n, seed):
     return out
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("many", [0, 20, 10_000])
+def test_nearest_is_exact_over_all_terms(monkeypatch, many):
+    """Against all cosines of vectors over every word of the examples, written out plainly."""
+    monkeypatch.setattr(X, "MANY", many)
     rng, rows = random.Random(0), data(300, 4)
-    words = [w.encode() for w in sorted({w for t, _ in rows for w in t.split()})[:120]] + [b.encode() for b in BAD]
+    rows += rows[:5] + [("", 0), ("Alpha", 1)]
+    words = sorted({w.lower().encode() for t, _ in rows for w in t.split()})
     idf = np.linspace(1, 3, len(words))
     index = X.build(words, idf, [(t.encode(), y, 1.0, i) for i, (t, y) in enumerate(rows)])
-    dense = np.zeros((len(rows), len(words)))
-    for i in range(len(rows)):
-        at, v = index.vector(dict(enumerate(t for t, _ in rows))[index.ids[i]].encode())
-        dense[i, at] = v
-    for _ in range(60):
-        at, v = index.vector(rng.choice(data(50, 9))[0].encode())
-        q = np.zeros(len(words))
-        q[at] = v
-        cosine = (dense @ q).round(9)
-        want = [i for i in np.lexsort((np.arange(len(rows)), -cosine)) if cosine[i] > 0][: X.K]
-        best, sims = index.nearest(at, v)
-        np.testing.assert_allclose(sims, cosine[want], atol=2e-9)
-        assert best.tolist() == want
+    y = np.array([k for _, k in rows])
+    count = np.array([[t.lower().split().count(w.decode()) for w in words] for t, _ in rows], "f8")
+    share = [(count[y == k] > 0).mean(axis=0) for k in (0, 1)]
+    both = (count > 0).mean(axis=0)
+    z2 = (share[1] - share[0]) ** 2 / (both * (1 - both) * (1 / (y == 0).sum() + 1 / (y == 1).sum()) + 1e-12)
+
+    def unit(n):
+        v = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0) * idf * z2 / (z2 + X.SHRINK)
+        return v / max(np.sqrt(v @ v), 1e-300)
+
+    plain = np.array([unit(n) for n in count])[index.ids]
+    asked = [rng.choice(data(50, 9))[0] for _ in range(60)] + ["", "vermin", "Rotter! unknown"]
+    best, sims = index.nearest([index.vector(t.encode()) for t in asked])
+    for i, t in enumerate(asked):
+        cosine = (plain @ unit(np.array([[w.strip("!") for w in t.lower().split()].count(w.decode()) for w in words], "f8"))).round(9)
+        want = [k for k in np.lexsort((np.arange(len(rows)), -cosine)) if cosine[k] > 0][: X.K]
+        np.testing.assert_allclose(sims[i, : len(want)], cosine[want], atol=2e-9)
+        assert (best[i, len(want) :] == -1).all() and [index.ids[k] for k in best[i, : len(want)]] == [index.ids[k] for k in want]
 
 
 def test_held_out_accuracy(spark):
