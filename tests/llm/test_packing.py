@@ -55,3 +55,32 @@ def test_pack_is_exact_and_gapless(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_crossover_beats_best_fit_decreasing():
+    """Sizes that fill bins only in threes: best fit decreasing needs more bins, which whole well-filled bins of the parents mend."""
+    rng = random.Random(1)
+    size = []
+    for _ in range(30):
+        a, b = rng.randrange(380, 490), rng.randrange(250, 300)
+        size += [a, b, 1000 - a - b]
+    order = sorted(range(len(size)), key=lambda i: -size[i])
+    plain, fill = [], []
+    P.best_fit(order, size, 1000, plain, fill)
+    best = [P.evolve(size, 1000, seed, [plain], generations=400) for seed in (1, 2)]
+    best = min((P.evolve(size, 1000, seed + 2, best, generations=400) for seed in (1, 2)), key=len)
+    assert sorted(i for g in best for i in g) == list(range(90)) and max(sum(size[i] for i in g) for g in best) <= 1000
+    assert 30 <= len(best) < len(plain), (len(best), len(plain))
+
+
+def test_words_that_share_a_hash_keep_their_own_ids():
+    """Thue-Morse words and their complements fall together under any polynomial hash modulo a power of two."""
+    encode = P.encoder(vocabulary_path()).encode
+    library = P.encoder(vocabulary_path()).by_library
+    texts = []
+    for n in (512, 1024, 2048):
+        word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+        texts += [word, word.translate(str.maketrans("ab", "ba"))]
+    texts += [" ".join(["one", *texts, "two", *texts[::-1]]), "three"]
+    for _ in range(2):
+        assert [bytes(x) for x in encode([t.encode() for t in texts])] == [library(t) for t in texts]

@@ -56,3 +56,14 @@ def test_odd_tables(spark):
     text = " ".join(f"a{i}" for i in range(30))
     got = S.digest(spark.createDataFrame([(None, text), (3, text), (3, text), (4, text)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (3, 30), (3, 30), (4, 30)]
+
+
+def test_rows_that_share_an_id_lose_only_what_repeats_in_them(spark):
+    unique = [" ".join(f"u{k}x{i}" for i in range(50)) for k in range(4)]
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(1, passage), (5, unique[0]), (5, f"own {passage} end"), (None, unique[1]), (None, unique[2]), (None, f"{unique[3]} {unique[3]}"), (5, f"own {passage} end")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in S.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(1, 25, 0), (5, 50, 0), (5, 27, 25), (5, 27, 25), (0, 50, 0), (0, 50, 0), (0, 100, 50)])
+    # the same passage under one id in two texts: one of them keeps it
+    two = [r.n_removed for r in S.digest(spark.createDataFrame([(8, f"a {passage}"), (8, f"b {passage}")], "doc_id long, text string")).collect()]
+    assert sorted(two) == [0, 25]

@@ -190,7 +190,8 @@ class BatchEncoder(PairMerger):
         return out + self.encode_group(group) if group else out
 
     def encode_group(self, texts: list[bytes]) -> list[bytes]:
-        """Words are hashed (64 bits) over one array of all bytes, and only words whose hash is new become objects."""
+        """Words are hashed (64 bits) over one array of all bytes, and only words whose hash is new become objects. What a hash finds is
+        compared byte by byte."""
         raw = b" ".join(texts) + b" "
         x = np.frombuffer(raw, np.uint8)
         inside = ~BLANKS[x]
@@ -218,8 +219,13 @@ class BatchEncoder(PairMerger):
                 every, at = np.unique(h, return_index=True)
                 pieces = [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
                 fresh, made = every, self.made_of(pieces)
-            self.memo.add(fresh, [made[p] for p in pieces])
+            self.memo.add(fresh, pieces, [made[p] for p in pieces])
             number = self.memo.find(h)
+        wrong = self.memo.others(number, ends - starts, x[inside])
+        if len(wrong):  # words that share their hash with another word
+            pieces = [raw[s:e] for s, e in zip(starts[wrong].tolist(), ends[wrong].tolist(), strict=True)]
+            made = self.made_of(list(dict.fromkeys(pieces)))
+            number[wrong] = self.memo.beside(made)[[list(made).index(p) for p in pieces]]
         first, length = self.memo.first[number], self.memo.length[number]
         after = np.cumsum(length)
         take = np.repeat(first - (after - length), length) + np.arange(int(after[-1]))
@@ -235,7 +241,7 @@ class BatchEncoder(PairMerger):
 
 
 class WordMemo:
-    """Ids of words by their 64-bit hash, in arrays: an open-addressed table, and one pool of ids."""
+    """Ids of words by their 64-bit hash, in arrays: an open-addressed table, a pool of ids, and a pool of the words' bytes."""
 
     def __init__(self, limit: int):
         self.slots = 1 << max(12, (2 * limit - 1).bit_length())
@@ -245,6 +251,7 @@ class WordMemo:
         self.n = self.used = 0
         self.key, self.number = np.zeros(self.slots, "u8"), np.full(self.slots, -1, "i4")
         self.first, self.length, self.pool = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "<u4")
+        self.begin, self.size, self.bytes, self.held = np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "u1"), 0
 
     clear = reset
 
@@ -266,9 +273,23 @@ class WordMemo:
             more, at = more[on], at[on]
         return out
 
-    def add(self, h: np.ndarray, ids: list[bytes]) -> None:
-        """Words that aren't there yet, each once."""
-        length = np.array([len(i) // 4 for i in ids], "i8")
+    def others(self, number: np.ndarray, size: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Places of the words, given by their sizes and all their bytes, that are not the words of these numbers."""
+        ends, same = np.cumsum(size), self.size[number] == size
+        at = np.repeat(self.begin[number] - (ends - size), size) + np.arange(len(data))
+        if not same.all():
+            np.minimum(at, self.held - 1, out=at)
+        wrong = ~same
+        wrong[np.searchsorted(ends, np.flatnonzero(self.bytes[at] != data), "right")] = True
+        return np.flatnonzero(wrong)
+
+    def beside(self, made: dict[bytes, bytes]) -> np.ndarray:
+        """Numbers of words that no hash leads to."""
+        self.keep(list(made), list(made.values()))
+        return np.arange(self.n - len(made), self.n)
+
+    def add(self, h: np.ndarray, words: list[bytes], ids: list[bytes]) -> None:
+        """Words whose hashes aren't there yet, each once."""
         numbers, at, left = np.arange(self.n, self.n + len(h), dtype="i4"), self.at(h), np.arange(len(h))
         while len(left):
             free = self.number[at[left]] < 0
@@ -278,10 +299,17 @@ class WordMemo:
             self.key[slot[won]] = h[who[won]]
             left = np.concatenate([left[~free], who[~won]])
             at[left] = (at[left] + 1) & (self.slots - 1)
-        need = self.used + int(length.sum())
+        self.keep(words, ids)
+
+    def keep(self, words: list[bytes], ids: list[bytes]) -> None:
+        length, size = np.array([len(i) // 4 for i in ids], "i8"), np.array([len(w) for w in words], "i8")
+        need, full = self.used + int(length.sum()), self.held + int(size.sum())
         if need > len(self.pool):
             self.pool = np.r_[self.pool, np.empty(max(need, 1 << 20), "<u4")]
+        if full > len(self.bytes):
+            self.bytes = np.r_[self.bytes, np.empty(max(full, 1 << 20), "u1")]
         self.pool[self.used : need] = np.frombuffer(b"".join(ids), "<u4")
-        self.first = np.r_[self.first, self.used + np.cumsum(length) - length]
-        self.length = np.r_[self.length, length]
-        self.used, self.n = need, self.n + len(h)
+        self.bytes[self.held : full] = np.frombuffer(b"".join(words), "u1")
+        self.first, self.length = np.r_[self.first, self.used + np.cumsum(length) - length], np.r_[self.length, length]
+        self.begin, self.size = np.r_[self.begin, self.held + np.cumsum(size) - size], np.r_[self.size, size]
+        self.used, self.held, self.n = need, full, self.n + len(words)

@@ -2,12 +2,14 @@
 
 Pieces are dealt at random into blocks of bounded size. Each block is solved by several islands at once: a population
 of packings in which a crossover injects whole well-filled bins of one parent into another, drops the bins that then
-hold a piece twice, and puts the displaced pieces back by best fit. Between epochs every island sends its elite to the
+hold a piece twice, lets displaced pieces replace smaller ones where they fill a bin better, and puts the rest back by best
+fit. Between epochs every island sends its elite to the
 next one of its block. Blocks end with a few loosely filled bins; those are released, dealt into new blocks and packed
 again, and that second packing counts only where it needs fewer bins.
 
-Null text counts as empty (one token, the separator); an empty table gives an empty result; repeated rows are packed
-as often as they occur; extra columns are ignored. No group is larger than a block, whatever ids or texts repeat.
+Null text counts as empty (one token, the separator); very long texts are cut into pieces of a sequence each; an empty
+table gives an empty result; repeated rows are packed as often as they occur; pieces of one length go by id, piece and
+checksum; extra columns are ignored. No group is larger than a block, whatever ids or texts repeat.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from __future__ import annotations
 import gc
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from .bpe import BatchEncoder
 from .common import as_bytes, bounded_batches, claim, cut
 from .tokens import vocabulary_path
 
-CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 4096, 2, 2, 4, 24
+CAPACITY, BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS, SWAPS = 2048, 4096, 3, 3, 6, 24, 200
 Packing = list[list[int]]  # bins, each a list of item numbers
 
 
@@ -98,6 +102,29 @@ def fitness(bins: Packing, fill: list[int], capacity: int) -> tuple[int, float]:
     return -len(bins), sum((f / capacity) ** 2 for f in fill)
 
 
+def exchange(displaced: list[int], size: list[int], capacity: int, bins: Packing, fill: list[int], rng: random.Random) -> list[int]:
+    """Displaced pieces take the places of one or two smaller ones in bins that they fill better; returns what is displaced then.
+    Small pieces are left over, which best fit places more easily. At most SWAPS bins are looked at. Changes bins and fill."""
+    loose = [b for b, used in enumerate(fill) if used < capacity]
+    for b in rng.sample(loose, min(len(loose), SWAPS)):
+        if not displaced:
+            break
+        displaced.sort(key=lambda i: size[i])
+        sizes, own, room, best = [size[i] for i in displaced], bins[b], capacity - fill[b], (0, None, None)
+        few = rng.sample(own, 8) if len(own) > 8 else own
+        for out in [*combinations(few, 1), *combinations(few, 2)]:
+            gone = sum(size[i] for i in out)
+            at = bisect_right(sizes, gone + room) - 1
+            if at >= 0 and sizes[at] - gone > best[0]:
+                best = (sizes[at] - gone, out, at)
+        if best[1]:
+            put = displaced.pop(best[2])
+            bins[b] = [*(i for i in own if i not in best[1]), put]
+            fill[b] += best[0]
+            displaced += best[1]
+    return displaced
+
+
 def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: random.Random) -> tuple[Packing, list[int]]:
     """A child of a with a random run of b's best-filled bins."""
     ranked = sorted(b, key=lambda g: -sum(size[i] for i in g))
@@ -113,8 +140,9 @@ def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: rando
     loose = sorted((k for k in range(len(bins)) if sum(size[i] for i in bins[k]) < capacity - 8), key=lambda k: sum(size[i] for i in bins[k]))[:2]
     for k in sorted(loose, reverse=True):  # a small mutation: the loosest bins are dealt again too
         displaced += bins.pop(k)
-    displaced.sort(key=lambda i: -size[i])
     fill = [sum(size[i] for i in g) for g in bins]
+    displaced = exchange(displaced, size, capacity, bins, fill, rng)
+    displaced.sort(key=lambda i: -size[i])
     best_fit(displaced, size, capacity, bins, fill)
     return bins, fill
 
@@ -236,7 +264,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     again = first.where(loose).select("doc_id", "piece", "start", "length", "ids_crc32", "key")
     m, made = first.where(loose).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
     place = lambda df, level: df.select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(level).cast("long") * F.lit(1 << 60) + F.col("block") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset")
-    if n <= BLOCK or not m:
+    if not m:
         return place(first, 0)
     second = cut(packed(again, capacity, m, 1))
     if second.where(F.col("offset") == 0).count() >= made:

@@ -10,9 +10,13 @@ Probes travel as sorted hashes, packed by partition; only blocks carry their pla
 merged first, so a passage that a third of all texts share sends one entry a task. Partitions are as many as the text
 needs, and a task holds one of them. No pairs are ever made.
 
-Null text has no words; texts shorter than a window lose nothing; an empty table gives an empty result; rows that repeat
-a doc_id are one place (neither is earlier than the other) and get the same removals, united over their texts; rows of
-null id count as the earliest; extra columns are ignored unless named in `keep`.
+A document is an id with a text: rows that share an id, or have none, are told apart by their text's 64-bit hash, which
+also orders them, so that a row loses only what stands in it. Rows equal in id and text are one document, and get the same
+removals. Null ids are the earliest. Null text has no words; texts shorter than a window lose nothing; texts of any length
+are read whole; an empty table gives an empty result; extra columns are ignored unless named in `keep`.
+
+Windows are told apart by 96 bits, not by their words: of 10^13 windows, some 100 TB of text, two different ones of some
+pair fall together with a probability of about 0.0006 by calculation.
 """
 
 from __future__ import annotations
@@ -82,10 +86,20 @@ def slices(part: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(part[order], np.arange(1, n)))
 
 
-PROBES = "part int, runs binary, hash binary, doc binary, start binary, sure_doc binary, sure_start binary"
+PROBES = "part int, runs binary, hash binary, doc binary, tie binary, start binary, sure_doc binary, sure_tie binary, sure_start binary"
+
+
+def places(docs: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places in order of reading, so that steps are mostly zero."""
+    return planes(steps(docs)), planes(steps(ties)), planes(starts)
+
+
+def read_places(group: pa.Table, prefix: str = "") -> list[np.ndarray]:
+    docs, ties, starts = (group[prefix + c].to_pylist() for c in ("doc", "tie", "start"))
+    return [unplanes(docs, "i8", diff=True), unplanes(ties, "i8", diff=True), unplanes(starts, "u4")]
 
 
-def probe_rows(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, block: int, n_parts: int) -> pa.RecordBatch:
+def probe_rows(hashes: np.ndarray, docs: np.ndarray, ties: np.ndarray, starts: np.ndarray, block: int, n_parts: int) -> pa.RecordBatch:
     """The probes and blocks of one task's share, by partition. Blocks that repeat within it are sure hits and travel as such."""
     order = np.argsort(hashes, kind="stable")
     h, aligned = hashes[order], starts[order] % block == 0
@@ -98,38 +112,38 @@ def probe_rows(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray, block:
     blocks, runs = order[lone & aligned], order[first[many | ~aligned[first]]]
     part_of = lambda i: (hashes[i] % U(n_parts)).astype("i4")
     local = lambda i: (hashes[i] >> U(32)).astype("u4")
-    out: list[list] = [[] for _ in range(7)]
+    names = ["part", "runs", "hash", "doc", "tie", "start", "sure_doc", "sure_tie", "sure_start"]
+    out: list[list] = [[] for _ in names]
     for p, (r, b) in enumerate(zip(slices(part_of(runs), n_parts), slices(part_of(blocks), n_parts), strict=True)):
         b = np.sort(blocks[b])  # in order of place
         own = sure[p]
-        row = (p, planes(steps(np.sort(local(runs[r])))), planes(local(b)), planes(steps(docs[b])), planes(starts[b]), planes(steps(docs[own])), planes(starts[own]))
+        row = (p, planes(steps(np.sort(local(runs[r])))), planes(local(b)), *places(docs[b], ties[b], starts[b]), *places(docs[own], ties[own], starts[own]))
         for col, v in zip(out, row, strict=True):
             col.append(v)
-    return pa.record_batch([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["part", "runs", "hash", "doc", "start", "sure_doc", "sure_start"])
+    return pa.record_batch([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=names)
 
 
-HITS = "key long, starts binary"
+HITS = "key long, tie long, starts binary"
 
 
-def by_doc(docs: np.ndarray, starts: np.ndarray) -> pa.Table:
+def by_doc(docs: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> pa.Table:
     """One row a document, with its starts."""
-    order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order]
-    first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, int)
-    return pa.table({"key": pa.array(docs[first], pa.int64()), "starts": pa.array([x.tobytes() for x in np.split(starts, first[1:])] if len(first) else [], pa.binary())})
+    order = np.lexsort((starts, ties, docs))
+    docs, ties, starts = docs[order], ties[order], starts[order]
+    first = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (ties[1:] != ties[:-1])]) if len(docs) else np.empty(0, int)
+    own = [x.tobytes() for x in np.split(starts, first[1:])] if len(first) else []
+    return pa.table({"key": pa.array(docs[first], pa.int64()), "tie": pa.array(ties[first], pa.int64()), "starts": pa.array(own, pa.binary())})
 
 
 def hit_blocks(group: pa.Table) -> pa.Table:
     runs = unplanes(group["runs"].to_pylist(), "u4", diff=True)
     hashes = unplanes(group["hash"].to_pylist(), "u4")
-    docs, starts = unplanes(group["doc"].to_pylist(), "i8", diff=True), unplanes(group["start"].to_pylist(), "u4")
     both = np.sort(np.r_[runs, hashes])
     hit = np.searchsorted(both, hashes, "right") - np.searchsorted(both, hashes, "left") > 1
-    sure_docs, sure_starts = unplanes(group["sure_doc"].to_pylist(), "i8", diff=True), unplanes(group["sure_start"].to_pylist(), "u4")
-    return by_doc(np.r_[docs[hit], sure_docs], np.r_[starts[hit], sure_starts])
+    return by_doc(*(np.r_[x[hit], sure] for x, sure in zip(read_places(group), read_places(group, "sure_"), strict=True)))
 
 
-WINDOWS = "part int, hash binary, more binary, doc binary, start binary, sure_doc binary, sure_start binary"
+WINDOWS = "part int, hash binary, more binary, doc binary, tie binary, start binary, sure_doc binary, sure_tie binary, sure_start binary"
 
 
 def least(x: np.ndarray, n: int) -> np.ndarray:
@@ -141,34 +155,37 @@ def least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - span)], x[n - span :]) if n > span else x
 
 
-def window_rows(h: np.ndarray, more: np.ndarray, docs: np.ndarray, starts: np.ndarray, part: np.ndarray, n_parts: int) -> pa.RecordBatch:
-    """The first of equal windows of one task's share, by partition; the others are surely repeats and travel as such."""
-    order = np.lexsort((starts, docs, more, h))
+def sorted_windows(h: np.ndarray, more: np.ndarray, docs: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of windows by hash and place, which of them are the first of their kind, and those that are not at the place of the first."""
+    order = np.lexsort((starts, ties, docs, more, h))
+    if not len(order):
+        return order, np.zeros(0, bool), order
     new = np.r_[True, (h[order][1:] != h[order][:-1]) | (more[order][1:] != more[order][:-1])]
     lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    same = (docs[order] == docs[lead]) & (starts[order] == starts[lead])
-    firsts, sure = order[new], np.array_split(np.sort(order[~same]), n_parts)
-    out: list[list] = [[] for _ in range(7)]
+    late = (docs[order] != docs[lead]) | (ties[order] != ties[lead]) | (starts[order] != starts[lead])
+    return order, new, order[late]
+
+
+def window_rows(h: np.ndarray, more: np.ndarray, docs: np.ndarray, ties: np.ndarray, starts: np.ndarray, part: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """The first of equal windows of one task's share, by partition; the others are surely repeats and travel as such."""
+    order, new, late = sorted_windows(h, more, docs, ties, starts)
+    firsts, sure = order[new], np.array_split(np.sort(late), n_parts)
+    names = ["part", "hash", "more", "doc", "tie", "start", "sure_doc", "sure_tie", "sure_start"]
+    out: list[list] = [[] for _ in names]
     for p, s in enumerate(slices(part[firsts], n_parts)):
         s, own = np.sort(firsts[s]), sure[p]
-        row = (p, h[s].tobytes(), more[s].tobytes(), planes(steps(docs[s])), planes(starts[s]), planes(steps(docs[own])), planes(starts[own]))
+        row = (p, h[s].tobytes(), more[s].tobytes(), *places(docs[s], ties[s], starts[s]), *places(docs[own], ties[own], starts[own]))
         for col, v in zip(out, row, strict=True):
             col.append(v)
-    return pa.record_batch([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=["part", "hash", "more", "doc", "start", "sure_doc", "sure_start"])
+    return pa.record_batch([pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]], names=names)
 
 
 def later_windows(group: pa.Table) -> pa.Table:
     h = np.frombuffer(b"".join(group["hash"].to_pylist()), "u8")
     more = np.frombuffer(b"".join(group["more"].to_pylist()), "u4")
-    docs, starts = unplanes(group["doc"].to_pylist(), "i8", diff=True), unplanes(group["start"].to_pylist(), "u4")
-    order = np.lexsort((starts, docs, more, h))
-    sure_docs, sure_starts = unplanes(group["sure_doc"].to_pylist(), "i8", diff=True), unplanes(group["sure_start"].to_pylist(), "u4")
-    if len(order):
-        new = np.r_[True, (h[order][1:] != h[order][:-1]) | (more[order][1:] != more[order][:-1])]
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        late = order[(docs[order] != docs[lead]) | (starts[order] != starts[lead])]
-        sure_docs, sure_starts = np.r_[sure_docs, docs[late]], np.r_[sure_starts, starts[late]]
-    return by_doc(sure_docs, sure_starts)
+    own = read_places(group)
+    late = sorted_windows(h, more, *own)[2]
+    return by_doc(*(np.r_[sure, x[late]] for x, sure in zip(own, read_places(group, "sure_"), strict=True)))
 
 
 class Share:
@@ -203,18 +220,19 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
     bounded_batches(spark)
     extra = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])]
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *extra)
+    rows = rows.withColumn("tie", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_parts = max(min(64, 1 + size // (1 << 16)), 1 + size // PART_BYTES)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
-        rolling, share = Rolling(BASES[0]), Share(3)
+        rolling, share = Rolling(BASES[0]), Share(4)
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
+            for key, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 words = word_hashes(text)
                 if len(words) >= width:
                     h = rolling(words, block)
-                    share.add(h, np.full(len(h), key, "i8"), np.arange(len(h), dtype="u4"))
+                    share.add(h, np.full(len(h), key, "i8"), np.full(len(h), tie, "i8"), np.arange(len(h), dtype="u4"))
                     if share.n > FLUSH:
                         yield probe_rows(*share.take(), block, n_parts)
         if share.n:
@@ -222,9 +240,10 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim()
-        one, two, share = Rolling(BASES[0]), Rolling(BASES[1]), Share(5)
+        one, two, share = Rolling(BASES[0]), Rolling(BASES[1]), Share(6)
         for batch in batches:
-            for key, text, starts in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for key, tie, text, starts in zip(col["key"].to_pylist(), col["tie"].to_pylist(), as_bytes(col["text"]), col["starts"].to_pylist(), strict=True):
                 words, blocks = word_hashes(text), np.unique(np.frombuffer(b"".join(starts), "u4")).astype("i8")
                 n = len(words) - width + 1
                 if n < 1:
@@ -232,7 +251,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
                 at = np.flatnonzero(covered(np.clip(blocks[blocks < len(words)] - (width - block), 0, None), n + width, width - block + 1)[:n])
                 # equal windows have the same least block hash, and neighbours mostly do: they travel, and return, together
                 part = (least(one(words, block), width - block + 1)[at] % U(n_parts)).astype("i4")
-                share.add(one(words, width)[at], (two(words, width)[at] >> U(32)).astype("u4"), np.full(len(at), key, "i8"), at.astype("u4"), part)
+                share.add(one(words, width)[at], (two(words, width)[at] >> U(32)).astype("u4"), np.full(len(at), key, "i8"), np.full(len(at), tie, "i8"), at.astype("u4"), part)
                 if share.n > FLUSH:
                     yield window_rows(*share.take(), n_parts)
         if share.n:
@@ -265,11 +284,11 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, width: int = WID
             yield pa.record_batch(made, names=["doc_id", *names, "n_words", "n_removed", "kept", "spans"])
 
     # one plan: both joins take the same columns, so that they read the same exchange of the texts
-    collected = lambda hits: hits.groupBy("key").agg(F.collect_list("starts").alias("starts"))
-    hits = collected(rows.select("key", "text").mapInArrow(probe, PROBES).groupBy("part").applyInArrow(hit_blocks, HITS))
-    windows = rows.join(hits, "key").mapInArrow(extend, WINDOWS)
+    collected = lambda hits: hits.groupBy("key", "tie").agg(F.collect_list("starts").alias("starts"))
+    hits = collected(rows.select("key", "tie", "text").mapInArrow(probe, PROBES).groupBy("part").applyInArrow(hit_blocks, HITS))
+    windows = rows.join(hits, ["key", "tie"]).mapInArrow(extend, WINDOWS)
     late = collected(windows.groupBy("part").applyInArrow(later_windows, HITS))
-    out = rows.join(late, "key", "left").mapInArrow(remove, f"doc_id long, {shape + ', ' if shape else ''}n_words long, n_removed long, kept string, spans array<struct<start: int, length: int>>")
+    out = rows.join(late, ["key", "tie"], "left").mapInArrow(remove, f"doc_id long, {shape + ', ' if shape else ''}n_words long, n_removed long, kept string, spans array<struct<start: int, length: int>>")
     return out.select("doc_id", *[F.col(a).alias(c) for a, c in zip(names, keep or [], strict=True)], "n_words", "n_removed", "kept", "spans")
 
 
