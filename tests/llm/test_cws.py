@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+
 from webstrata.llm import cws as C
 
 
@@ -47,3 +49,15 @@ def test_equal_texts_have_equal_fingerprints(spark):
     assert C.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = C.fingerprints(spark.createDataFrame([(5, "a b c d")], "doc_id long, text string")).collect()
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"a b a b"[:4] + b"a b").hexdigest()
+
+
+@pytest.mark.parametrize("size", [2000, 12_000])
+def test_ranges_split_repeated_and_null_ids(spark, monkeypatch, size):
+    """However rows are cut into ranges, each row's neighbour is the same; one id or none for all rows doesn't make one range."""
+    rows = corpus(120, 2)[:-1]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else k, t) for i, (k, t) in enumerate(rows)]
+    df = spark.createDataFrame([(k, t, 1) for k, t in rows], "doc_id long, text string, place int").repartition(3)
+    whole = sorted(map(tuple, C.fingerprints(df).collect()), key=repr)
+    monkeypatch.setattr(C, "RANGE_BYTES", size)
+    assert C.ordered(df).groupBy("place").count().count() > 3
+    assert sorted(map(tuple, C.fingerprints(df).collect()), key=repr) == whole

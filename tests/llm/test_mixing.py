@@ -31,3 +31,11 @@ def test_odd(spark):
     assert M.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     df = spark.createDataFrame([(None, "a b", None), (1, None, "s"), (1, "", "s")], "doc_id long, text string, source string")
     assert all(r.copy >= 1 for r in M.mix(df, epochs=8.0).collect())
+
+
+def test_clashing_columns(spark):
+    docs = table(spark, 300)
+    want = sorted((r.doc_id, r.copy, r.order_key) for r in M.mix(docs).collect())
+    df = docs.withColumns({c: F.lit("x") for c in ("rate", "cdf", "copy", "source_key", "order_key", "weight", "mass")})
+    got = M.mix(df)
+    assert set(got.columns) == set(df.columns) and sorted((r.doc_id, r.copy, r.order_key) for r in got.collect()) == want

@@ -8,12 +8,14 @@ probability equal to the generalised Jaccard similarity of their weights, so the
 The gamma draws come from tables of quantiles (a scalar subquery each, so plans stay small). Value and (term, t) are
 packed into one long, which makes the samples plain minima that aggregate in generated code.
 
-Rows are dealt into ranges of doc_id; a text needed by its neighbour in another range is sent there too. That one
-exchange serves the order, the edited texts and all aggregates. Memory in a task is bounded by its range.
+Rows are dealt into ranges of doc_id and, where ids repeat or are null, of the text's hash, with about as many bytes each; a
+text needed by its neighbour in another range is sent there too. That one exchange serves the order, the edited texts and
+all aggregates. Tasks sort and aggregate their range, which can spill.
 
 Null text counts as empty and, like any text without words, has the fingerprint of no terms, which equals only itself;
 an empty table gives an empty result; a single document is its own next; rows that repeat a doc_id are neighbours in the
-order of their texts; rows of null id come last; extra columns are ignored.
+order of their texts' hashes; rows of null id come last; very long texts are whole; extra columns are ignored. Rows equal in
+id and text are in one range.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES, R_STEPS, C_STEPS = 64, 12, 16  # samples; bits of the quantile tables of r and ln c
-#: Text in a range, and the most ranges; beyond, ranges grow.
-RANGE_BYTES, MOST_RANGES = 3 << 20, 20_000
+#: Text in a range, the most ranges (tasks), and sampled rows a range. Beyond 300 GB ranges grow, to 1 GB at 100 TB; their sorts spill.
+RANGE_BYTES, MOST_RANGES, SAMPLED = 3 << 20, 100_000, 20
 
 
 def gamma_quantiles(bits: int) -> list[float]:
@@ -72,19 +74,37 @@ def word_list(text: str) -> Column:
     return F.split(out, " ")
 
 
+def range_cuts(rows: DataFrame, n: int, count: int) -> list[tuple[int, int]]:
+    """About n - 1 values of (key, tie) that cut rows into ranges of about equal bytes, from a hashed sample of some SAMPLED rows a range."""
+    if n < 2:
+        return []
+    share = min(1.0, SAMPLED * n / max(count, 1))
+    picked = F.pmod(F.xxhash64("key", "tie", F.lit("cut")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    sample = sorted(rows.where(picked).select("key", "tie", (F.octet_length("text") + 8).alias("size")).collect())
+    out, held, room = [], 0, sum(r["size"] for r in sample) / n
+    for key, tie, bytes_ in sample:
+        if held >= room and (key, tie) != (out[-1] if out else None):
+            out.append((key, tie))
+            held = 0
+        held += bytes_
+    return out
+
+
 def ordered(docs: DataFrame) -> DataFrame:
     """Rows (place, doc_id, text, edited) in ranges `place`, with their number `row` there; ghosts of neighbours stay, marked."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")).alias("key"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, min(MOST_RANGES, size // RANGE_BYTES))
-    cuts = rows.select(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0] or []
-    cuts = sorted({int(c) for c in cuts})
-    # how many cuts a key reaches, in two steps of about the square root of their number; range 0 has the least ids
-    step = max(1, round(len(cuts) ** 0.5))
-    wide, all_cuts = (F.array(*[F.lit(c).cast("long") for c in x]).cast("array<long>") for x in (cuts[step - 1 :: step], cuts))
-    reached = lambda x: F.size(F.filter(x, lambda c: F.col("key") >= c))
-    rows = rows.withColumn("wide", reached(wide)).withColumn("place", F.col("wide") * step + reached(F.slice(all_cuts, F.col("wide") * step + 1, step))).drop("wide")
     rows = rows.withColumn("tie", F.xxhash64("text"))
+    size, count = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = max(1, min((size or 0) // RANGE_BYTES, MOST_RANGES))
+    cuts = range_cuts(rows, n, count)
+    # how many cuts a row reaches, in two steps of about the square root of their number; range 0 has the least ids
+    step = max(1, round(len(cuts) ** 0.5))
+    kind = "array<struct<key: bigint, tie: bigint>>"
+    one = docs.sparkSession.createDataFrame([(cuts[step - 1 :: step], cuts)], f"wide {kind}, every {kind}").coalesce(1)
+    wide, every = one.select("wide").scalar(), one.select("every").scalar()
+    reached = lambda x: F.size(F.filter(x, lambda c: F.struct("key", "tie") >= c))
+    rows = rows.select("*", wide.alias("wide"), every.alias("every")).withColumn("wide", reached(F.col("wide")))
+    rows = rows.withColumn("place", F.col("wide") * step + reached(F.slice("every", F.col("wide") * step + 1, step))).drop("wide", "every")
     # each range's first row is the next of the last row of the range above, and the very first that of the very last
     tops = sorted((r["place"], r["top"]["key"], r["top"]["tie"]) for r in rows.groupBy("place").agg(F.max(F.struct("key", "tie")).alias("top")).collect())
     target = [(key, tie, tops[(i + 1) % len(tops)][0]) for i, (_, key, tie) in enumerate(tops)]

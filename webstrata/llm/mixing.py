@@ -6,7 +6,8 @@ anywhere and again. Documents are exploded by their counts, and all copies are s
 
 Target weights not given are in proportion to the square root of a source's bytes. Null sources are one source; sources
 without text get no copies beyond a rate of one; a weight of zero drops its source; null ids hash like the text 'null';
-an empty table gives an empty result; rows that repeat a doc_id get the same count each.
+an empty table gives an empty result; rows that repeat a doc_id get the same count each; ties in the order are copies of
+such rows; texts count by all their bytes. The result's columns copy and order_key replace columns of these names.
 """
 
 from __future__ import annotations
@@ -49,14 +50,15 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as drawn, with copy (from 1) and order_key, in the order of order_key."""
-    table = cut(rates(docs, weights, epochs))
+    table = cut(rates(docs, weights, epochs)).select(F.col("source_key").alias("_source_key"), F.col("cdf").alias("_cdf"))
     few = table.count() <= 100_000
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     keyed = docs.select("*", F.coalesce("source", F.lit("")).alias("_source"), uniform(name, F.lit(str(seed))).alias("_u"))
-    joined = keyed.join(F.broadcast(table) if few else table, F.col("_source") == F.col("source_key"))
+    joined = keyed.join(F.broadcast(table) if few else table, F.col("_source") == F.col("_source_key"))
     # the copies' numbers: those k for which the uniform reaches the distribution function at k - 1
-    numbers = F.filter(F.transform("cdf", lambda c, k: F.when(c <= F.col("_u"), k + 1)), lambda k: k.isNotNull())
-    drawn = joined.select(*docs.columns, F.explode(numbers).alias("copy"))
+    numbers = F.filter(F.transform("_cdf", lambda c, k: F.when(c <= F.col("_u"), k + 1)), lambda k: k.isNotNull())
+    own = [c for c in docs.columns if c.lower() not in ("copy", "order_key")]
+    drawn = joined.select(*own, F.explode(numbers).alias("copy"))
     key = F.md5(F.concat_ws(":", name, F.col("copy").cast("string"), F.lit(str(seed))).cast("binary"))
     return drawn.withColumn("order_key", key).orderBy("order_key")
 

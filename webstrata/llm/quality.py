@@ -5,12 +5,14 @@ a word, in a hashed table. Each indicator is scaled by its class log-count ratio
 a linear hinge-loss model is fitted to the vectors by dual coordinate descent. A logistic curve, fitted on rows that the
 descent did not see, turns margins into scores.
 
-It is fitted on at most FIT_ROWS labelled documents a class, chosen by a hash of doc_id; of a text, at most the first
-megabyte is learned from, but all of it is scored. The model is a table of fixed size.
+It is fitted on at most FIT_ROWS labelled documents a class, chosen by a hash of doc_id and text. Whole texts become sets of
+table positions where they lie; the one task that fits gets these, of 16 KB a text at most. The model is a table of fixed
+size.
 
 Null text counts as empty; texts without n-grams get the score of the bias alone; without labelled rows of both classes
-every score is the share of label 1 (or one half); an empty table gives an empty result; repeated rows give one row each;
-extra columns are ignored.
+every score is the share of label 1 (or one half); a score of the threshold counts as 1; texts of any length are read
+whole; an empty table gives an empty result; repeated rows give one row each; rows of null id are not held out; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, crc_mod, labelled
+from .common import as_bytes, bounded_batches, crc_mod, cut, labelled
 
 FIT_ROWS, BITS, COST, SWEEPS = 2500, 17, 4.0, 8
 P1, P2, P3 = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -98,10 +100,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -30, 30)))
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, sweeps: int = SWEEPS, seed: int = 0) -> np.ndarray:
+def descend(rows: Vectors | list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost: np.ndarray, size: int, sweeps: int = SWEEPS, seed: int = 0) -> np.ndarray:
     """Weights of a linear model with hinge loss, by dual coordinate descent; the last weight is the bias."""
     rng, w, alpha = np.random.default_rng(seed), np.zeros(size + 1), np.zeros(len(rows))
-    norms = np.array([float(v @ v) + 1.0 for _, v in rows])
+    norms = np.array([float(v @ v) + 1.0 for _, v in map(rows.__getitem__, range(len(rows)))])
     for _ in range(sweeps):
         largest = 0.0
         for i in rng.permutation(len(rows)):
@@ -136,41 +138,71 @@ def logistic(m: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(a), float(b)
 
 
-def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> Model:
+def shut(at: np.ndarray) -> bytes:
+    """A set of table positions: as numbers or, where that is shorter, as one bit a position."""
+    if len(at) <= 1 << (BITS - 5):
+        return b"n" + at.astype("<u4").tobytes()
+    bits = np.zeros(1 << BITS, bool)
+    bits[at] = True
+    return b"b" + np.packbits(bits).tobytes()
+
+
+def opened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4", offset=1).astype("i8") if data[:1] == b"n" else np.flatnonzero(np.unpackbits(np.frombuffer(data, "u1", offset=1)))
+
+
+class Vectors:
+    """Unit vectors of shut sets, scaled by the ratio and made when asked for, so that memory holds the sets alone."""
+
+    def __init__(self, sets: list[bytes], ratio: np.ndarray):
+        self.sets, self.ratio = sets, ratio
+
+    def __len__(self) -> int:
+        return len(self.sets)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = opened(self.sets[i])
+        v = self.ratio[at]
+        return at, v / np.sqrt(max(float(v @ v), 1e-12))
+
+
+def fit(sets: list[bytes], y: np.ndarray, weight: np.ndarray) -> Model:
+    """The model of shut sets of positions, their labels and weights."""
     size = 1 << BITS
     if not len(y) or y.min() == y.max():
         share = 0.5 if not len(y) else float(y[0] * 0.98 + 0.01)
         return Model(np.zeros(size, "c8"), 0.0, 0.0, float(np.log(share / (1 - share))))
-    sets = [np.unique(ngrams(t)) for t in texts]
     counts = np.ones((2, size))
     for s, k in zip(sets, y, strict=True):
-        counts[k, s] += 1
+        counts[k, opened(s)] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    rows = []
-    for s in sets:
-        v = ratio[s]
-        rows.append((s, v / np.sqrt(max(float(v @ v), 1e-12))))
+    rows = Vectors(sets, ratio)
     signs = np.where(y == 1, 1.0, -1.0)
     balance = len(y) / 2 / np.maximum(np.bincount(y, minlength=2), 1)
     cost = COST * balance[y]
     probe = np.arange(len(y)) % 4 == 0  # every fourth row is kept for the curve
     part = np.flatnonzero(~probe)
-    w = descend([rows[i] for i in part], signs[part], cost[part], size)
-    m = np.array([w[rows[i][0]] @ rows[i][1] + w[size] for i in np.flatnonzero(probe)])
+    w = descend(Vectors([sets[i] for i in part], ratio), signs[part], cost[part], size)
+    m = np.array([w[at] @ v + w[size] for at, v in map(rows.__getitem__, np.flatnonzero(probe).tolist())])
     slope, shift = logistic(m, y[probe], weight[probe])
     return Model((w[:size] * ratio + 1j * ratio**2).astype("c8"), float(w[size]), slope, shift)
 
 
 def fitted(sample: DataFrame) -> Model:
-    """The model of a bounded sample (text, y, weight), fitted in one task; only its weights come back."""
+    """The model of a bounded sample (text, y, weight), fitted in one task on the texts' sets of positions; only its weights come back."""
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([pa.array([shut(np.unique(ngrams(t))) for t in as_bytes(b.column(0))], pa.binary()), b.column(1), b.column(2)], names=["positions", "y", "weight"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = sorted((t, y, w) for b in batches for t, y, w in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+        data = sorted(row for b in batches for row in zip(*[b.column(c).to_pylist() for c in range(3)], strict=True))
         order = np.random.default_rng(1).permutation(len(data))
         m = fit([data[i][0] for i in order], np.array([data[i][1] for i in order], "i8"), np.array([data[i][2] for i in order]))
         yield pa.record_batch([pa.array([m.pull.tobytes()]), pa.array([[m.bias, m.slope, m.shift]])], names=["pull", "rest"])
 
-    row = sample.coalesce(1).mapInArrow(run, "pull binary, rest array<double>").first()
+    sets = cut(sample.select("text", "y", "weight").mapInArrow(shorten, "positions binary, y int, weight double"))
+    row = sets.coalesce(1).mapInArrow(run, "pull binary, rest array<double>").first()
     return Model(np.frombuffer(row["pull"], "c8"), *row["rest"]) if row else fit([], np.empty(0, "i8"), np.empty(0))
 
 
