@@ -22,12 +22,12 @@ def test_time_and_urls(spark):
     assert one(spark, S.micros_to_millis("a"), a=1499) == 1 and one(spark, S.micros_to_millis("a"), a=1500) == 2
     assert one(spark, S.normalized_url("a"), a="example.com/x") == "https://example.com/x"
     assert one(spark, S.normalized_url("a"), a="ftp://example.com") is None and one(spark, S.normalized_url("a"), a="x" * 3000) is None
-    for url, ok in (("https://example.com", True), ("http://localhost/", False), ("http://127.0.0.1/", False), ("http://10.1.2.3/", False), ("http://172.32.0.1/", True), ("http://198.19.255.255/", False), ("http://[::1]/", False), ("http://[::ffff:10.0.0.1]/", False), ("http://8.8.8.8/", True), ("ftp://example.com", False)):
+    for url, ok in (("https://example.com", True), ("http://localhost/", False), ("http://127.0.0.1/", False), ("http://10.1.2.3/", False), ("http://172.32.0.1/", True), ("http://198.19.255.255/", False), ("http://[::1]/", False), ("http://[::ffff:10.0.0.1]/", False), ("http://8.8.8.8/", True), ("ftp://example.com", False), ("http://[::ffff:7f00:1]/", False), ("http://[0:0::1]/", False), ("http://[0:0:0:0:0:0:0:1]:8080/x", False), ("http://[fd00::1]/", False), ("http://[2606:4700::1111]/", True), ("http://[::ffff:8.8.8.8]/", True), ("http://2130706433/", False), ("http://0x7f.1/", False), ("http://127.1/", False), ("http://localhost./", False)):
         assert one(spark, S.allowed_target("a"), a=url) is ok, url
 
 
 def test_domains(spark):
-    for host, want in (("www.example.com", "example.com"), ("a.b.example.co.uk", "example.co.uk"), ("co.uk", None), ("192.0.2.1", "192.0.2.1"), ("localhost", None), ("x.github.io", "x.github.io"), ("EXAMPLE.org.", "example.org")):
+    for host, want in (("www.example.com", "example.com"), ("a.b.example.co.uk", "example.co.uk"), ("co.uk", None), ("192.0.2.1", "192.0.2.1"), ("localhost", None), ("x.github.io", "x.github.io"), ("EXAMPLE.org.", "example.org"), ("foo.co.at", "foo.co.at"), ("a.foo.com.pl", "foo.com.pl"), ("x.y.ck", "x.y.ck"), ("y.ck", None), ("a.www.ck", "www.ck"), ("a.city.kobe.jp", "city.kobe.jp"), ("a.b.c.kobe.jp", "b.c.kobe.jp"), ("a.nosuchsuffix", "a.nosuchsuffix"), ("a.食狮.公司.cn", "食狮.公司.cn"), ("www.xn--55qx5d.cn", "www.xn--55qx5d.cn"), ("a..com", None), (".com", None), ("com", None)):
         assert one(spark, D.registrable("a"), a=host) == want, host
     assert one(spark, D.root_domain("a"), a="co.uk") == "co.uk"
     assert D.resolve("https://a.com/b/c", "d.js") == "https://a.com/b/d.js" and D.resolve("https://a.com/b", "//cdn.net/x") == "https://cdn.net/x" and D.resolve("https://a.com", "data:x") is None
@@ -39,6 +39,11 @@ def test_dns_and_headers(spark):
     assert [one(spark, S.txt_kind("a"), a=t) for t in ("V=SPF1 x", "v=DMARC1", "google-site-verification=1", "z")] == ["SPF", "DMARC", "VERIFICATION", "OTHER"]
     assert tuple(one(spark, S.mx_entry("a"), a="10 mx.example.com")) == (10, "mx.example.com") and tuple(one(spark, S.mx_entry("a"), a="mx.example.com")) == (0, "mx.example.com")
     assert one(spark, S.mx_entry("a"), a="10") is None and tuple(one(spark, S.mx_entry("a"), a='{"priority": 5, "exchange": "m"}')) == (5, "m")
+    for text, want in (('{"priority": 7, "hostname": "m"}', (7, "m")), ("junk host", (0, "junk")), ("-5 mx", (-5, "mx")), ("+5 mx", (5, "mx")), ("  10   mx  more", (10, "mx")), ("99999999999 x", (0, "99999999999"))):
+        assert tuple(one(spark, S.mx_entry("a"), a=text)) == want, text
+    for text, want in (('[{"priority": 10, "hostname": "a"}, {"priority": 20}, {"priority": 5, "hostname": "b"}]', [(10, "a"), (5, "b")]), ('["10 a", "b", "7", ""]', [(10, "a"), (0, "b")]), ("[]", None), ("{", None), ('[{"x": 1}]', None), ("", None)):
+        got = one(spark, S.mx_entries("a"), a=text)
+        assert (None if got is None else [tuple(x) for x in got]) == want, text
     assert one(spark, S.json_strings("a"), a='["x","y"]') == ["x", "y"] and one(spark, S.json_strings("a"), a="{") is None
     assert tuple(one(spark, S.hsts("a"), a="max-age=31536000; includeSubDomains; preload")) == (31536000, True, True)
     assert [tuple(x) for x in one(spark, S.csp_domains("a"), a="default-src 'self' https://A.Example.com:443 *.cdn.net; script-src a.example.com a.example.com")] == [("default-src", "a.example.com"), ("default-src", "cdn.net"), ("script-src", "a.example.com")]

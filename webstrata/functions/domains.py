@@ -1,46 +1,80 @@
-"""Registrable domains by a small public-suffix list, as native column expressions, and URL resolution.
+"""Registrable domains by the public suffix list, as native column expressions, and URL resolution.
 
-The list covers common suffixes only (a caller may pass another); names under an unlisted suffix count as if the suffix
-were their last label, as the list's default rule has it.
+The list is the one that PySpark carries in its HTTP client (a caller may pass other rules); names under an unlisted suffix
+count as if the suffix were their last label, as the list's default rule has it. Membership is a SQL function of the session
+over hash sets, so no Python runs on rows.
 """
 
+import glob
+import hashlib
+import os
+import zipfile
+from functools import lru_cache
 from urllib.parse import unquote_to_bytes, urljoin, urlsplit
 
 import pandas as pd
-from pyspark.sql import Column
+import pyspark
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions.scalar import col, url_host
 
-#: Suffixes of two labels under which names are registered; fixed values.
-SECOND_LEVEL = {
-    "uk": "ac co gov ltd me net org plc sch", "jp": "ac ad co ed go gr lg ne or", "au": "asn com edu gov id net org", "br": "com edu gov mil net org", "nz": "ac co geek gen govt net org school",
-    "za": "ac co gov law net nom org web", "in": "ac co edu firm gen gov ind net org res", "kr": "ac co go ne or pe re", "cn": "ac com edu gov net org", "tw": "com edu gov idv net org", "mx": "com edu gob net org",
-    "ar": "com edu gob gov int net org", "tr": "av bel com edu gov k12 net org", "il": "ac co gov k12 muni net org", "hk": "com edu gov idv net org", "sg": "com edu gov net org per", "co": "com edu gov net nom org",
-}
-PRIVATE = ["github.io", "gitlab.io", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev", "web.app", "firebaseapp.com", "blogspot.com", "cloudfront.net", "azurewebsites.net"]
-SUFFIXES = sorted([f"{s}.{tld}" for tld, names in SECOND_LEVEL.items() for s in names.split()] + PRIVATE)
+
+@lru_cache(maxsize=1)
+def public_suffixes() -> tuple[str, ...]:
+    """The rules of the public suffix list, private ones included: names, *.name and !name; other alphabets also as ASCII."""
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "httpclient-*.jar"))
+    if not jars:
+        raise FileNotFoundError("PySpark's httpclient jar with the public suffix list is missing; pass rules instead")
+    with zipfile.ZipFile(jars[0]) as jar:
+        lines = jar.read("mozilla/public-suffix-list.txt").decode().splitlines()
+    rules = [line.split()[0].lower() for line in lines if line.strip() and not line.startswith("//")]
+    return tuple(sorted({form for r in rules for form in (r, ascii_form(r))}))
+
+
+def ascii_form(rule: str) -> str:
+    mark = rule[: 2 if rule.startswith("*.") else 1 if rule.startswith("!") else 0]
+    return rule if rule.isascii() else mark + ".".join(x.encode("idna").decode() for x in rule[len(mark) :].split("."))
+
+
+def suffix_labels(host: Column, rules: tuple[str, ...] | None = None) -> Column:
+    """How many labels of a host are its public suffix: those of the longest rule that fits, or of the exception that does."""
+    rules = public_suffixes() if rules is None else tuple(rules)
+    name = "public_suffix_labels_" + hashlib.md5("\n".join(rules).encode()).hexdigest()[:12]
+    spark = SparkSession.getActiveSession()
+    if not spark.catalog.functionExists(name):
+        by_size: dict[tuple[str, int], list[str]] = {}
+        for r in rules:
+            kind = r[0] if r[0] in "*!" else ""
+            bare = r.removeprefix("*.").removeprefix("!")
+            by_size.setdefault((kind, bare.count(".") + 1), []).append("'" + bare.replace("'", "''") + "'")
+        ends = lambda n, names: f"substring_index(h, '.', -{n}) IN ({', '.join(names)})"
+        excepted = " ".join(f"WHEN {ends(n, names)} THEN {n - 1}" for (kind, n), names in sorted(by_size.items()) if kind == "!")
+        fits = [f"IF({ends(n, names)}, {n + (kind == '*')}, 1)" for (kind, n), names in sorted(by_size.items()) if kind != "!" and (kind, n) != ("", 1)]
+        longest = f"greatest(1, {', '.join(fits)})" if fits else "1"
+        body = f"CASE {excepted} ELSE {longest} END" if excepted else longest
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(h STRING) RETURNS INT RETURN {body}")
+    return F.call_function(name, host)
 
 
 def is_ip(host: Column) -> Column:
     return host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | F.contains(host, F.lit(":"))
 
 
-def registrable(host: Column | str, suffixes: list[str] = SUFFIXES) -> Column:
+def registrable(host: Column | str, rules: tuple[str, ...] | None = None) -> Column:
     """eTLD+1 of a host; an IP literal stays; null for a bare suffix, a single label or nothing."""
     h = F.lower(F.regexp_replace(col(host), r"\.$", ""))
     labels = F.split(h, r"\.")
-    n = F.size(labels)
-    tail = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".")
-    under_two = tail(2).isin(suffixes)
-    named = F.when(under_two, F.when(n >= 3, tail(3))).when(n >= 2, tail(2))
-    return F.when(is_ip(h), h).when(F.forall(labels, lambda x: x != ""), named)
+    n, k = F.size(labels), suffix_labels(h, rules)
+    named = F.when(n > k, F.array_join(F.slice(labels, F.greatest(n - k, F.lit(1)), k + 1), "."))
+    broken = h.startswith(".") | F.contains(h, F.lit(".."))
+    return F.when(is_ip(h), h).when(~broken & (h != ""), named)
 
 
 def root_domain(host: Column | str) -> Column:
     """Like registrable(), but a host that is itself a suffix stays."""
     h = F.lower(col(host))
-    return F.coalesce(registrable(h), F.when(h.isin(SUFFIXES), h))
+    return F.coalesce(registrable(h), F.when(~is_ip(h) & F.contains(h, F.lit(".")) & (F.size(F.split(h, r"\.")) <= suffix_labels(h)), h))
 
 
 def url_domain(url: Column | str) -> Column:

@@ -1,7 +1,12 @@
-"""Scalar functions on columns: parsers, labels and normalisers that need no Python at run time."""
+"""Scalar functions on columns: parsers, labels and normalisers that need no Python at run time, but for literal addresses."""
 
 from __future__ import annotations
 
+import socket
+from functools import lru_cache
+from ipaddress import IPv6Address, IPv6Network
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,19 +93,47 @@ def reachable_ipv4(ip: Column | str) -> Column:
     return ~bad
 
 
-def forbidden_ipv6(ip: Column | str) -> Column:
-    """Loopback, unspecified, unique local, link local, multicast and documentation addresses, and those that wrap a forbidden IPv4 one."""
-    a = F.lower(F.regexp_replace(col(ip), r"^\[|\]$", ""))
-    wrapped = F.regexp_extract(a, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    return a.isin("::1", "::", "0:0:0:0:0:0:0:1", "0:0:0:0:0:0:0:0") | a.rlike(r"^f[cd][0-9a-f]{2}:|^fe[89ab][0-9a-f]:|^ff[0-9a-f]{2}:|^2001:0?db8:") | F.coalesce(~reachable_ipv4(wrapped), F.lit(False))
+#: IPv6 networks that a scanner must not reach; fixed values.
+FORBIDDEN_IPV6 = ["::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8", "2001:db8::/32"]
+
+
+@lru_cache(maxsize=1 << 16)
+def reachable(literal: str) -> bool:
+    """Whether an address, written in any way that URLs allow, is outside the forbidden ranges; wrapped IPv4 counts as such."""
+    if literal.startswith("["):
+        try:
+            six = IPv6Address(literal[1:-1].split("%")[0])
+        except ValueError:
+            return False
+        if six.ipv4_mapped is None:
+            return not any(six in IPv6Network(n) for n in FORBIDDEN_IPV6)
+        number = int(six.ipv4_mapped)
+    else:
+        try:
+            number = int.from_bytes(socket.inet_aton(literal))
+        except OSError:
+            return False
+    return not any(quad(low) <= number <= quad(high) for low, high in FORBIDDEN_IPV4)
+
+
+def reachable_batch(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: reachable(x) if isinstance(x, str) else None)
+
+
+def reachable_literal(host: Column | str) -> Column:
+    """False for a host that is a forbidden or broken address, null for a name. IPv4 may be short, hexadecimal, octal or one number, as
+    URLs have it. Only addresses are sent to Python."""
+    h = F.lower(F.regexp_replace(col(host), r"\.$", ""))
+    address = h.startswith("[") | h.rlike(r"^(?:0x[0-9a-f]*|\d+)(?:\.(?:0x[0-9a-f]*|\d+)){0,3}$")
+    return F.pandas_udf(reachable_batch, "boolean")(F.when(address, h))
 
 
 def allowed_target(url: Column | str) -> Column:
     """Whether a scanner may fetch the URL: http(s), no local name, no forbidden literal address."""
-    host = F.coalesce(url_host(url), F.lit(""))
+    host = F.regexp_replace(F.coalesce(url_host(url), F.lit("")), r"\.$", "")
     scheme = F.lower(F.coalesce(F.try_parse_url(col(url), F.lit("PROTOCOL")), F.lit("")))
     local = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
-    return scheme.isin("http", "https") & (host != "") & ~local & F.coalesce(reachable_ipv4(host), F.lit(True)) & ~(F.contains(host, F.lit(":")) & forbidden_ipv6(host))
+    return scheme.isin("http", "https") & (host != "") & ~local & F.coalesce(reachable_literal(host), F.lit(True))
 
 
 def scannable_type(content_type: Column | str) -> Column:
@@ -138,14 +171,26 @@ def txt_kind(record: Column | str) -> Column:
 
 
 def mx_entry(record: Column | str) -> Column:
-    """struct(priority, mail_exchange) of 'prio host', of a bare host (priority 0) or of a JSON object; null for a lone number or nothing."""
+    """struct(priority, mail_exchange) of 'priority host', a signed number first; of other text, its first word with priority 0; of a JSON
+    object, its priority and hostname (or exchange); null for a lone number or nothing."""
     t = F.trim(col(record))
     words = F.split(t, r"\s+")
-    number = F.when(words[0].rlike(r"^\d{1,9}$"), words[0].cast("int"))
-    obj = F.from_json(F.when(t.startswith("{"), t), "priority int, exchange string, mail_exchange string")
-    plain = F.when((F.size(words) >= 2) & number.isNotNull(), F.struct(number.alias("priority"), words[1].alias("mail_exchange"))).when((F.size(words) == 1) & number.isNull() & (t != "") & ~t.startswith("{"), F.struct(F.lit(0).alias("priority"), words[0].alias("mail_exchange")))
-    host = F.coalesce(obj["exchange"], obj["mail_exchange"])
-    return F.when(t.startswith("{"), F.when(host.isNotNull(), F.struct(F.coalesce(obj["priority"], F.lit(0)).alias("priority"), host.alias("mail_exchange")))).otherwise(plain)
+    number = F.when(words[0].rlike(r"^[+-]?\d{1,10}$"), words[0].try_cast("int"))
+    of = lambda priority, host: F.struct(priority.cast("int").alias("priority"), host.alias("mail_exchange"))
+    obj = F.from_json(F.when(t.startswith("{"), t), "priority int, hostname string, exchange string, mail_exchange string")
+    host = F.coalesce(obj["hostname"], obj["exchange"], obj["mail_exchange"])
+    plain = F.when(number.isNull(), F.when(words[0] != "", of(F.lit(0), words[0]))).when(F.size(words) >= 2, of(number, words[1]))
+    return F.when(t.startswith("{"), F.when(host.isNotNull(), of(F.coalesce(obj["priority"], F.lit(0)), host))).otherwise(plain)
+
+
+def mx_entries(records: Column | str) -> Column:
+    """array<struct(priority, mail_exchange)> of a JSON array of objects with priority and hostname, or else of strings; null if nothing comes out."""
+    r = col(records)
+    objects = F.filter(F.from_json(r, "array<struct<priority: bigint, hostname: string>>"), lambda x: x["priority"].isNotNull() & x["hostname"].isNotNull())
+    named = F.transform(objects, lambda x: F.struct(x["priority"].cast("int").alias("priority"), x["hostname"].alias("mail_exchange")))
+    texts = F.filter(F.from_json(r, "array<string>"), lambda x: ~x.startswith("{"))
+    plain = F.filter(F.transform(texts, mx_entry), lambda x: x.isNotNull())
+    return F.when(F.size(named) > 0, named).when(F.size(plain) > 0, plain)
 
 
 def json_strings(x: Column | str) -> Column:
@@ -327,7 +372,7 @@ def status_error(status: Column | str) -> Column:
     return F.coalesce(by_map(status, STATUS_ERRORS), F.when(col(status).between(400, 599), OTHER_ERROR))
 
 
-#: For each kind of failure, in the order in which they are tried, the groups of words of which one each must occur.
+#: For each kind of failure, in the order in which they are tried, the groups of words of which one each must occur; fixed values.
 MESSAGE_ERRORS = [
     ("HTTP request timeout error", ("request timeout",)), ("HTTP request timeout error", ("http",), ("timeout",)), ("Process URL timeout", ("timeout",)),
     ("DNS TXT lookup error", ("dns", "resolve", "lookup failed"), ("txt",)), ("DNS MX lookup error", ("dns", "resolve", "lookup failed"), ("mx", "mail")), ("DNS NS lookup error", ("dns", "resolve", "lookup failed")),
