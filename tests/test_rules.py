@@ -5,7 +5,7 @@ from webstrata.sources import rules as R
 
 
 def test_patterns_and_versions():
-    assert R.Pattern.of(r"nginx(?:/([\d.]+))?\;version:\1").match("Nginx/1.2") == (True, "1.2")
+    assert R.Pattern.of(r"^made/(\d\S*)\;version:\1").match("Made/1.2") == (True, "1.2")
     assert R.Pattern.of("").match("any") == (True, None) and R.Pattern.of("a.b").match("axb") == (False, None)
     assert R.Pattern.of(r"x([a\;version:\1").match("x([a") == (True, None)
     m = re.search(r"v(\d)(\d)?", "v1")
@@ -13,15 +13,52 @@ def test_patterns_and_versions():
 
 
 def test_implies_is_closed_and_bounded():
-    rules = R.technologies({"a": {"implies": "b"}, "b": {"implies": ["c\;confidence:50", "unknown"]}, "c": {"implies": "a"}})
-    assert R.implied(rules) == {"a": ["b", "c"], "b": ["a", "c"], "c": ["a", "b"]}
+    rules = R.technologies({"a": {"implies": "b"}, "b": {"implies": [r"c\;confidence:50\;version:3", "unknown"]}, "c": {"implies": "a"}})
+    assert R.implied(rules) == {"a": {"b": None, "c": "3"}, "b": {"a": None, "c": "3"}, "c": {"a": None, "b": None}}
+    assert list(R.implied(rules, rounds=1)["a"]) == ["b"]
+
+
+def test_required_literals():
+    for expression, want in (("^sampled/(\\d+)", "sampled/"), ("a?bcd", "bcd"), ("abc*de", "ab"), ("Foo|bar", ""), ("x(?:one|two)yyy", "yyy"), (r"cart\.js", "cart.js"), (r"\bword\d+tail", "word"), ("[abc]{2}", ""), ("ab{2}cd", "cd")):
+        assert R.required(expression) == want, expression
+    for raw, text in ((r"ab{0}cd+", "acd"), (r"É+x", "éx"), (r"a+b", "aab")):
+        assert R.Pattern.of(raw).match(text)[0]
+
+
+def test_packs_from_files_and_urls(tmp_path):
+    (tmp_path / "a.json").write_text('{"technologies": {"X": {"cats": [1], "html": "x-mark"}}}')
+    (tmp_path / "categories.json").write_text('{"1": {"name": "Things"}}')
+    for path, categories in ((str(tmp_path), None), (str(tmp_path / "a.json"), str(tmp_path / "categories.json")), ((tmp_path / "a.json").as_uri(), (tmp_path / "categories.json").as_uri())):
+        [t] = R.read_technologies(path, categories)
+        assert (t.name, t.category) == ("X", "Things") and t.lists["html"][0].match("an X-Mark") == (True, None)
 
 
 def test_detection(spark):
-    html = '<meta name="generator" content="WordPress 6.1"><script src="/woocommerce/x.js?ver=7.2"></script><script src="https://cdn1.example.net/jquery-3.6.0.min.js"></script>'
-    rows = extract.parsed(spark.createDataFrame([(1, "https://e.com/", html, {"Server": "nginx/1.25", "X": "y"}), (2, "https://e.com/", "", None)], "page_id long, url string, html string, h map<string,string>"))
-    got = {r.technology_name: (r.technology_version, r.is_implied, r.technology_category) for r in tech.technologies_of(rows, headers="h").collect() if r.page_id == 1}
-    assert got == {"nginx": ("1.25", False, "Web servers"), "WordPress": ("6.1", False, "CMS"), "WooCommerce": ("7.2", False, "Ecommerce"), "jQuery": ("3.6.0", False, "JavaScript libraries"), "PHP": (None, True, "Programming languages"), "Example CDN": (None, False, "CDN")}
+    html = '<meta property="generator" content="Sample CMS v9"><meta name="generator" content="Sample CMS v6.1"><script src="/sample-shop/cart.js?v=7.2"></script><script src="https://cdn1.example.net/widgets@3.6/all.js"></script>'
+    schema = "page_id long, url string, html string, h map<string,string>, d map<string,string>, x array<string>"
+    data = [(1, "https://e.com/", html, {"Server": "Sampled/1.25", "X": "y"}, None, None), (2, "https://e.com/", "", None, {"SPF": "v=spf1", "TXT": "Sample-Counter-Site=1"}, ['SampleWidgets.boot("2.0")']), (3, None, None, None, None, None)]
+    rows = extract.parsed(spark.createDataFrame(data, schema))
+    got = {(r.page_id, r.technology_name): (r.technology_version, r.is_implied, r.technology_category) for r in tech.technologies_of(rows, headers="h", dns="d", external="x").collect()}
+    assert got == {
+        (1, "Sample Server"): ("1.25", False, "Web servers"), (1, "Sample CMS"): ("6.1", False, "CMS"), (1, "Sample Shop"): ("7.2", False, "Ecommerce"), (1, "Sample Widgets"): ("3.6", False, "JavaScript libraries"),
+        (1, "Sample Language"): ("8", True, "Programming languages"), (1, "Example CDN"): (None, False, "CDN"), (2, "Sample Counter"): (None, False, "Analytics"), (2, "Sample Widgets"): ("2.0", False, "JavaScript libraries"),
+    }
+
+
+def test_pattern_is_trimmed():
+    assert R.Pattern.of(r"  name (\d)\;version:\1 ").match("name 4") == (True, "4")
+
+
+def test_secrets_of_whole_answers(spark):
+    """Headers, cookies and external scripts, once each, with the claims of tokens among them."""
+    head = "eyJhbGciOiJIUzI1NiJ9"
+    token = head + ".eyJpc3MiOiJtZSIsImV4cCI6MTB9.c2lnbmF0dXJlMTIz"
+    key = "AK" + "IAQWERTZUIOPASDF23"
+    rows = [(1, "<p>none</p>", {"X-Key": key, "Set-Cookie": "no"}, [f"sid={token}; Path=/"], {"https://a.com/x.js": f"k='{key}'"}), (2, f"<!-- {key} -->", {"X-Key": key}, None, None), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, html string, h map<string,string>, c array<string>, s map<string,string>")
+    out = secrets.exposed_of_answers(df, "id", "html", "h", "c", "s")
+    assert sorted((r.id, r.secret_type, r.location) for r in out.collect()) == [(1, "aws-access-key", "response_header"), (1, "jwt", "set_cookie"), (2, "aws-access-key", "html_comment")]
+    assert [(r.id, r.issuer) for r in secrets.token_claims(out, "id").collect()] == [(1, "me")]
 
 
 def fake(prefix, body):

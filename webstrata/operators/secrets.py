@@ -20,11 +20,25 @@ from webstrata.sources.rules import Allow, SecretRule, SecretRules, secret_rules
 FOUND = "array<struct<secret_type: string, matched_value: string, severity: string, location: string, context: string>>"
 AROUND, LINE = 80, 512
 PLACES = [
-    ("html_comment", re.compile(r"<!--.*?-->", re.S)), ("json_ld", re.compile(r"<script[^>]*ld\+json[^>]*>.*?</script>", re.S | re.I)), ("inline_script", re.compile(r"<script(?![^>]*\bsrc\s*=)[^>]*>.*?</script>", re.S | re.I)),
-    ("meta_tag", re.compile(r"<meta\b[^>]*>", re.I)), ("data_attribute", re.compile(r"""\bdata-[\w-]+\s*=\s*(?:"[^"]*"|'[^']*')"""  )), ("url_parameter", re.compile(r"""https?://[^\s"'<>]*\?[^\s"'<>]*""")),
+    ("html_comment", re.compile(r"<!--"), "-->"), ("json_ld", re.compile(r"<script[^>]*ld\+json[^>]*>", re.I), "</script>"), ("inline_script", re.compile(r"<script(?![^>]*\bsrc\s*=)[^>]*>", re.I), "</script>"),
+    ("meta_tag", re.compile(r"<meta\b[^>]*>", re.I), None), ("data_attribute", re.compile(r"""\bdata-[\w-]+\s*=\s*(?:"[^"]*"|'[^']*')"""), None), ("url_parameter", re.compile(r"""https?://[^\s"'<>?]*\?[^\s"'<>]*"""), None),
 ]
 
 
+def spans_of(start: re.Pattern, end: str | None, text: str, low: str) -> list[tuple[int, int]]:
+    """Where a place begins and ends; an end that is missing is looked for once only."""
+    if end is None:
+        return [m.span() for m in start.finditer(text)]
+    out, at = [], 0
+    while m := start.search(text, at):
+        to = low.find(end, m.end()) if len(low) == len(text) else text.lower().find(end, m.end())
+        if to < 0:
+            break
+        at = to + len(end)
+        out.append((m.start(), at))
+    return out
+
+
 def entropy(text: str) -> float:
     n = len(text)
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
@@ -64,7 +78,7 @@ def scan(text: str | None, pack: SecretRules, place: str | None = None) -> list[
                 continue
             seen.add((rule.id, secret))
             if place is None and spans is None:
-                spans = [(name, [x.span() for x in regex.finditer(text)]) for name, regex in PLACES]
+                spans = [(name, spans_of(start, end, text, low)) for name, start, end in PLACES]
             where = place or next((name for name, own in spans if any(a <= m.start() < b for a, b in own)), "html_body")
             out.append({"secret_type": rule.id, "matched_value": secret, "severity": rule.severity, "location": where, "context": text[max(0, m.start() - AROUND) : m.end() + AROUND]})
     return out
@@ -72,19 +86,44 @@ def scan(text: str | None, pack: SecretRules, place: str | None = None) -> list[
 
 def exposed(rows: DataFrame, key: str, text: str, pack: SecretRules | None = None, location: str | None = None) -> DataFrame:
     """(key, secret_type, matched_value, severity, location, context) of a text column. Texts without any keyword skip Python."""
+    return found_in(rows.select(key, F.lit(location).alias("place"), F.col(text).alias("body")), key, pack)
+
+
+def found_in(texts: DataFrame, key: str, pack: SecretRules | None = None) -> DataFrame:
+    """The findings of texts (key, place, body); place null means a page, whose findings are located by what is around them."""
     pack = secret_rules() if pack is None else pack
     words = sorted({k for r in pack.rules for k in r.keywords})
-    any_rule = F.lit(True) if any(not r.keywords for r in pack.rules) else F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(F.col(text)), w))
+    if all(r.keywords for r in pack.rules):  # the outer lambda lowers a text once, not once a keyword
+        literals = F.array(*[F.lit(w) for w in words])
+        texts = texts.where(F.exists(F.array(F.lower("body")), lambda low: F.exists(literals, lambda w: F.contains(low, w))))
 
     @F.pandas_udf(FOUND)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda x: scan(x, pack, location))
-
-    return rows.where(any_rule).select(key, F.explode(run(text)).alias("s")).select(key, "s.*")
-
-
-def header_text(headers: str):
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for bodies, places in batches:
+            yield pd.Series([scan(b, pack, p if isinstance(p, str) else None) if isinstance(b, str) else [] for b, p in zip(bodies, places, strict=True)], dtype=object)
+
+    return texts.select(key, F.explode(run("body", "place")).alias("s")).select(key, "s.*")
+
+
+def exposed_of_answers(rows: DataFrame, key: str, html: str, headers: str | None = None, cookies: str | None = None, scripts: str | None = None, pack: SecretRules | None = None) -> DataFrame:
+    """Findings of whole answers: the page, its headers (a map) but for cookies, its Set-Cookie values (an array), and its external
+    scripts (a map from URL to text). A (type, value) of a key counts once, at the first of these places."""
+    texts = [F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("place"), F.col(html).alias("body"))]
+    if headers:
+        texts.append(F.struct(F.lit(1).alias("n"), F.lit("response_header").alias("place"), header_text(F.map_filter(headers, lambda k, v: F.lower(k) != "set-cookie")).alias("body")))
+    if cookies:
+        texts.append(F.struct(F.lit(2).alias("n"), F.lit("set_cookie").alias("place"), F.array_join(cookies, "\n").alias("body")))
+    every = F.array(*texts)
+    if scripts:
+        own = F.transform(F.map_entries(scripts), lambda e: F.struct(F.lit(3).alias("n"), F.concat(F.lit("external_script:"), e["key"]).alias("place"), e["value"].alias("body")))
+        every = F.concat(every, F.coalesce(own, F.array().cast("array<struct<n: int, place: string, body: string>>")))
+    each = rows.select(key, F.explode(every).alias("t")).where("t.body IS NOT NULL AND t.body <> ''").select(F.struct(key, "t.n").alias("k"), "t.place", "t.body")
+    found = found_in(each, "k", pack)
+    first = F.min_by(F.struct("severity", "location", "context"), F.struct("k.n", "location"))
+    return found.groupBy(F.col(f"k.{key}").alias(key), "secret_type", "matched_value").agg(first.alias("f")).select(key, "secret_type", "matched_value", "f.*")
+
+
+def header_text(headers):
     """A header map as lines, for scanning."""
     return F.array_join(F.transform(F.map_entries(headers), lambda e: F.concat(e["key"], F.lit(": "), e["value"], F.lit("\n"))), "")
 

@@ -1,7 +1,10 @@
 """Technology detection: a rule pack over pages, in one Arrow-batched pass, then native merging.
 
-Channels are tried in the order html, script sources, inline scripts, meta, url; a later one only while no version is
-known. What a technology implies is closed over the rule pack on the driver, so rows never recurse."""
+Channels are tried in the order headers, cookies, html, script sources, inline scripts, meta, url, script ids, DNS records,
+certificate issuer, text of external scripts; a later one only while no version is known. A meta key is looked up among
+names, then properties, then http-equiv. TXT rules search all TXT, SPF and DMARC records together. What a technology
+implies, and with which version, is closed over the rule pack on the driver, so rows never recurse. Texts that lack what a
+pattern requires are not searched for it."""
 
 from collections.abc import Iterator
 
@@ -70,30 +73,48 @@ def as_lists(m) -> dict[str, list[str]]:
     return out
 
 
-def observed(rows: DataFrame, rules: list[Technology], key: str = "page_id", html: str = "html", url: str = "url", headers: str | None = None, cookies: str | None = None, dns: str | None = None, issuer: str | None = None) -> DataFrame:
-    """(key, technology_name, technology_version, rank) of rows that operators.extract.parsed() made."""
+def meta_values(meta) -> dict[str, list[str]]:
+    """Contents by bare key: those under name, or else under property, or else under http-equiv."""
+    by_kind: dict[str, dict[str, list[str]]] = {}
+    for m in meta if meta is not None else []:
+        kind, _, name = m["key"].partition(":")
+        by_kind.setdefault(kind, {}).setdefault(name, []).append(m["content"] or "")
+    out: dict[str, list[str]] = {}
+    for kind in ("http-equiv", "property", "name"):  # the last one counts
+        out |= by_kind.get(kind, {})
+    return out
+
+
+def dns_values(records) -> dict[str, list[str]]:
+    """Record texts by type, in lower case; all of TXT, SPF and DMARC are one text under TXT."""
+    out = {k: [x.lower() for x in v] for k, v in as_lists(records).items()}
+    texts = [x for k in ("txt", "spf", "dmarc") for x in out.get(k, [])]
+    return out | ({"txt": [" ".join(texts)]} if texts else {})
+
+
+def channels_of(r) -> list[tuple]:
+    values = lambda x: list(x) if x is not None else []
+    return [
+        ("headers", {k: [", ".join(v).lower()] for k, v in as_lists(r.headers).items()}), ("cookies", as_lists(r.cookies)), ("html", [r.html or ""]), ("scriptSrc", values(r.src)), ("scripts", [r.inline or ""]),
+        ("meta", meta_values(r.meta)), ("url", [r.url or ""]), ("js", {i.lower(): [""] for i in values(r.ids)}), ("dns", dns_values(r.dns)), ("certIssuer", [r.issuer.lower()] if r.issuer else []),
+        ("scripts", [x.lower() for x in values(r.external) if x]),
+    ]
+
+
+def observed(rows: DataFrame, rules: list[Technology], key: str = "page_id", html: str = "html", url: str = "url", headers: str | None = None, cookies: str | None = None, dns: str | None = None, issuer: str | None = None, external: str | None = None) -> DataFrame:
+    """(key, technology_name, technology_version, rank) of rows that operators.extract.parsed() made; `external` is an array of the
+    texts of the page's external scripts."""
     blank = F.lit(None).cast("map<string,string>")
     packed = F.struct(
         F.lower(html).alias("html"), F.col(url).alias("url"), F.col("p.script_sources").alias("src"), F.col("p.inline_script").alias("inline"), F.col("p.meta").alias("meta"), F.col("p.script_ids").alias("ids"),
         (F.col(headers) if headers else blank).alias("headers"), (F.col(cookies) if cookies else blank).alias("cookies"), (F.col(dns) if dns else blank).alias("dns"), (F.col(issuer) if issuer else F.lit(None).cast("string")).alias("issuer"),
+        (F.col(external) if external else F.lit(None).cast("array<string>")).alias("external"),
     )
 
     @F.pandas_udf(FOUND)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for df in batches:
-            out = []
-            for r in df.itertuples(index=False):
-                meta: dict[str, list[str]] = {}
-                for m in r.meta if r.meta is not None else []:
-                    kind, _, name = m["key"].partition(":")
-                    meta.setdefault(name, []).append(m["content"] or "")
-                lists = lambda x: [v for v in x] if x is not None else []
-                channels = [
-                    ("headers", {k: [", ".join(v).lower()] for k, v in as_lists(r.headers).items()}), ("cookies", as_lists(r.cookies)), ("html", [r.html or ""]), ("scriptSrc", lists(r.src)), ("scripts", [r.inline or ""]),
-                    ("meta", meta), ("url", [r.url or ""]), ("js", {i.lower(): [""] for i in lists(r.ids)}), ("dns", as_lists(r.dns)), ("certIssuer", [r.issuer.lower()] if r.issuer else []),
-                ]
-                out.append(detect({"channels": channels}, rules))
-            yield pd.Series(out)
+            yield pd.Series([detect({"channels": channels_of(r)}, rules) for r in df.itertuples(index=False)], dtype=object)
 
     return rows.select(key, F.explode(run(packed)).alias("t")).select(key, "t.*")
 
@@ -101,11 +122,11 @@ def observed(rows: DataFrame, rules: list[Technology], key: str = "page_id", htm
 def with_implied(found: DataFrame, rules: list[Technology], key: str = "page_id") -> DataFrame:
     """(key, technology_name, technology_version, technology_category, is_implied): merged, closed under `implies`, without the excluded."""
     spark = found.sparkSession
-    closure = [(t, i) for t, many in implied(rules).items() for i in many]
+    closure = [(t, i, v) for t, many in implied(rules).items() for i, v in many.items()]
     excludes = [(t.name, x) for t in rules for x in t.excludes]
     categories = [(t.name, t.category) for t in rules]
     table = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  a rule pack's size
-    more = found.join(table(closure, "technology_name string, other string"), "technology_name").select(key, F.col("other").alias("technology_name"), F.lit(None).cast("string").alias("technology_version"), F.lit(99).alias("rank"), F.lit(True).alias("is_implied"))
+    more = found.join(table(closure, "technology_name string, other string, version string"), "technology_name").select(key, F.col("other").alias("technology_name"), version_text("version").alias("technology_version"), F.lit(99).alias("rank"), F.lit(True).alias("is_implied"))
     rows = found.withColumn("is_implied", F.lit(False)).withColumn("technology_version", version_text("technology_version")).unionByName(more)
     known = F.when(F.col("technology_version").isNotNull(), F.col("rank"))
     merged = rows.groupBy(key, "technology_name").agg(F.min_by("technology_version", known).alias("technology_version"), F.bool_and("is_implied").alias("is_implied"))
