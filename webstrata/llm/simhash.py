@@ -332,7 +332,7 @@ def drop_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
         rows = rows.groupBy("digest", "least_id").agg(F.min("text").alias("text"))
     gone = cut(alike_texts(texts, rows, width, least).distinct().withColumn("gone", F.lit(True)))
     judged_rows = sketched.select("doc_id", "digest").join(by_text, "digest").join(gone, "digest", "left")
-    going = cut(judged_rows.where(F.col("gone") | ~mine).select("doc_id", "digest").distinct())
+    going = cut(judged_rows.where(F.col("gone") | ~mine).select("doc_id", "digest"))  # not distinct: so the join of a hot text can be split
     marked = digest_of(docs)
     same = lambda other: (marked[DIGEST] == other["digest"]) & marked["doc_id"].eqNullSafe(other["doc_id"])
     if not some:
