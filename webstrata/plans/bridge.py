@@ -68,16 +68,29 @@ class Star:
         newest = F.max("run_id").over(Window.partitionBy(F.lit(1)))  # a row a run
         return per.select("run_id", F.lit("1.0").alias("version"), "start_time_ms", F.when(F.col("run_id") != newest, F.col("last")).alias("end_time_ms"), ((F.col("last") - F.col("start_time_ms")) / 1000.0).alias("elapsed_seconds"), "total_urls", "successful_urls", "failed_urls", F.lit(0).cast("long").alias("skipped_urls"))
 
+    def of_runs(self, *run_ids: str) -> Star:
+        """The same tables of some runs only; the filter reaches the scan."""
+        own = Star(self.spark, self.sf_dir)
+        own.observations = self.observations.where(F.col("run_id").isin(*run_ids))
+        return own
+
+    def lines_with(self, *columns: str) -> DataFrame:
+        """Line items of observations that won, with some of the observation's columns."""
+        return self.raw("lineitem").join(self.url_status.select(F.col("id").alias("l_orderkey"), *columns), "l_orderkey")
+
     @cached_property
     def lines(self) -> DataFrame:
-        """Line items of observations that won."""
-        return self.raw("lineitem").join(self.url_status.select(F.col("id").alias("l_orderkey")), "l_orderkey")
+        return self.lines_with()
+
+    def technologies_with(self, *columns: str) -> DataFrame:
+        """url_technologies with some of the observation's columns, from one join with the observations."""
+        p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size")
+        t = self.lines_with(*columns).join(p, "l_partkey").select(F.col("l_orderkey").alias("url_status_id"), F.col("p_brand").alias("technology_name"), F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("string")).alias("technology_version"), F.col("p_type").alias("technology_category"), (F.col("l_returnflag") == "R").alias("is_implied"), *columns)
+        return t.groupBy("url_status_id", "technology_name", "technology_version", *columns).agg(F.min("technology_category").alias("technology_category"), F.bool_and("is_implied").alias("is_implied"))
 
     @cached_property
     def url_technologies(self) -> DataFrame:
-        p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size")
-        t = self.lines.join(p, "l_partkey").select(F.col("l_orderkey").alias("url_status_id"), F.col("p_brand").alias("technology_name"), F.when(F.col("p_size") % 3 != 0, F.col("p_size").cast("string")).alias("technology_version"), F.col("p_type").alias("technology_category"), (F.col("l_returnflag") == "R").alias("is_implied"))
-        return t.groupBy("url_status_id", "technology_name", "technology_version").agg(F.min("technology_category").alias("technology_category"), F.bool_and("is_implied").alias("is_implied"))
+        return self.technologies_with()
 
     @cached_property
     def url_redirect_chain(self) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import scalar as S
@@ -61,17 +61,17 @@ def _(t):
 
 @query("q05_technologies", "SELECT initial_domain, final_domain, technology_name, technology_version, technology_category FROM url_status u JOIN url_technologies t ON u.id = t.url_status_id")
 def _(t):
-    return of_status(t, t.url_technologies).orderBy("final_domain", "technology_category", "technology_name").select("initial_domain", "final_domain", "technology_name", "technology_version", "technology_category")
+    return t.technologies_with("initial_domain", "final_domain").orderBy("final_domain", "technology_category", "technology_name").select("initial_domain", "final_domain", "technology_name", "technology_version", "technology_category")
 
 
 @query("q06_technologies_by_category", "SELECT technology_category, count(DISTINCT technology_name) AS technology_count, count(DISTINCT final_domain) AS domain_count FROM url_technologies t JOIN url_status u ON t.url_status_id = u.id GROUP BY 1")
 def _(t):
-    return of_status(t, t.url_technologies).groupBy("technology_category").agg(F.count_distinct("technology_name").alias("technology_count"), F.count_distinct("final_domain").alias("domain_count")).orderBy(F.desc("technology_count"), "technology_category")
+    return t.technologies_with("final_domain").groupBy("technology_category").agg(F.count_distinct("technology_name").alias("technology_count"), F.count_distinct("final_domain").alias("domain_count")).orderBy(F.desc("technology_count"), "technology_category")
 
 
 @query("q07_domains_with_technology", "SELECT DISTINCT final_domain, initial_domain, technology_version FROM url_status u JOIN url_technologies t ON u.id = t.url_status_id WHERE technology_name = 'Brand#13'")
 def _(t):
-    return of_status(t, t.url_technologies.where(F.col("technology_name") == "Brand#13")).select("final_domain", "initial_domain", "technology_version").distinct().orderBy("final_domain")
+    return t.technologies_with("initial_domain", "final_domain").where(F.col("technology_name") == "Brand#13").select("final_domain", "initial_domain", "technology_version").distinct().orderBy("final_domain")
 
 
 @query("q08_certificates_expiring", f"SELECT initial_domain, final_domain, {TIME.format('ssl_cert_valid_to_ms')} AS cert_expiry, trunc((ssl_cert_valid_to_ms - {AS_OF_MS}) / 86400000.0)::INTEGER AS days_until_expiry FROM url_status WHERE (ssl_cert_valid_to_ms - {AS_OF_MS}) / 86400000.0 BETWEEN 0 AND 30")
@@ -160,9 +160,13 @@ def _(t):
 @query("q24_new_technologies", """, ranked AS (SELECT run_id, row_number() OVER (ORDER BY start_time_ms DESC) AS n FROM runs), found AS (SELECT n, final_domain, technology_name, technology_category FROM url_technologies t JOIN url_status u ON t.url_status_id = u.id JOIN ranked USING (run_id))
 SELECT DISTINCT technology_name AS new_technology, technology_category, final_domain FROM found a WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM found b WHERE b.n = 2 AND b.technology_name = a.technology_name AND b.final_domain = a.final_domain)""")
 def _(t):
-    ranked = t.runs.select("run_id", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("start_time_ms"))).alias("n"))  # a row a run
-    found = of_status(t, t.url_technologies).join(F.broadcast(ranked.where("n <= 2")), "run_id").select("n", "final_domain", "technology_name", "technology_category")
-    return found.where("n = 1").join(found.where("n = 2"), ["technology_name", "final_domain"], "left_anti").select(F.col("technology_name").alias("new_technology"), "technology_category", "final_domain").distinct().orderBy("final_domain", "technology_category")
+    # the two run ids first, so that their filter reaches the scans; runs are a row each
+    ids = [r["run_id"] for r in t.runs.orderBy(F.desc("start_time_ms"), F.desc("run_id")).limit(2).collect()]
+    found = lambda run_id: t.of_runs(run_id).technologies_with("final_domain").select("final_domain", "technology_name", "technology_category")
+    new = found(ids[0]) if ids else t.technologies_with("final_domain").where("false")
+    if len(ids) > 1:
+        new = new.join(found(ids[1]), ["technology_name", "final_domain"], "left_anti")
+    return new.select(F.col("technology_name").alias("new_technology"), "technology_category", "final_domain").distinct().orderBy("final_domain", "technology_category")
 
 
 @query("q25_errors_by_type", "SELECT error_type, count(*) AS error_count, count(DISTINCT initial_domain) AS affected_domains FROM url_failures GROUP BY 1")
@@ -229,7 +233,7 @@ FROM best b LEFT JOIN (SELECT final_domain, technology_name FROM url_status u JO
 def _(t):
     # one aggregate of each side, joined by domain: the join's fan-out is never aggregated
     best = t.url_status.groupBy("final_domain").agg(F.count("*").alias("url_count"), F.min_by("http_status", "id").alias("http_status"), F.round(F.min_by("response_time_seconds", "id"), 3).alias("response_time"))
-    techs = of_status(t, t.url_technologies).groupBy("final_domain").agg(F.sort_array(F.collect_set("technology_name")).alias("names"))
+    techs = t.technologies_with("final_domain").groupBy("final_domain").agg(F.sort_array(F.collect_set("technology_name")).alias("names"))
     return best.join(techs, "final_domain", "left").select("final_domain", "url_count", "http_status", "response_time", F.coalesce(F.size("names"), F.lit(0)).cast("long").alias("technology_count"), F.array_join("names", ",").alias("technologies")).orderBy(F.desc("url_count"), "final_domain")
 
 

@@ -87,9 +87,11 @@ def _(t):
     return t.url_failures.groupBy("initial_domain").agg(F.count_if(e == "DNS error").alias("dns"), F.count_if(e == "TLS error").alias("tls"), F.count_if(F.contains(e, F.lit("timeout"))).alias("timeouts"), F.count("*").alias("total"))
 
 
-@query("redirect_counters", "SELECT count(*) FILTER (n > 1) AS http_redirect, count(*) FILTER (n > 2) AS multiple_redirects, 0::BIGINT AS https_redirect FROM (SELECT count(*) AS n FROM url_redirect_chain GROUP BY url_status_id)")
+@query("redirect_counters", """, hops AS (SELECT url_status_id, count(*) AS n, arg_min(redirect_url, sequence_order) AS f, arg_max(redirect_url, sequence_order) AS l FROM (SELECT url_status_id, sequence_order, CASE WHEN (url_status_id + sequence_order) % 3 = 0 THEN replace(redirect_url, 'https:', 'http:') ELSE redirect_url END AS redirect_url FROM url_redirect_chain) GROUP BY 1)
+SELECT count(*) FILTER (n > 1) AS http_redirect, count(*) FILTER (n > 2) AS multiple_redirects, count(*) FILTER (n > 1 AND f LIKE 'http:%' AND l LIKE 'https:%') AS https_redirect FROM hops""")
 def _(t):
-    return ingest.chain_counters(t.url_redirect_chain)
+    plain = (F.col("url_status_id") + F.col("sequence_order")) % 3 == 0
+    return ingest.chain_counters(t.url_redirect_chain.withColumn("redirect_url", F.when(plain, F.replace("redirect_url", F.lit("https:"), F.lit("http:"))).otherwise(F.col("redirect_url"))))
 
 
 @query("dedupe_first", "SELECT l_orderkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2")
@@ -103,11 +105,12 @@ def _(t):
     return upsert.satellites_of(t.url_status, lines).groupBy(F.col("url_status_id").alias("l_orderkey")).agg(F.count("*").alias("n"))
 
 
-@query("network_lookup", "SELECT c_custkey, CASE WHEN c_custkey % 40 < 25 THEN 'NATION_' || (c_custkey % 40) ELSE 'rest' END AS name FROM customer")
+@query("network_lookup", "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'all' WHEN c_custkey % 40 < 25 THEN CASE WHEN c_custkey % 40 = 3 AND c_custkey % 200 < 128 THEN 'half' ELSE 'NATION_' || (c_custkey % 40) END ELSE 'rest' END AS name FROM customer")
 def _(t):
     nets = t.raw("nation").select(say("10.", F.col("n_nationkey"), ".0.0/16").alias("network"), F.col("n_name").alias("name"))
-    nets = nets.unionByName(t.spark.createDataFrame([("10.0.0.0/8", "rest"), ("0.0.0.0/0", "all")], "network string, name string"))
-    rows = t.raw("customer").select("c_custkey", say("10.", F.col("c_custkey") % 40, ".1.1").alias("ip_address"))
+    nets = nets.unionByName(t.spark.createDataFrame([("10.0.0.0/8", "rest"), ("0.0.0.0/0", "all"), ("10.3.0.0/17", "half")], "network string, name string"))
+    key = F.col("c_custkey")
+    rows = t.raw("customer").select("c_custkey", F.when(key % 11 == 0, say("11.", key % 40, ".1.1")).otherwise(say("10.", key % 40, ".", key % 200, ".1")).alias("ip_address"))
     return geo.locate(rows, geo.networks(nets)).select("c_custkey", "name")
 
 
@@ -122,9 +125,21 @@ def _(t):
     return t.raw("pages").select("page_id", registrable(S.url_host("url")).alias("domain"), S.allowed_target("url").alias("allowed"))
 
 
-@query("page_warnings", "SELECT 0::BIGINT AS missing_title, count(*) AS missing_description FROM pages")
+#: Markup by page_id, so that not all pages say the same.
+SOMETIMES = [(3, "<script>samplecount(1)</script>"), (4, '<meta name="description" content=" d ">'), (5, '<meta name="generator" content="Sample CMS v6.%d">'), (7, '<script src="https://b.example.net/sample-shop/cart.js"></script>')]
+
+
+def varied(t):
+    extra = [F.when(F.col("page_id") % m == 0, say(text.split("%d")[0], F.col("page_id"), text.split("%d")[1]) if "%d" in text else F.lit(text)).otherwise("") for m, text in SOMETIMES]
+    return extract.parsed(t.raw("pages").select("page_id", "url", F.when(F.col("page_id") % 6 > 0, F.concat("html", *extra)).alias("html")))
+
+
+VARIED = "v AS (SELECT page_id, url, html AS own, html || " + " || ".join(f"CASE WHEN page_id % {m} = 0 THEN " + (" || page_id || ".join("'" + x + "'" for x in text.split("%d"))) + " ELSE '' END" for m, text in SOMETIMES) + " AS page FROM pages)"
+
+
+@query("page_warnings", f"WITH {VARIED} SELECT count(*) FILTER (page_id % 6 = 0 OR trim(regexp_extract(page, '<title[^>]*>(.*?)</title>', 1, 'is')) = '') AS missing_title, count(*) FILTER (page_id % 6 = 0 OR NOT contains(page, 'name=\"description\"')) AS missing_description FROM v")
 def _(t):
-    return extract.warnings(extract.parsed(t.raw("pages")))
+    return extract.warnings(varied(t))
 
 
 @query("page_titles_parsed", r"SELECT page_id, replace(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), '&amp;', '&') AS title FROM pages")
@@ -137,9 +152,13 @@ def _(t):
     return extract.script_hosts(extract.parsed(marked(t.spark, t.sf_dir).select("page_id", "url", "page"), html="page"), "page_id")
 
 
-@query("page_technologies", "SELECT page_id, name AS technology_name, NULL::VARCHAR AS technology_version, category AS technology_category, false AS is_implied FROM pages, (VALUES ('Example CDN', 'CDN'), ('Google Analytics', 'Analytics')) v(name, category)")
+@query("page_technologies", f"""WITH {VARIED}, seen AS (SELECT page_id, 'Sample Counter' AS technology_name, NULL AS technology_version, 'Analytics' AS technology_category, false AS is_implied FROM v WHERE page_id % 6 > 0 AND contains(page, 'samplecount(')
+UNION ALL SELECT page_id, 'Sample CMS', regexp_extract(page, 'Sample CMS v([0-9.]+)"', 1), 'CMS', false FROM v WHERE page_id % 6 > 0 AND contains(page, 'Sample CMS v')
+UNION ALL SELECT page_id, 'Sample Shop', NULL, 'Ecommerce', false FROM v WHERE page_id % 6 > 0 AND contains(page, '/sample-shop/cart.js') UNION ALL SELECT page_id, 'Other CDN', NULL, 'CDN', false FROM v WHERE page_id % 6 > 0 AND contains(page, 'src="https://b.example.net')
+UNION ALL SELECT page_id, 'Sample CMS', NULL, 'CMS', true FROM v WHERE page_id % 6 > 0 AND contains(page, '/sample-shop/cart.js') AND NOT contains(page, 'Sample CMS v')
+UNION ALL SELECT page_id, 'Sample Language', NULL, 'Programming languages', true FROM v WHERE page_id % 6 > 0 AND (contains(page, '/sample-shop/cart.js') OR contains(page, 'Sample CMS v'))) SELECT * FROM seen""")
 def _(t):
-    return tech.technologies_of(extract.parsed(marked(t.spark, t.sf_dir).select("page_id", "url", "page"), html="page"), html="page")
+    return tech.technologies_of(varied(t))
 
 
 @query("timing_averages", "SELECT count(*) AS n, sum(l_linenumber)::BIGINT AS l_linenumber_sum, sum(l_linenumber)::BIGINT // count(*) AS l_linenumber_avg, 100.0 * sum(l_linenumber) / (sum(l_linenumber) + sum(l_suppkey)) AS l_linenumber_percent, sum(l_suppkey)::BIGINT AS l_suppkey_sum, sum(l_suppkey)::BIGINT // count(*) AS l_suppkey_avg, 100.0 * sum(l_suppkey) / (sum(l_linenumber) + sum(l_suppkey)) AS l_suppkey_percent FROM lineitem")
@@ -147,6 +166,7 @@ def _(t):
     return metrics.timing_averages(t.raw("lineitem"), ["l_linenumber", "l_suppkey"])
 
 
-@query("document_secrets")
+@query("document_secrets", r"""SELECT DISTINCT doc_id, 'generic-token' AS secret_type, m AS matched_value, 'low' AS severity, 'html_body' AS location FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:token|secret|api_?key)["'']?\s*[:=]\s*["'']?([a-z0-9_\-]{16,64})', 1)) AS m FROM documents) WHERE (SELECT -sum(n / len(m) * log2(n / len(m))) FROM (SELECT count(*)::DOUBLE AS n FROM (SELECT unnest(string_split(m, '')) AS ch) GROUP BY ch)) > 3.3
+UNION ALL SELECT DISTINCT doc_id, 'aws-access-key', m, 'critical', 'html_body' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\bA[KS]IA[0-9A-Z]{16}\b')) AS m FROM documents)""")
 def _(t):
-    return secrets.exposed(t.raw("documents"), "doc_id", "text")
+    return secrets.exposed(t.raw("documents"), "doc_id", "text").drop("context")
