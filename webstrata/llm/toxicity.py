@@ -26,6 +26,7 @@ import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -85,16 +86,33 @@ class Index:
     empty: float  # the vote for texts without a term
     slope: float = 1.0
     shift: float = 0.0
-    first: np.ndarray = field(default=None, repr=False)  # term: where its postings begin (those of few examples)
+    first: np.ndarray = field(default=None, repr=False)  # term: where its postings begin
     whom: np.ndarray = field(default=None, repr=False)  # postings: example
     much: np.ndarray = field(default=None, repr=False)  # postings: weight
-    row: np.ndarray = field(default=None, repr=False)  # term: row of `dense`, -1 if it has postings
+    row: np.ndarray = field(default=None, repr=False)  # term: row of `dense`, -1 if it has few examples
     dense: np.ndarray = field(default=None, repr=False)  # (block, term of many examples, place in the block): weight
     most: np.ndarray = field(default=None, repr=False)  # (term of many examples, block): greatest weight
     counts: Terms = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"counts": None}
+        """The postings alone: blocks are laid out again where the index is used."""
+        return self.__dict__ | {"counts": None, "row": None, "dense": None, "most": None, "terms": b"\n".join(self.terms)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.terms = self.terms.split(b"\n") if len(self.first) > 1 else []
+        self.lay_out()
+
+    def lay_out(self) -> None:
+        blocks, size = max(1, -(-len(self.y) // BLOCK)), np.diff(self.first)
+        many = np.flatnonzero(size > MANY)
+        self.row = np.full(len(size), -1, "i4")
+        self.row[many] = np.arange(len(many))
+        self.dense = np.zeros((blocks, len(many), BLOCK))
+        for r, t in enumerate(many.tolist()):
+            own = slice(self.first[t], self.first[t + 1])
+            self.dense[self.whom[own] // BLOCK, r, self.whom[own] % BLOCK] = self.much[own]
+        self.most = self.dense.max(axis=2).T.copy()
 
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         if self.counts is None:
@@ -183,21 +201,13 @@ def build(words: list[bytes], idf: np.ndarray, data: list[tuple]) -> Index:
     none = np.array([not len(at) for at, _ in vectors], bool)
     share = index.weight[none]
     index.empty = float((share @ index.y[none] + 0.5 * (index.weight @ index.y / max(index.weight.sum(), 1e-9))) / (share.sum() + 0.5)) if len(data) else 0.0
-    blocks = max(1, -(-len(data) // BLOCK))
     term = np.concatenate([at for at, _ in vectors]).astype("i8") if vectors else np.empty(0, "i8")
     much = np.concatenate([v for _, v in vectors]) if vectors else np.empty(0)
     whom = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])
-    number = np.bincount(term, minlength=len(words))
-    many = np.flatnonzero(number > MANY)
-    index.row = np.full(len(words), -1, "i4")
-    index.row[many] = np.arange(len(many))
-    common = index.row[term] >= 0
-    index.dense = np.zeros((blocks, len(many), BLOCK))
-    index.dense[whom[common] // BLOCK, index.row[term[common]], whom[common] % BLOCK] = much[common]
-    index.most = index.dense.max(axis=2).T.copy()
-    order = np.argsort(term[~common], kind="stable")
-    index.whom, index.much = whom[~common][order].astype("i4"), much[~common][order]
-    index.first = np.r_[0, np.cumsum(np.where(index.row < 0, number, 0))].astype("i8")
+    order = np.argsort(term, kind="stable")
+    index.whom, index.much = whom[order].astype("i4"), much[order]
+    index.first = np.r_[0, np.cumsum(np.bincount(term, minlength=len(words)))].astype("i8")
+    index.lay_out()
     if both:
         votes = np.empty(len(data))
         for i in range(0, len(data), GROUP):
@@ -211,10 +221,11 @@ def build(words: list[bytes], idf: np.ndarray, data: list[tuple]) -> Index:
 
 def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, np.ndarray]:
     """Over all of docs: how many there are, and in how many each term is. A row a task is shuffled, and only sums come back."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # the terms of a bounded number of examples
+    shared = docs.sparkSession.sparkContext.broadcast(b"\n".join(words))  # the terms of a bounded number of examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total, n = Terms(shared.value), np.zeros(len(shared.value), "i8"), 0
+        own = shared.value.split(b"\n")
+        counts, total, n = Terms(own), np.zeros(len(own), "i8"), 0
         claim(counts.known)
         for batch in batches:
             for t in as_bytes(batch.column(0)):
@@ -230,8 +241,8 @@ def frequencies(docs: DataFrame, words: list[bytes]) -> tuple[int, np.ndarray]:
     return int(n[term < 0].sum()), df
 
 
-def fitted(docs: DataFrame, sample: DataFrame) -> Index:
-    """The index over a bounded sample (text, y, weight, doc_id) with the idf of docs. Texts are taken apart where they lie; one task
+def fitted(docs: DataFrame, sample: DataFrame) -> bytes:
+    """The pickled index over a bounded sample (text, y, weight, doc_id) with the idf of docs. Texts are taken apart where they lie; one task
     gets their terms with counts."""
 
     def take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,25 +253,33 @@ def fitted(docs: DataFrame, sample: DataFrame) -> Index:
             yield pa.record_batch([pa.array(terms, pa.list_(pa.binary())), pa.array(n, pa.list_(pa.int32())), *batch.columns[1:]], names=["terms", "n", "y", "weight", "doc_id"])
 
     apart = cut(sample.select("text", "y", "weight", "doc_id").mapInArrow(take_apart, f"terms array<binary>, n array<int>, y int, weight double, doc_id {sample.schema['doc_id'].dataType.simpleString()}"))
-    words = sorted(bytes(r[0]) for r in apart.select(F.explode("terms")).distinct().collect())
+    words = sorted(apart.select(F.explode("terms").alias("term")).distinct().toArrow()["term"].to_pylist())
     n, df = frequencies(docs, words)
     idf = np.log((n + 1) / (df + 1)) + 1
-    shared = docs.sparkSession.sparkContext.broadcast((words, idf))
+    shared = docs.sparkSession.sparkContext.broadcast((b"\n".join(words), idf))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, data = {w: i for i, w in enumerate(shared.value[0])}, []
+        names, weights = shared.value
+        names, data = names.split(b"\n") if len(weights) else [], []
+        number = {w: i for i, w in enumerate(names)}
         for b in batches:
             for terms, k, y, w, i in zip(*[b.column(c).to_pylist() for c in range(5)], strict=True):
                 data.append(((np.array([number[t] for t in terms], "i4"), np.array(k, "i8")), y, w, i))
         data.sort(key=lambda d: (d[3], d[1], d[0][0].tolist()))
-        yield pa.record_batch([pa.array([pickle.dumps(build(*shared.value, data))], pa.binary())], names=["index"])
+        yield pa.record_batch([pa.array([pickle.dumps(build(names, weights, data))], pa.binary())], names=["index"])
 
     row = apart.coalesce(1).mapInArrow(make, "index binary").first()
-    return pickle.loads(row["index"]) if row else build(words, idf, [])
+    return bytes(row["index"]) if row else pickle.dumps(build(words, idf, []))
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, score and evidence (the three nearest examples) of every whole text; no shuffle."""
+@lru_cache(maxsize=1)
+def unpickled(data: bytes) -> Index:
+    """A worker lays the index out once, not once a task."""
+    return pickle.loads(data)
+
+
+def score(docs: DataFrame, index: bytes) -> DataFrame:
+    """doc_id, score and evidence (the three nearest examples) of every whole text, by a pickled index; no shuffle."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(index)  # 2 * FIT_ROWS examples at most
     rows = docs.select("doc_id", F.col("text").cast("string"))
@@ -268,10 +287,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     nearest = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared.value.counts = shared.value.counts or Terms(shared.value.terms)
-        claim(shared.value.counts.known)
+        own = unpickled(shared.value)
+        own.counts = own.counts or Terms(own.terms)
+        claim(own.counts.known)
         for batch in batches:
-            scores, evidence = shared.value.scores(as_bytes(batch.column(1)))
+            scores, evidence = own.scores(as_bytes(batch.column(1)))
             near = pa.array([[{"doc_id": i, "cosine": s, "label": y} for i, s, y in e] for e in evidence], nearest)
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), near], names=["doc_id", "score", "evidence"])
 
