@@ -128,3 +128,37 @@ def test_icons_and_charsets(spark):
     df = spark.createDataFrame([(bytearray(b"icon"), "text/html", "https://e.com/a/b", "i.png"), (None, None, "https://e.com/a/b", None)], "d binary, k string, p string, h string")
     got = df.select(B.favicon_hash("d").alias("f"), B.decode_body("d", "k").alias("t"), B.favicon_url("p", "h").alias("u")).collect()
     assert [tuple(r) for r in got] == [(B.icon_hash(b"icon"), "icon", "https://e.com/a/i.png"), (None, None, "https://e.com/favicon.ico")]
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2)
+    return bytes([tag]) + size + body
+
+
+def oid(text):
+    first, second, *rest = map(int, text.split("."))
+    out = b""
+    for n in [40 * first + second, *rest]:
+        digits = [n & 0x7F]
+        while n := n >> 7:
+            digits.append(n & 0x7F | 0x80)
+        out += bytes(reversed(digits))
+    return der(0x06, out)
+
+
+def test_certificate_names(spark):
+    from webstrata.functions.certificates import certificate_names
+
+    sans = der(0x30, *[der(0x82, f"h{i}.example.com".encode()) for i in range(20)], der(0x82, b"h1.example.com"), der(0x87, b"\x01\x02\x03\x04"))
+    extensions = [
+        der(0x30, oid("2.5.29.17"), der(0x04, sans)), der(0x30, oid("2.5.29.19"), der(0x01, b"\xff"), der(0x04, der(0x30))),
+        der(0x30, oid("2.5.29.37"), der(0x04, der(0x30, oid("1.3.6.1.5.5.7.3.1")))), der(0x30, oid("2.5.29.32"), der(0x04, der(0x30, der(0x30, oid("2.23.140.1.2.1"), der(0x30))))),
+    ]
+    body = der(0x30, der(0xA0, der(0x02, b"\x02")), der(0x02, b"\x05"), der(0x30, oid("1.2.840.113549.1.1.11")), der(0xA3, der(0x30, *extensions)))
+    cert = der(0x30, body, der(0x30, oid("1.2.840.113549.1.1.11")), der(0x03, b"\x00sig"))
+    rows = spark.createDataFrame([(1, cert), (2, cert[:-3]), (3, b""), (4, None), (5, b"junk")], "id long, der binary")
+    got = {r.id: r.c for r in rows.select("id", certificate_names("der").alias("c")).collect()}
+    assert got[1].sans == [f"h{i}.example.com" for i in range(20)]
+    assert got[1].oids == sorted(["2.5.29.17", "2.5.29.19", "2.5.29.37", "2.5.29.32", "1.3.6.1.5.5.7.3.1", "2.23.140.1.2.1"])
+    assert all(got[i].sans == [] and got[i].oids == [] for i in (2, 3, 4, 5))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SCHEMA = """title string, description string, canonical_url string, favicon_href string, meta array<struct<key: string, content: string>>, script_sources array<string>, script_ids array<string>,
 inline_script string, hints array<struct<hint_type: string, href: string>>, hrefs array<string>, json_ld array<string>, comments array<string>"""
 HINTS = ("preconnect", "dns-prefetch", "preload", "prefetch", "modulepreload")
+#: Script sources in markup that the parser does not see; a fixed value.
 SCRIPT_SRC = re.compile(r"""<script[^>]*src\s*=\s*["']([^"']+)["']""", re.I)
 
 

@@ -36,6 +36,7 @@ def native_title(html: Column | str) -> Column:
 
 
 def native_script_sources(html: Column | str) -> Column:
+    # the pattern is a fixed value
     return F.array_distinct(F.regexp_extract_all(col(html), F.lit(r"""(?i)<script[^>]*src\s*=\s*["']([^"']+)["']"""), 1))
 
 

@@ -81,10 +81,42 @@ def _(t):
     return ingest.sessions(t.raw("events"), "user_id", gap="1 hour").select("user_id", "n")
 
 
-@query("error_buckets", "SELECT initial_domain, count(*) FILTER (error_type = 'DNS error') AS dns, count(*) FILTER (error_type = 'TLS error') AS tls, count(*) FILTER (error_type LIKE '%timeout%') AS timeouts, count(*) AS total FROM url_failures GROUP BY 1")
+@query("error_buckets", "SELECT initial_domain, count(*) FILTER (e = 'Process URL timeout') AS timeout, 0::BIGINT AS connection_error, count(*) FILTER (e LIKE '%(5%)') AS http_error, count(*) FILTER (e LIKE 'DNS %') AS dns_error, count(*) FILTER (e LIKE 'TLS c%') AS tls_error, 0::BIGINT AS parse_error, count(*) FILTER (e = 'odd') AS other_error, count(*) AS total FROM (SELECT initial_domain, CASE WHEN id % 7 = 0 THEN 'odd' WHEN error_type LIKE 'DNS%' THEN 'DNS ' || CASE WHEN id % 2 = 0 THEN 'MX' ELSE 'CAA' END || ' lookup error' WHEN error_type LIKE 'TLS%' THEN 'TLS certificate error' WHEN error_type LIKE 'HTTP%' THEN 'Bad Gateway (502)' ELSE error_type END AS e FROM url_failures) GROUP BY 1")
 def _(t):
-    e = F.col("error_type")
-    return t.url_failures.groupBy("initial_domain").agg(F.count_if(e == "DNS error").alias("dns"), F.count_if(e == "TLS error").alias("tls"), F.count_if(F.contains(e, F.lit("timeout"))).alias("timeouts"), F.count("*").alias("total"))
+    e, i = F.col("error_type"), F.col("id")
+    kind = F.when(i % 7 == 0, "odd").when(e.startswith("DNS"), F.when(i % 2 == 0, "DNS MX lookup error").otherwise("DNS CAA lookup error")).when(e.startswith("TLS"), "TLS certificate error").when(e.startswith("HTTP"), "Bad Gateway (502)").otherwise(e)
+    return metrics.error_counts(t.url_failures.withColumn("error_type", kind), "initial_domain")
+
+
+@query("info_counters", "SELECT (SELECT count(*) FROM url_status WHERE http_status = 403) AS bot_detection_403, count(*) FILTER (n > 1) AS http_redirect, count(*) FILTER (n > 2) AS multiple_redirects, count(*) FILTER (n < 0) AS https_redirect FROM (SELECT count(*) AS n FROM url_redirect_chain GROUP BY url_status_id)")
+def _(t):
+    return metrics.info_counts(t.url_status, t.url_redirect_chain)
+
+
+@query("released_requests", f"SELECT event_id, greatest(came, free - 2 * 200.0)::DOUBLE AS start_ms FROM (SELECT event_id, came, max(came - (n - 1) * 200.0) OVER (PARTITION BY user_id ORDER BY n) + (n - 1) * 200.0 AS free FROM (SELECT event_id, user_id, came, row_number() OVER (PARTITION BY user_id ORDER BY came, event_id) AS n FROM (SELECT event_id, user_id, {EVENT_MS} // 60000 * 60000 AS came FROM events)))")
+def _(t):
+    at = epoch_ms("ts")
+    return ingest.released(t.raw("events").select("event_id", "user_id", (at - F.pmod(at, F.lit(60_000))).alias("came")), "user_id", "came", 5, 3).select("event_id", "start_ms")
+
+
+@query("same_body_members", "SELECT body_sha256, cnt, final_domain FROM (SELECT body_sha256, final_domain, count(*) OVER (PARTITION BY body_sha256) AS cnt FROM url_status WHERE body_sha256 IS NOT NULL) WHERE cnt > 1")
+def _(t):
+    """The classes of equal bodies as rows: nothing is collected into one, however many sites share a body."""
+    rows = t.url_status.where("body_sha256 IS NOT NULL").select("body_sha256", "final_domain")
+    classes = rows.groupBy("body_sha256").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    return rows.join(classes, "body_sha256").select("body_sha256", "cnt", "final_domain")
+
+
+@query("same_text_members", "SELECT body_sha256, cnt, doc_id FROM (SELECT sha256(text) AS body_sha256, doc_id, count(*) OVER (PARTITION BY sha256(text)) AS cnt FROM documents WHERE strlen(text) > 0) WHERE cnt > 1")
+def _(t):
+    rows = t.raw("documents").where(F.octet_length("text") > 0).select(S.body_sha256("text").alias("body_sha256"), "doc_id")
+    classes = rows.groupBy("body_sha256").agg(F.count("*").alias("cnt")).where("cnt > 1")
+    return rows.join(classes, "body_sha256").select("body_sha256", "cnt", "doc_id")
+
+
+@query("events_per_second", f"SELECT {EVENT_MS} AS start_ms, count(*) AS n FROM events GROUP BY 1")
+def _(t):
+    return ingest.throughput(t.raw("events")).select(epoch_ms("start").alias("start_ms"), "n")
 
 
 @query("redirect_counters", """, hops AS (SELECT url_status_id, count(*) AS n, arg_min(redirect_url, sequence_order) AS f, arg_max(redirect_url, sequence_order) AS l FROM (SELECT url_status_id, sequence_order, CASE WHEN (url_status_id + sequence_order) % 3 = 0 THEN replace(redirect_url, 'https:', 'http:') ELSE redirect_url END AS redirect_url FROM url_redirect_chain) GROUP BY 1)

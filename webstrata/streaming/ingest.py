@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,23 +21,40 @@ def stream_urls(spark: SparkSession, folder: str, files_per_trigger: int = 8) ->
     return described(lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)))
 
 
-def upsert_stream(observations: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Keep the latest observation of each key in a table of two alternating folders. Replaying a batch gives the same table."""
+def upsert_stream(observations: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], part: str = "run_id") -> StreamingQuery:
+    """Keep the latest observation of each key in a table with a folder a value of `part`, which is one of the keys. A batch rewrites only
+    the folders of the values that it holds, each in a version of its own; replaying a batch gives the same table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old, new = f"{path}/v{(number + 1) % 2}", f"{path}/v{number % 2}"
-        rows = batch
-        if number > 0:
-            rows = spark.read.parquet(old).unionByName(batch)
-        latest(rows, keys, order).write.mode("overwrite").parquet(new)
+        rows, old = with_folder(batch, part), stored(batch.sparkSession, path, number)
+        names = [r[FOLDER] for r in rows.select(FOLDER).distinct().collect()]  # the runs of a batch
+        if old is not None:
+            rows = rows.unionByName(with_folder(old.where(F.col(FOLDER).cast("string").isin(names)).drop(FOLDER), part))
+        latest(rows, keys, order).write.mode("overwrite").partitionBy(FOLDER).parquet(f"{path}/{VERSION}={number}")
 
     return observations.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+VERSION, FOLDER = "_version", "_folder"
+
+
+def with_folder(rows: DataFrame, part: str) -> DataFrame:
+    return rows.withColumn(FOLDER, F.coalesce(F.concat(F.lit("of-"), F.col(part).cast("string")), F.lit("none")))
+
+
+def stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Of each folder its rows in the last version under `before`, with the folder's name; None where nothing is stored."""
+    try:
+        rows = spark.read.option("basePath", path).parquet(path).where(F.col(VERSION) < before)
+    except AnalysisException:
+        return None
+    newest = rows.groupBy(FOLDER).agg(F.max(VERSION).alias(VERSION))  # a row a run, from folder names
+    return rows.join(F.broadcast(newest), [FOLDER, VERSION]).drop(VERSION)
+
+
 def current(spark: SparkSession, path: str, batches: int) -> DataFrame:
     """The table after so many batches."""
-    return spark.read.parquet(f"{path}/v{(batches - 1) % 2}")
+    return stored(spark, path, batches).drop(FOLDER)
 
 
 def throughput(events: DataFrame, ts: str = "ts", width: str = "1 second", late: str = "10 seconds") -> DataFrame:
@@ -50,6 +68,19 @@ def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "5 minutes"
     return rows.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def released(requests: DataFrame, key: str, ts_ms: str, per_second: int, burst: int) -> DataFrame:
+    """requests with start_ms, when a token bucket of each key lets them go: `burst` at once, then one every 1000 / per_second ms.
+
+    A bucket's next free moment is the greatest, over the requests so far, of arrival plus one interval for each request since;
+    so it is a running maximum, and no state is kept row by row."""
+    interval = 1000.0 / per_second
+    order = Window.partitionBy(key).orderBy(ts_ms, *(c for c in requests.columns if c not in (key, ts_ms)))
+    n = F.row_number().over(order).cast("double")
+    rows = requests.withColumn("_n", n)
+    free = F.max(F.col(ts_ms) - (F.col("_n") - 1) * interval).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + (F.col("_n") - 1) * interval
+    return rows.withColumn("start_ms", F.greatest(F.col(ts_ms).cast("double"), free - (burst - 1) * interval)).drop("_n")
+
+
 def progress(total: int, ok: int, failed: int, skipped: int, started: int, elapsed_s: float, recent_rate: float | None = None) -> dict:
     """A snapshot of a run's counters: finished, active, pending, percent, rate and seconds to go (the recent rate is preferred)."""
     finished = ok + failed + skipped

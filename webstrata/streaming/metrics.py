@@ -15,6 +15,62 @@ def timing_averages(rows: DataFrame, columns: list[str]) -> DataFrame:
     return sums.select("n", *each)
 
 
+#: Error types by bucket; fixed values. Types of no bucket count as other.
+BUCKETS = {
+    "timeout": ["Process URL timeout", "HTTP request timeout error"],
+    "connection_error": ["HTTP request connect error"],
+    "http_error": ["HTTP request status error", "Too many requests", "Bot detection (403 Forbidden)", "Bad Request (400)", "Unauthorized (401)", "Not Found (404)", "Internal Server Error (500)", "Bad Gateway (502)", "Service Unavailable (503)", "Gateway Timeout (504)"],
+    "dns_error": ["DNS forward lookup error", "DNS NS lookup error", "DNS TXT lookup error", "DNS MX lookup error", "DNS CNAME lookup error", "DNS AAAA lookup error", "DNS CAA lookup error"],
+    "tls_error": ["TLS certificate error"],
+    "parse_error": ["HTTP request decode error"],
+}
+
+
+def error_counts(failures: DataFrame, *keys: str, error: str = "error_type") -> DataFrame:
+    """Failures by bucket, those of no bucket as other_error, and in total; one row, or one for each value of keys."""
+    named = F.col(error).isin([x for types in BUCKETS.values() for x in types])
+    counts = [F.count_if(F.col(error).isin(types)).alias(bucket) for bucket, types in BUCKETS.items()]
+    return failures.groupBy(*keys).agg(*counts, F.count_if(~F.coalesce(named, F.lit(False))).alias("other_error"), F.count("*").alias("total"))
+
+
+def info_counts(url_status: DataFrame, chains: DataFrame) -> DataFrame:
+    """One row: redirects (as chain_counters has them) and pages that answered 403."""
+    from webstrata.streaming.ingest import chain_counters
+
+    blocked = url_status.agg(F.count_if(F.col("http_status") == 403).alias("bot_detection_403"))
+    return chain_counters(chains).join(F.broadcast(blocked))  # a row each
+
+
+def status(total: int, attempted: int, ok: int, failed: int, skipped: int, elapsed_s: float, recent_rate: float = 0.0, phase: str = "running", errors: dict | None = None, warnings: dict | None = None, info: dict | None = None, timing: dict | None = None, **settings) -> dict:
+    """The state of a run as nested values for JSON: progress, rates, counters by kind, and averages of timings where there are any."""
+    finished, left = ok + failed + skipped, max(0, total - ok - failed - skipped)
+    rate = finished / elapsed_s if elapsed_s > 0 else 0.0
+    speed = recent_rate or rate
+    eta = 0.0 if not left and total else left / speed if left and speed > 0 else None
+    counted = lambda x: {**(x or {}), "total": (x or {}).get("total", sum((x or {}).values()))}
+    return {
+        "total_urls": total, "total_urls_attempted": attempted, "successful_urls": ok, "failed_urls": failed, "skipped_urls": skipped, "active_urls": max(0, attempted - finished), "pending_urls": max(0, total - attempted),
+        "percentage_complete": 100.0 * finished / total if total else 0.0, "percentage_dispatched": 100.0 * attempted / total if total else 0.0, "elapsed_seconds": elapsed_s, "rate_per_second": rate, "windowed_rate_per_second": recent_rate, "eta_seconds": eta, "phase": phase,
+        "current_rps": settings.get("current_rps"), "concurrency_limit": settings.get("concurrency_limit"), "concurrency_in_use": settings.get("concurrency_in_use"), "retried_requests": settings.get("retried_requests", 0), "non_retriable_failures": settings.get("non_retriable_failures", 0),
+        "errors": counted(errors), "warnings": counted(warnings), "info": counted(info), "timing": timing,
+    }
+
+
+#: Names of the text format for what status() has under other names; fixed values.
+GAUGES = {"total_urls_attempted": "attempted_urls", "retried_requests": "runtime_retries_total", "non_retriable_failures": "runtime_non_retriable_failures_total"}
+PHASES = {"running": 1, "draining": 2, "finalizing": 3}
+
+
+def metrics_text(state: dict, run_id: str = "", start_s: float = 0.0, prefix: str = "webstrata") -> str:
+    """All of status() as gauges and counters in the text format; missing values are zero."""
+    flat = {GAUGES.get(k, k): v or 0 for k, v in state.items() if not isinstance(v, dict) and k not in ("phase", "pending_urls", "timing")}
+    flat |= {"start_time_seconds": start_s} | {f"{k}_total": state[k]["total"] for k in ("errors", "warnings", "info")}
+    flat |= {f"timing_{k}": v for k, v in (state.get("timing") or {}).get("averages", {}).items()}
+    label = run_id.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
+    phase = state["phase"]
+    return prometheus({"run_info": 1}, prefix, {"run_id": label}) + prometheus({"phase": PHASES.get(phase, 1)}, prefix, {"phase": phase}) + prometheus(flat, prefix)
+
+
 def prometheus(counters: dict[str, float], prefix: str = "webstrata", labels: dict[str, str] | None = None) -> str:
     """Counters and gauges in the text format; names that end in _total are counters."""
     tags = "{" + ",".join(f'{k}="{v}"' for k, v in sorted((labels or {}).items())) + "}" if labels else ""
