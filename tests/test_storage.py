@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from webstrata.operators import export as E
@@ -67,6 +68,20 @@ def test_tables_and_urls(spark, tmp_path):
     assert got == {"example.com": ("https://example.com", "example.com", True), "http://10.0.0.1/": ("http://10.0.0.1/", "10.0.0.1", False), "ftp://x": (None, None, False)} and urls.count_urls(spark, str(f)) == 3
 
 
+def test_a_run_is_committed_whole_or_not_at_all(spark, tmp_path):
+    root, n = str(tmp_path), lambda name: sorted(r.n for r in tables.read_runs(spark, str(tmp_path), name).collect())
+    rows = lambda *x: spark.createDataFrame([(v,) for v in x], "n int")
+    broken = rows(1).selectExpr("raise_error('no') AS n")
+    assert tables.write_run(spark, {"url_status": rows(1, 2), "extra": rows(7)}, root, "r1") == ["url_status", "extra"]
+    tables.write_run(spark, {"url_status": rows(5)}, root, "r2")
+    assert n("url_status") == [1, 2, 5] and n("extra") == [7]
+    with pytest.raises(Exception, match="no"):
+        tables.write_run(spark, {"url_status": broken, "extra": rows(8)}, root, "r1")
+    assert n("url_status") == [1, 2, 5] and n("extra") == [7]
+    assert tables.write_run(spark, {"url_status": rows(3), "extra": broken}, root, "r1") == ["url_status"]
+    assert n("url_status") == [3, 5] and tables.read_runs(spark, root, "extra") is None
+
+
 def test_summary(spark):
     s = Star(spark, "/root/testdata/sf0.001")
     text = summary.text_digest(s.runs, s.url_status, s.url_technologies, s.url_exposed_secrets)
