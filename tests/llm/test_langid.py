@@ -62,3 +62,27 @@ def test_all_of_a_text_without_blanks_counts():
     assert model.tag([text.encode()])[0][0] == "cc"
     runs = L.split_words(("é" * 50 + " ab " + "x" * 33).encode())
     assert b"".join(runs) == ("é" * 50 + "ab" + "x" * 33).encode() and max(map(len, runs)) <= 32 and all(r.decode() for r in runs)
+
+
+def test_samples_keep_every_label(spark):
+    """Twenty thousand copies of one text, three hundred others, and four hundred labels of a row each."""
+    from pyspark.sql import functions as F
+
+    from webstrata.llm.common import hashed_sample
+
+    copies = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text").alias("text"), F.lit("xx").alias("lang"))
+    others = spark.range(300).select("id", F.concat(F.lit("t"), F.col("id")), F.lit("yy"))
+    rare = spark.range(400).select("id", F.lit("r"), F.concat(F.lit("l"), F.col("id")))
+    rows = copies.union(others).union(rare)
+    got = {r.lang: (r.n, r.w) for r in hashed_sample(rows, "lang", "doc_id", "text", limit=100).groupBy("lang").agg(F.count("*").alias("n"), F.round(F.sum("weight")).alias("w")).collect()}
+    assert len(got) == 402 and got["xx"] == (100, 20_000) and got["yy"] == (100, 300) and got["l3"] == (1, 1)
+    assert hashed_sample(rows, "lang", "doc_id", "text", total=804).groupBy("lang").count().where("count > 2").count() == 0
+    model = L.fitted(rows.where("lang < 'l' or lang > 'm'"), F.lit(True))
+    assert model.langs == ["xx", "yy"]
+
+
+def test_long_texts_are_learned_from_all_over():
+    text = " ".join(f"w{i}" for i in range(40 * 1000)).encode()
+    runs = L.some_runs(text)
+    assert len(runs) == L.FIT_RUNS and runs[0].startswith(b"w0 ") and runs[-1].endswith(b" w39999")
+    assert L.some_runs(b"a b") == [b"a b"] and L.some_runs(b"") == []

@@ -130,3 +130,13 @@ def test_rows_go_for_their_texts_only(spark):
     more = spark.createDataFrame([(*r, *[50 + n] * 8) for n, r in enumerate([(3, texts[0]), (3, texts[0]), (None, texts[1]), (None, None), (9, "")])], schema)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in S.drop_copies(df.unionByName(more)).collect())
     assert got == sorted([(False, 3, texts[0]), *[(True, 0, t) for t in texts[1:5]], (False, 7, texts[5]), (False, 7, texts[6]), (False, 9, "")])
+
+
+def test_buckets_of_the_last_level_are_small():
+    """Whatever masks a bucket was dealt by, few positions are kept by none of them, so few fingerprints can share it."""
+    kept = np.zeros(1, np.uint64)
+    for level in range(S.LEVELS):
+        masks = np.array([m & (1 << 64) - 1 for m in S.covering_masks(S.RADIUS, level)], np.uint64)
+        kept = (kept[:, None] | masks[None, :]).ravel()
+    free = 64 - np.bitwise_count(kept)
+    assert free.max() <= 13
