@@ -1,5 +1,7 @@
 import base64
 import json
+import random
+from urllib.parse import unquote_to_bytes, urljoin
 
 from pyspark.sql import functions as F
 
@@ -30,10 +32,75 @@ def test_domains(spark):
     for host, want in (("www.example.com", "example.com"), ("a.b.example.co.uk", "example.co.uk"), ("co.uk", None), ("192.0.2.1", "192.0.2.1"), ("localhost", None), ("x.github.io", "x.github.io"), ("EXAMPLE.org.", "example.org"), ("foo.co.at", "foo.co.at"), ("a.foo.com.pl", "foo.com.pl"), ("x.y.ck", "x.y.ck"), ("y.ck", None), ("a.www.ck", "www.ck"), ("a.city.kobe.jp", "city.kobe.jp"), ("a.b.c.kobe.jp", "b.c.kobe.jp"), ("a.nosuchsuffix", "a.nosuchsuffix"), ("a.食狮.公司.cn", "食狮.公司.cn"), ("www.xn--55qx5d.cn", "www.xn--55qx5d.cn"), ("a..com", None), (".com", None), ("com", None)):
         assert one(spark, D.registrable("a"), a=host) == want, host
     assert one(spark, D.root_domain("a"), a="co.uk") == "co.uk"
-    assert D.resolve("https://a.com/b/c", "d.js") == "https://a.com/b/d.js" and D.resolve("https://a.com/b", "//cdn.net/x") == "https://cdn.net/x" and D.resolve("https://a.com", "data:x") is None
     assert one(spark, D.percent_decoded("a"), a="a%41%zz+%ff") == "aA%zz+�"
 
 
+def test_suffix_list_is_package_data(spark, monkeypatch):
+    """No other package's files are needed, and a column holds in sessions other than the one it was built in."""
+    import zipfile
+
+    def hidden(*_, **__):
+        raise FileNotFoundError("no jars here")
+
+    monkeypatch.setattr(zipfile, "ZipFile", hidden)
+    monkeypatch.setattr("glob.glob", hidden)
+    D.public_suffixes.cache_clear()
+    D.trie.cache_clear()
+    column = D.registrable("host")
+    other = spark.newSession()
+    assert [r[0] for r in other.createDataFrame([("a.b.co.uk",), (None,), ("x.co.uk",)], "host string").select(column).collect()] == ["b.co.uk", None, "x.co.uk"]
+    assert len(D.public_suffixes()) > 9000
+
+
+def slow_suffix(rules, labels):
+    """The list's rule read literally: every rule against every tail."""
+    best = 1
+    for n in range(1, len(labels) + 1):
+        tail = ".".join(labels[-n:])
+        if "!" + tail in rules:
+            return n - 1
+        if tail in rules or "*." + ".".join(labels[-n:][1:]) in rules and n > 1:
+            best = max(best, n)
+    return best
+
+
+def test_trie_against_every_rule():
+    rng = random.Random(5)
+    for _ in range(40):
+        names = {".".join(rng.choices("abc", k=rng.randint(1, 3))) for _ in range(8)}
+        rules = tuple(sorted(names | {"*." + n for n in rng.sample(sorted(names), 2)} | {"!a." + n for n in rng.sample(sorted(names), 1)}))
+        own = D.SuffixTrie(rules)
+        for _ in range(60):
+            labels = rng.choices("abcd", k=rng.randint(1, 5))
+            tails = [".".join(labels[-n:]) for n in range(1, len(labels) + 1)]
+            if sum("!" + t in rules for t in tails) <= 1:
+                assert own.size(labels) == slow_suffix(set(rules), labels), (rules, labels)
+    try:
+        D.SuffixTrie(("a.*.b",))
+    except ValueError:
+        return
+    raise AssertionError("a wildcard inside a rule is refused")
+
+
+def test_url_join(spark):
+    """The examples of RFC 3986, 5.4, and what must give nothing."""
+    base = "http://a/b/c/d;p?q"
+    normal = {"g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", ";x": "http://a/b/c/;x", "g;x?y#s": "http://a/b/c/g;x?y#s", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y", "g?y/../x": "http://a/b/c/g?y/../x", "g#s/../x": "http://a/b/c/g#s/../x", "http:g": "http://a/b/c/g", " g ": "http://a/b/c/g", "HTTPS://h.com/x": "https://h.com/x"}
+    nothing = ["", "  ", "data:x", "mailto:a@b.c", "javascript:f()", "ftp://h/x", "https://", None]
+    got = {r.ref: r.out for r in spark.createDataFrame([(x,) for x in [*normal, *nothing]], "ref string").select("ref", D.url_join(F.lit(base), "ref").alias("out")).collect()}
+    assert {k: got[k] for k in normal} == normal and all(got[x] is None for x in nothing)
+    plain = ["d.js", "//cdn.net/x", "/a/b.js?v=1", "../x.png", "x?a=b:c", "a/b/../c"]
+    for page in ("https://a.com/b/c", "https://a.com", "https://a.com/b/?q=/x/", "http://u@h.org:8080/p/"):
+        rows = spark.createDataFrame([(x,) for x in plain], "ref string").select("ref", D.url_join(F.lit(page), "ref").alias("out")).collect()
+        assert {r.ref: r.out for r in rows} == {x: urljoin(page, x) for x in plain}, page
+
+
+def test_percent_decoding(spark):
+    texts = ["plain", "a+b", "%", "%4", "%zz%41", "%C3%A9", "%e2%82%ac 100%", "x%ffy", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", D.percent_decoded("t").alias("out")).collect()
+    assert {r.t: r.out for r in rows} == {x: None if x is None else unquote_to_bytes(x).decode("utf-8", "replace") for x in texts}
+
+
 def test_dns_and_headers(spark):
     assert one(spark, S.first_spf("a"), a=["x", " v=spf1 -all", "v=spf1 b"]) == " v=spf1 -all"
     assert [one(spark, S.txt_kind("a"), a=t) for t in ("V=SPF1 x", "v=DMARC1", "google-site-verification=1", "z")] == ["SPF", "DMARC", "VERIFICATION", "OTHER"]
@@ -97,7 +164,7 @@ def test_page(spark):
     assert parse(None)["title"] == "" and parse("<title>x")["title"] == "x"
     rows = X.parsed(spark.createDataFrame([(1, "https://www.example.com/d/", HTML)], "id long, url string, html string"))
     r = rows.first()
-    assert r.meta_refresh_url == "/next" and r.domain == "example.com"
+    assert r.meta_refresh_url == "/next"
     got = {tuple(x) for x in X.structured_data(rows, "id").collect()}
     assert got == {(1, "json_ld", "", '{"@type":"Org"}'), (1, "json_ld", "", '{"@type":["A","B"]}'), (1, "open_graph", "og:title", "2"), (1, "twitter_card", "twitter:card", "s"), (1, "schema_type", "Org", ""), (1, "schema_type", "A", ""), (1, "schema_type", "B", "")}
     assert {tuple(x) for x in X.contact_links(rows, "id").select("contact_type", "contact_value").collect()} == {("email", "A@b.c"), ("phone", "1")}

@@ -124,10 +124,10 @@ def last_of(meta: Column | str, prefix: str) -> Column:
 
 
 def parsed(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Pages with their parts and the facts of an observation."""
+    """Pages with their parts and the facts of an observation. The domain is left to those who ask for it (root_domain of host)."""
     p = pages.withColumn("p", page_parts(F.col(html)))
     return p.select(
-        *pages.columns, "p", S.url_host(url).alias("host"), root_domain(S.url_host(url)).alias("domain"), F.col("p.title").alias("title"), F.nullif(F.col("p.description"), F.lit("")).alias("description"), F.nullif(F.trim("p.canonical_url"), F.lit("")).alias("canonical_url"),
+        *pages.columns, "p", S.url_host(url).alias("host"), F.col("p.title").alias("title"), F.nullif(F.col("p.description"), F.lit("")).alias("description"), F.nullif(F.trim("p.canonical_url"), F.lit("")).alias("canonical_url"),
         meta_value("p.meta", "name:robots").alias("meta_robots"), meta_refresh("p.meta").alias("meta_refresh_url"), S.body_sha256(html).alias("body_sha256"), S.content_length(html).alias("content_length"), (F.octet_length(html) > (2 << 20)).alias("body_truncated"),
     )
 
