@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import audit, mixing
 from .common import table
 
 
@@ -70,6 +70,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_token_counts": op7_token_counts,
@@ -81,8 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
+    "op11_filter_audit": audit.SQL,
 }
