@@ -54,8 +54,12 @@ class Piece:
 
     def words(self, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and row (from 0) of each word: the longest runs of bytes that `letter` marks, within a row."""
+        return self.words_in(self.data, letter)
+
+    def words_in(self, data: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of other bytes in place of the piece's."""
         inside = np.zeros(len(self.data) + 2, bool)
-        inside[1:-1] = letter[self.data]
+        inside[1:-1] = letter[data]
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.at] = True
         starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
