@@ -19,19 +19,19 @@ def base_places(ws):
 
 
 def every_position(ws, t, coverage=L.COVERAGE, slack=L.SLACK):
-    """(met, position) of each position at which template t is good enough, by looking at all of them."""
+    """(met, exactly in place, position) of each position at which template t is good enough, by looking at all of them."""
     body, out = t.text.split(), []
     keys = [[i for i in range(len(ws)) if ws[i : i + len(k.split())] == k.split()] for k in t.keys]
     for d in range(-len(body) + 1, len(ws)):
         met = sum(any(0 <= d + q + s < len(ws) and ws[d + q + s] == w for s in range(-slack, slack + 1)) for q, w in enumerate(body))
         if met >= coverage * len(body) - 1e-9 and all(any(d - slack <= i <= d + len(body) + slack - len(k.split()) for i in found) for k, found in zip(t.keys, keys, strict=True)):
-            out.append((met, d))
+            out.append((met, sum(0 <= d + q < len(ws) and ws[d + q] == w for q, w in enumerate(body)), d))
     return out
 
 
 def chosen(found, size):
     out = []
-    for met, d in sorted(found, key=lambda x: (-x[0], x[1])):
+    for _, _, d in sorted(found, key=lambda x: (-x[0], -x[1], x[2])):
         if all(abs(d - e) >= size for e in out):
             out.append(d)
     return sorted(out)
@@ -75,7 +75,7 @@ def test_places(monkeypatch, size, weighted):
             good = every_position(ws, t)
             size_of = len(t.text.split())
             for d in chosen(good, size_of):
-                want.append((max(d, 0), t.label, max(m for m, e in good if e == d) / size_of))
+                want.append((max(d, 0), t.label, max(m for m, _, e in good if e == d) / size_of))
         got = [(p["first_word"], p["label"], p["coverage"]) for p in found if p["method"] == "template"]
         assert sorted(got) == sorted(want), text
         hits += len(got)
@@ -87,7 +87,7 @@ def test_digest(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, labels string")
     got = sorted((tuple(r)[:8] for r in L.digest(docs).collect()), key=lambda r: (r[0] or 0, r[6]))
     assert got == [
-        (None, 7, 0, None, None, "", "cc-by-nc", 1.0), (1, 13, 2, 3, 8, "apache,mit", "apache,apache-2.0,mit", 1.0), (1, 11, 1, 6, 6, "gpl", "gpl,gpl-3.0", 1.0),
+        (None, 7, 0, None, None, "", "cc-by-nc", 1.0), (1, 13, 2, 3, 8, "apache,mit", "apache,apache-2.0,mit", 1.0), (1, 12, 1, 7, 7, "gpl", "gpl,gpl-3.0", 1.0),
         (2, 0, 0, None, None, "", "", 0.0), (3, 0, 0, None, None, "", "", 0.0), (9, 6, 3, 0, 4, "apache,mit", "apache,mit", 1.0),
     ]
     assert L.digest(spark.createDataFrame([], docs.schema)).count() == 0

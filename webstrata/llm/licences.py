@@ -12,9 +12,10 @@ the licence. So the rare words save work and lose nothing: the result is that of
 Words are runs of letters and digits in lower case. Templates whose key phrases' words a file lacks are not looked up in it.
 Base phrases are found word for word by the same scan, wherever they stand.
 
-Null text is empty and has no place; equal documents get equal rows, ids may repeat or be null; of places of a label that
-overlap, the one of the highest coverage counts, then the first; very long texts are scanned in pieces and judged whole; an
-empty table gives an empty result; without documents every IDF is the same; other columns are ignored, whatever their names.
+Null text is empty and has no place; equal documents get equal rows, ids may repeat or be null; of places of a template that
+overlap, the one of the highest coverage counts, then of the most words exactly in place, then the first; very long texts are
+scanned in pieces and judged whole; an empty table gives an empty result; without documents every IDF is the same; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -163,8 +164,9 @@ def placed(index: Index, t: int, n_words: int, place: np.ndarray, number: np.nda
     at = np.full(n_words + 2 * margin, -1, "i4")  # the file's words by place, -1 if unknown
     at[place + margin] = number
     around = around[(around > -size) & (around < n_words)]
-    met = np.zeros(len(around), "i8")
+    met, exact = np.zeros(len(around), "i8"), np.zeros(len(around), "i8")
     for q in range(size):
+        exact += at[around + (margin + q)] == body[q]
         hit = np.zeros(len(around), bool)
         for s in range(-slack, slack + 1):
             hit |= at[around + (margin + q + s)] == body[q]
@@ -176,7 +178,7 @@ def placed(index: Index, t: int, n_words: int, place: np.ndarray, number: np.nda
         good &= high > low
     out: list[tuple[int, float]] = []
     taken = np.zeros(n_words + 2 * margin, bool)
-    for i in sorted(np.flatnonzero(good).tolist(), key=lambda i: (-met[i], around[i])):
+    for i in sorted(np.flatnonzero(good).tolist(), key=lambda i: (-met[i], -exact[i], around[i])):
         own = slice(int(around[i]) + margin, int(around[i]) + margin + size)
         if not taken[own].any():
             taken[own] = True
