@@ -1,5 +1,8 @@
+import pickle
+import random
 import re
 
+from webstrata.functions import literals
 from webstrata.operators import extract, secrets, tech
 from webstrata.sources import rules as R
 
@@ -83,3 +86,99 @@ def test_overrides_and_dialect():
     pack = R.secret_rules(base, "[[rules]]\nid='n'\nregex='''(y)'''\n[[append]]\nid='a'\n[[append.allowlists]]\nstopwords=['xxx']\n")
     assert [r.id for r in pack.rules] == ["a", "b", "n"] and pack.dropped == ["c"]
     assert [f["matched_value"] for f in secrets.scan("xx& xxxx;", pack)] == ["xx"] and secrets.scan("kAB", pack)[0]["matched_value"] == "kAB"
+
+
+def slow_scan(text, pack):
+    """Every rule by itself."""
+    low, out = text.lower(), []
+    for r in pack.rules:
+        if not r.keywords or any(k in low for k in r.keywords):
+            out += [(r.id, secrets.secret_of(r, m)) for m in r.regex.finditer(text)]
+    return out
+
+
+def big_pack(n, seed=1):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(3, 5)))
+    rules = []
+    for i in range(n):
+        key, other = word(), word()
+        body = rng.choice([f"{key}_([0-9]{{2,4}})", f"(?i)(?:{key}|{other})[-_]([0-9a-f]{{3}})", f"[)]{key}(x)?", f"{key}[{other}]+=[0-9]"])
+        keys = rng.choice([[key], [key, other], [], [key.upper()]])
+        rules.append(f"[[rules]]\nid = 'r{i}'\nregex = '''{body}'''\nkeywords = {keys}\n")
+    return R.secret_rules("".join(rules))
+
+
+def test_many_rules_at_once():
+    """The automaton lets exactly those rules run that could find something, on a pack of 225 rules."""
+    pack, rng = big_pack(225), random.Random(2)
+    assert len(pack.rules) == 225
+    keys = sorted({k for r in pack.rules for k in r.keywords})
+    hits = 0
+    for _ in range(60):
+        text = " ".join(rng.choice([rng.choice(keys) + rng.choice("_-=") + str(rng.randint(1, 99999)), ")" + rng.choice(keys).upper() + "x", "plain", "abc def"]) for _ in range(40))
+        got = [(f["secret_type"], f["matched_value"]) for f in secrets.scan(text, pack)]
+        assert set(got) == set(slow_scan(text, pack)) and len(got) == len(set(got))
+        hits += len(got)
+    assert hits > 150
+
+
+def test_cost_does_not_grow_with_rules(monkeypatch):
+    """A text that no rule fits is read once and starts no expression, whatever the number of rules."""
+    text = "nothing of note " * 1000
+    for n in (10, 1000):
+        pack = R.secret_rules("".join(f"[[rules]]\nid = 'r{i}'\nregex = '''key{i}_[0-9]+'''\nkeywords = ['key{i}_']\n" for i in range(n)))
+        assert pack.running(text) == [] and [r.id for r in pack.running(text + "KEY7_1")] == ["r7"]
+        calls = []
+        monkeypatch.setattr(literals.Literals, "found", lambda self, t, calls=calls: calls.append(len(t)) or set())
+        assert secrets.scan(text, pack) == [] and calls == [len(text)]
+        monkeypatch.undo()
+
+
+def test_literals():
+    rng = random.Random(3)
+    for _ in range(50):
+        words = {"".join(rng.choices("ab", k=rng.randint(1, 4))) for _ in range(12)}
+        own, text = literals.Literals(words), "".join(rng.choices("abc", k=60))
+        own = pickle.loads(pickle.dumps(own))
+        assert {own.words[i] for i in own.found(text)} == {w for w in words if w in text}
+    assert literals.Literals([]).found("x") == set() and literals.folded("K\u0130\u0131\u017f\u212a") == "kiisk"
+    p = R.Pattern.of("skip")
+    assert p.match("\u017f\u212aip")[0] and literals.Gate([([], p.literal)]).open("a \u017f\u212aip") == [0]
+
+
+def test_gated_detection_is_that_of_every_rule():
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "x-y"]
+    pack = {f"t{i}": {rng.choice(["html", "scripts", "scriptSrc", "url"]): [rng.choice([rng.choice(words), rf"{rng.choice(words)}/(\d+)\;version:\1", r"^\d+$", "", rf"[)]?{rng.choice(words)}"]) for _ in range(2)], "headers": {rng.choice(["a", "b", "c"]): rng.choice(["", r"(\d)\;version:\1"])}, "cookies": {rng.choice(["s_*", "sid", "*"]): ""}} for i in range(120)}
+    rules = R.technologies(pack)
+    matcher = tech.Matcher(rules)
+    for _ in range(40):
+        some = lambda: " ".join(rng.choice([*words, "alpha/3", ")beta", "12", ""]) for _ in range(rng.randint(0, 4)))
+        channels = [("headers", {k: [some()] for k in rng.sample("abcd", 2)}), ("cookies", {k: [""] for k in rng.sample(["s_1", "sid", "other"], 1)}), ("html", [some()]), ("scriptSrc", [some(), some()]), ("scripts", [some()]), ("url", [some()]), ("scripts", [some()])]
+        want = []
+        for t in rules:
+            version, rank = None, None
+            for r, (channel, values) in enumerate(channels):
+                if version:
+                    break
+                ok, v = tech.keyed_match(t.maps[channel], values) if channel in t.maps else tech.first_match((p, x) for p in t.lists.get(channel, []) for x in values)
+                if ok:
+                    version, rank = v, r if rank is None else rank
+            if rank is not None:
+                want.append({"technology_name": t.name, "technology_version": version, "rank": rank})
+        assert matcher.detect(channels) == sorted(want, key=lambda x: [t.name for t in rules].index(x["technology_name"]))
+
+
+def test_whole_lines_and_keys_of_a_page():
+    pad = " " * 5000
+    pack = R.secret_rules("[[rules]]\nid='n'\nregex='''n([0-9]+)'''\nkeywords=['n']\n[[rules.allowlists]]\nregexTarget='line'\nregexes=['^skip', 'skip$']\n")
+    text = f"skip{pad}n1{pad}n2\nkeep{pad}n3{pad}\n{pad}n4{pad}skip\nn5"
+    assert [f["matched_value"] for f in secrets.scan(text, pack)] == ["3", "5"]
+    key = lambda c: "-----BEGIN RSA PRIVATE" + f" KEY-----\n{c * 40}\n" + "-----END RSA PRIVATE KEY-----"
+    assert len(secrets.scan(key("a") + "\n" + key("b"), R.secret_rules())) == 2
+
+
+def test_rules_of_paths_are_left_out():
+    pack = R.secret_rules("[[rules]]\nid='f'\nregex='''x'''\npath='''\\.tf$'''\n[[rules]]\nid='g'\nregex='''y'''\n")
+    assert [r.id for r in pack.rules] == ["g"] and pack.of_paths == ["f"]

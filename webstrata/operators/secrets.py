@@ -1,8 +1,10 @@
 """Secret scanning: a rule pack over texts in one Arrow-batched pass, with decoded token claims as native expressions.
 
-A rule runs where one of its keywords occurs (or it has none). The secret is the rule's group, else the first non-empty
-group, else the whole match. It is dropped under the rule's entropy or by an allowlist. The locations of findings are our
-own definition: the innermost of script, JSON-LD block, comment, data attribute, meta tag and URL parameter around them.
+A rule runs where one of its keywords occurs (or it has none) and what its expression requires; one pass of an automaton over
+a text tells for all rules. The secret is the rule's group, else the first non-empty group, else the whole match. It is
+dropped under the rule's entropy or by an allowlist, of which those on lines see the whole line, however long. The locations
+of findings are our own definition: the innermost of script, JSON-LD block, comment, data attribute, meta tag and URL
+parameter around them.
 """
 
 import math
@@ -18,7 +20,9 @@ from webstrata.functions.scalar import jwt, wrapped_jwt
 from webstrata.sources.rules import Allow, SecretRule, SecretRules, secret_rules
 
 FOUND = "array<struct<secret_type: string, matched_value: string, severity: string, location: string, context: string>>"
-AROUND, LINE = 80, 512
+AROUND = 80
+#: Up to so many keywords the JVM looks for them first, so that most texts never reach Python; beyond, the automaton's one pass is cheaper.
+FEW = 16
 PLACES = [
     ("html_comment", re.compile(r"<!--"), "-->"), ("json_ld", re.compile(r"<script[^>]*ld\+json[^>]*>", re.I), "</script>"), ("inline_script", re.compile(r"<script(?![^>]*\bsrc\s*=)[^>]*>", re.I), "</script>"),
     ("meta_tag", re.compile(r"<meta\b[^>]*>", re.I), None), ("data_attribute", re.compile(r"""\bdata-[\w-]+\s*=\s*(?:"[^"]*"|'[^']*')"""), None), ("url_parameter", re.compile(r"""https?://[^\s"'<>?]*\?[^\s"'<>]*"""), None),
@@ -44,10 +48,27 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-def allowed(a: Allow, secret: str, match: str, line: str) -> bool:
-    """Whether an allowlist lets the finding go."""
-    target = {"match": match, "line": line}.get(a.target or "", secret)
-    by_regex = any(r.search(target) for r in a.regexes)
+class Lines:
+    """The whole lines of a text around matches. What an allowlist says of a line is kept while matches stay on it."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end, self.said = text, 0, -1, {}
+
+    def allow(self, a: Allow, m: re.Match) -> bool:
+        if not (self.start <= m.start() and m.end() <= self.end):
+            end = self.text.find("\n", m.end())
+            self.start, self.end, self.said = self.text.rfind("\n", 0, m.start()) + 1, len(self.text) if end < 0 else end, {}
+        if id(a) not in self.said:
+            self.said[id(a)] = any(r.search(self.text[self.start : self.end]) for r in a.regexes)
+        return self.said[id(a)]
+
+
+def allowed(a: Allow, secret: str, m: re.Match | None = None, lines: Lines | None = None) -> bool:
+    """Whether an allowlist lets the finding go. Its expressions look at the secret, the match or the line; its words at the secret."""
+    if m is not None and a.target == "line":
+        by_regex = bool(a.regexes) and lines.allow(a, m)
+    else:
+        by_regex = any(r.search(m.group(0) if m is not None and a.target == "match" else secret) for r in a.regexes)
     by_word = any(w in secret.lower() for w in a.stopwords)
     if a.all_of:
         return not a.has_paths and (by_regex or not a.regexes) and (by_word or not a.stopwords) and bool(a.regexes or a.stopwords)
@@ -64,20 +85,17 @@ def scan(text: str | None, pack: SecretRules, place: str | None = None) -> list[
     """Findings of one text, each (type, value) once. `place` is the location of texts that are no pages."""
     if not text:
         return []
-    low, seen, out, spans = text.lower(), set(), [], None
-    for rule in pack.rules:
-        if rule.keywords and not any(k in low for k in rule.keywords):
-            continue
+    seen, out, spans, lines = set(), [], None, Lines(text)
+    for rule in pack.running(text):
         for m in rule.regex.finditer(text):
             secret = secret_of(rule, m)
             if (rule.id, secret) in seen or (rule.entropy is not None and entropy(secret) <= rule.entropy):
                 continue
-            left, right = text.rfind("\n", max(0, m.start() - LINE), m.start()) + 1, text.find("\n", m.end(), m.end() + LINE)
-            line = text[max(left, m.start() - LINE) : right if right >= 0 else m.end() + LINE]
-            if allowed(pack.allow, secret, secret, secret) or any(allowed(a, secret, m.group(0), line) for a in rule.allow):
+            if allowed(pack.allow, secret) or any(allowed(a, secret, m, lines) for a in rule.allow):
                 continue
             seen.add((rule.id, secret))
             if place is None and spans is None:
+                low = text.lower()
                 spans = [(name, spans_of(start, end, text, low)) for name, start, end in PLACES]
             where = place or next((name for name, own in spans if any(a <= m.start() < b for a, b in own)), "html_body")
             out.append({"secret_type": rule.id, "matched_value": secret, "severity": rule.severity, "location": where, "context": text[max(0, m.start() - AROUND) : m.end() + AROUND]})
@@ -93,7 +111,7 @@ def found_in(texts: DataFrame, key: str, pack: SecretRules | None = None) -> Dat
     """The findings of texts (key, place, body); place null means a page, whose findings are located by what is around them."""
     pack = secret_rules() if pack is None else pack
     words = sorted({k for r in pack.rules for k in r.keywords})
-    if all(r.keywords for r in pack.rules):  # the outer lambda lowers a text once, not once a keyword
+    if all(r.keywords for r in pack.rules) and len(words) <= FEW:  # the outer lambda lowers a text once, not once a keyword
         literals = F.array(*[F.lit(w) for w in words])
         texts = texts.where(F.exists(F.array(F.lower("body")), lambda low: F.exists(literals, lambda w: F.contains(low, w))))
 

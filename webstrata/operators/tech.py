@@ -3,30 +3,35 @@
 Channels are tried in the order headers, cookies, html, script sources, inline scripts, meta, url, script ids, DNS records,
 certificate issuer, text of external scripts; a later one only while no version is known. A meta key is looked up among
 names, then properties, then http-equiv. TXT rules search all TXT, SPF and DMARC records together. What a technology
-implies, and with which version, is closed over the rule pack on the driver, so rows never recurse. Texts that lack what a
-pattern requires are not searched for it."""
+implies, and with which version, is closed over the rule pack on the driver, so rows never recurse.
 
+A text is read once by an automaton over all that the patterns of its channel require, and only patterns that it can fit are
+tried; header, cookie, meta and DNS rules are looked up by the keys that a page has. So the cost of a page is its length and
+what it may hold, not the number of rules."""
+
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webstrata.functions.literals import Gate
 from webstrata.functions.scalar import version_text
-from webstrata.sources.rules import Technology, implied, technologies
+from webstrata.sources.rules import LISTS, MAPS, Pattern, Technology, implied, technologies
 
 FOUND = "array<struct<technology_name: string, technology_version: string, rank: int>>"
 
 
-def first_match(patterns, values) -> tuple[bool, str | None]:
+def first_match(tries: Iterator[tuple[Pattern, str]]) -> tuple[bool, str | None]:
+    """Whether a pattern fits its value, and the first version that comes out."""
     hit = False
-    for p in patterns:
-        for v in values:
-            ok, version = p.match(v)
-            if ok:
-                hit = True
-                if version:
-                    return True, version
+    for p, v in tries:
+        ok, version = p.match(v)
+        if ok:
+            hit = True
+            if version:
+                return True, version
     return hit, None
 
 
@@ -37,32 +42,77 @@ def keyed_match(rules: dict, values: dict) -> tuple[bool, str | None]:
             have = [v for k, vs in values.items() if k.startswith(key[:-1]) for v in vs]
         else:
             have = values.get(key, [])
-        ok, version = first_match(patterns, have)
+        ok, version = first_match((p, v) for p in patterns for v in have)
         if ok and version:
             return True, version
         hit |= ok
     return hit, None
 
 
-def detect(page: dict, rules: list[Technology]) -> list[dict]:
-    """Observed technologies of one page: {name, version, rank of the channel}."""
-    out = []
-    for t in rules:
-        best: tuple[bool, str | None, int] = (False, None, 99)
-        for rank, (channel, values) in enumerate(page["channels"]):
-            if channel in t.maps:
-                ok, version = keyed_match(t.maps[channel], values)
-            elif channel in t.lists:
-                ok, version = first_match(t.lists[channel], values)
-            else:
-                continue
-            if ok and (not best[0] or (version and not best[1])):
-                best = (True, version or best[1], min(rank, best[2]))
-            if best[1]:
-                break
-        if best[0]:
-            out.append({"technology_name": t.name, "technology_version": best[1], "rank": best[2]})
-    return out
+class Texts:
+    """The patterns of a channel of texts."""
+
+    def __init__(self, rules: list[Technology], channel: str):
+        self.patterns = [(n, p) for n, t in enumerate(rules) for p in t.lists.get(channel, [])]
+        self.gate = Gate([([], p.literal) for _, p in self.patterns])
+
+    def tries(self, values: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Numbers of rules with the patterns and values that may fit, pattern by pattern."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for v, value in enumerate(values):
+            for p in self.gate.open(value):
+                out[self.patterns[p][0]].append((p, v))
+        return {n: sorted(some) for n, some in out.items()}
+
+    def match(self, n: int, some: list[tuple[int, int]], values: list[str]) -> tuple[bool, str | None]:
+        return first_match((self.patterns[p][1], values[v]) for p, v in some)
+
+
+class Keys:
+    """The rules of a channel of keyed values, by key and by the beginnings of keys (name*)."""
+
+    def __init__(self, rules: list[Technology], channel: str):
+        self.maps = {n: t.maps[channel] for n, t in enumerate(rules) if channel in t.maps}
+        self.whole: dict[str, set[int]] = defaultdict(set)
+        self.begin: dict[int, dict[str, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for n, own in self.maps.items():
+            for key in own:
+                if key.endswith("*"):
+                    self.begin[len(key) - 1][key[:-1]].add(n)
+                else:
+                    self.whole[key].add(n)
+        self.begin = {size: dict(starts) for size, starts in self.begin.items()}
+
+    def tries(self, values: dict[str, list[str]]) -> dict[int, None]:
+        found: set[int] = set()
+        for key in values:
+            found |= self.whole.get(key, set())
+            for size, starts in self.begin.items():
+                found |= starts.get(key[:size], set())
+        return dict.fromkeys(sorted(found))
+
+    def match(self, n: int, _, values: dict[str, list[str]]) -> tuple[bool, str | None]:
+        return keyed_match(self.maps[n], values)
+
+
+class Matcher:
+    def __init__(self, rules: list[Technology]):
+        self.names = [t.name for t in rules]
+        self.channels = {c: Texts(rules, c) for c in LISTS} | {c: Keys(rules, c) for c in MAPS}
+
+    def detect(self, channels: list[tuple]) -> list[dict]:
+        """Observed technologies of one page: {name, version, rank of the channel}."""
+        best: dict[int, tuple[str | None, int]] = {}
+        for rank, (channel, values) in enumerate(channels):
+            own = self.channels[channel]
+            for n, some in own.tries(values).items():
+                version, first = best.get(n, (None, rank))
+                if version:
+                    continue
+                ok, version = own.match(n, some, values)
+                if ok:
+                    best[n] = (version, first)
+        return [{"technology_name": self.names[n], "technology_version": version, "rank": rank} for n, (version, rank) in sorted(best.items())]
 
 
 def as_lists(m) -> dict[str, list[str]]:
@@ -111,10 +161,12 @@ def observed(rows: DataFrame, rules: list[Technology], key: str = "page_id", htm
         (F.col(external) if external else F.lit(None).cast("array<string>")).alias("external"),
     )
 
+    matcher = Matcher(rules)
+
     @F.pandas_udf(FOUND)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for df in batches:
-            yield pd.Series([detect({"channels": channels_of(r)}, rules) for r in df.itertuples(index=False)], dtype=object)
+            yield pd.Series([matcher.detect(channels_of(r)) for r in df.itertuples(index=False)], dtype=object)
 
     return rows.select(key, F.explode(run(packed)).alias("t")).select(key, "t.*")
 

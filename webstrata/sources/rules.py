@@ -8,10 +8,11 @@ import json
 import re
 import tomllib
 from dataclasses import dataclass, field
-from functools import lru_cache
 from pathlib import Path
 from urllib.request import urlopen
 
+from webstrata.functions.literals import Gate
+
 # --- technologies -----------------------------------------------------------------------------------------------------
 
 #: A sample pack over every channel, for when none is given. Its products are invented; real packs are read from a path or URL.
@@ -34,14 +35,10 @@ def many(x) -> list[str]:
     return [] if x is None else [str(v) for v in x] if isinstance(x, list) else [str(x)]
 
 
-@lru_cache(maxsize=256)
-def lowered(text: str) -> str:
-    """A page's texts are asked for once a rule."""
-    return text.lower()
-
-
 def required(expression: str) -> str:
     """The longest run of plain ASCII characters that any match must hold; empty where that isn't plain to see."""
+    if re.search(r"\(\?[a-z]*x", expression):  # blanks and comments inside
+        return ""
     runs, run, depth, at = [], "", 0, 0
     while at < len(expression):
         c, step, plain = expression[at], 1, False
@@ -52,9 +49,11 @@ def required(expression: str) -> str:
                 return ""
         elif c == "|" and depth == 0:
             return ""
-        elif c in "([":
+        elif c == "[":
+            step = class_length(expression, at)
+        elif c == "(":
             depth += 1
-        elif c in ")]":
+        elif c == ")":
             depth -= 1
         elif c == "{":
             step = max(expression.find("}", at) - at, 0) + 1
@@ -71,6 +70,19 @@ def required(expression: str) -> str:
     return max([*runs, run], key=len)
 
 
+def class_length(expression: str, at: int) -> int:
+    """How long the character class is that begins at `at`: brackets in it are escaped or come first."""
+    end = at + 1 + expression.startswith("^", at + 1)
+    end += expression.startswith("]", end)
+    while end < len(expression) and expression[end] != "]":
+        end += 2 if expression[end] == "\\" else 1
+    return end + 1 - at
+
+
+def ascii_run(text: str) -> str:
+    return max(re.split(r"[^\x00-\x7f]+", text.lower()), key=len)
+
+
 @dataclass
 class Pattern:
     r"""A rule's pattern with its version template: `expression\;version:...`; other parts are ignored."""
@@ -78,7 +90,7 @@ class Pattern:
     text: str
     version: str | None = None
     regex: re.Pattern | None = None
-    literal: str = ""  # what any match holds, in lower case
+    literal: str = ""  # what any match holds, in lower case; scans ask for it before they try the expression
 
     @classmethod
     def of(cls, raw: str) -> Pattern:
@@ -88,9 +100,9 @@ class Pattern:
             return cls("", version)
         special = text.startswith("^") or any(c in text for c in "$\\[(*+?")
         try:
-            return cls(text, version, re.compile(text if special else re.escape(text), re.IGNORECASE), required(text) if special else text.lower())
+            return cls(text, version, re.compile(text if special else re.escape(text), re.IGNORECASE), required(text) if special else ascii_run(text))
         except re.error:
-            return cls(text.lower(), version)
+            return cls(text.lower(), version, None, ascii_run(text))
 
     def match(self, value: str) -> tuple[bool, str | None]:
         """Whether it fits, and the version that comes out."""
@@ -98,8 +110,6 @@ class Pattern:
             return True, self.version if self.version and "\\" not in self.version else None
         if self.regex is None:
             return self.text in value.lower(), None
-        if self.literal and self.literal not in lowered(value):
-            return False, None
         m = self.regex.search(value)
         return (True, rendered(self.version, m)) if m else (False, None)
 
@@ -218,7 +228,7 @@ entropy = 3
 keywords = ["gho_", "ghp_", "ghr_", "ghs_", "ghu_"]
 [[rules]]
 id = "private-key"
-regex = '''-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----'''
+regex = '''-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[\s\S]{16,16384}?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----'''
 keywords = ["private key-----"]
 [[rules]]
 id = "jwt"
@@ -268,6 +278,14 @@ class SecretRules:
     rules: list[SecretRule]
     allow: Allow
     dropped: list[str]  # ids of rules whose expression this engine can't take
+    of_paths: list[str] = field(default_factory=list)  # ids of rules for files of certain names, which texts of pages never are
+
+    def __post_init__(self):
+        self.gate = Gate([(r.keywords, required(r.regex.pattern)) for r in self.rules])
+
+    def running(self, text: str) -> list[SecretRule]:
+        """The rules that can find anything in a text, by one pass over it."""
+        return [self.rules[i] for i in self.gate.open(text)]
 
 
 def compiled(pattern: str) -> re.Pattern | None:
@@ -291,8 +309,11 @@ def secret_rules(text: str = SAMPLE_RULES, overrides: str | None = None) -> Secr
     """Rules from TOML text. Overrides replace rules of the same id (their ends aren't widened), add new ones, and append allowlists."""
     pack, over = tomllib.loads(text), tomllib.loads(overrides) if overrides else {}
     own = {r["id"] for r in over.get("rules", [])}
-    rules, dropped = [], []
+    rules, dropped, of_paths = [], [], []
     for relaxed, raw in [*[(True, r) for r in pack.get("rules", []) if r["id"] not in own], *[(False, r) for r in over.get("rules", [])]]:
+        if raw.get("path"):
+            of_paths.append(raw["id"])
+            continue
         if not raw.get("regex"):
             continue
         regex = compiled(raw["regex"].replace(STRICT_END, WEB_END) if relaxed else raw["regex"])
@@ -303,4 +324,4 @@ def secret_rules(text: str = SAMPLE_RULES, overrides: str | None = None) -> Secr
         lists = [allow_of(a) for a in [*raw.get("allowlists", []), *([raw["allowlist"]] if "allowlist" in raw else []), *extra]]
         rules.append(SecretRule(raw["id"], regex, raw.get("secretGroup"), raw.get("entropy"), [k.lower() for k in raw.get("keywords", [])], severity(raw["id"]), lists))
     general = pack.get("allowlist") or (pack.get("allowlists") or [{}])[0]
-    return SecretRules(rules, allow_of(general), dropped)
+    return SecretRules(rules, allow_of(general), dropped, of_paths)
