@@ -46,18 +46,6 @@ def test_token_bucket_matches_a_simulation(spark):
     assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
 
 
-def test_timeouts(spark, tmp_path):
-    t0 = datetime.datetime(2024, 1, 1)
-    at = lambda s: t0 + datetime.timedelta(seconds=s)
-    src, schema = tmp_path / "s", "url string, state string, ts timestamp"
-    for rows in ([("a", "start", at(0)), ("b", "start", at(0)), ("b", "end", at(5))], [("c", "start", at(100))], [("c", "end", at(101))]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
-        stream = spark.readStream.schema(schema).parquet(str(src))
-        q = I.timed_out(stream).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert [(r.url, r.error_type) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("a", "Process URL timeout")]
-
-
 def test_windows_and_counters(spark):
     t0 = datetime.datetime(2024, 1, 1)
     ev = spark.createDataFrame([(1, t0), (1, t0 + datetime.timedelta(milliseconds=500)), (1, t0 + datetime.timedelta(minutes=9))], "u long, ts timestamp")

@@ -1,10 +1,7 @@
-"""Streams: URL lists as they arrive, upserts by micro-batch, throughput, and timeouts of what never came back."""
+"""Streams: URL lists as they arrive, upserts by micro-batch, throughput and sessions. What needs keyed state is in state.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,8 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from webstrata.operators.upsert import latest
 from webstrata.sources.urls import described, lines
 
-TIMEOUT_ERROR = "Process URL timeout"
-
 
 def stream_urls(spark: SparkSession, folder: str, files_per_trigger: int = 8) -> DataFrame:
     """New files of a folder as described URLs; the number of files a trigger bounds what is in flight."""
@@ -46,7 +41,9 @@ def stored(spark: SparkSession, path: str, before: int) -> DataFrame | None:
     """Of each folder its rows in the last version under `before`, with the folder's name; None where nothing is stored."""
     try:
         rows = spark.read.option("basePath", path).parquet(path).where(F.col(VERSION) < before)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     newest = rows.groupBy(FOLDER).agg(F.max(VERSION).alias(VERSION))  # a row a run, from folder names
     return rows.join(F.broadcast(newest), [FOLDER, VERSION]).drop(VERSION)
@@ -94,33 +91,6 @@ def phase(draining: bool, in_flight: int) -> str:
     return "running" if not draining else "draining" if in_flight else "finalizing"
 
 
-def timed_out(attempts: DataFrame, limit: str = "35 seconds", late: str = "10 seconds") -> DataFrame:
-    """Attempts (url, state 'start' or 'end', ts) that had no end within the limit, as failures, once the watermark has passed it."""
-    seconds = int(limit.split()[0])
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (began,) = state.get
-            state.remove()
-            yield pd.DataFrame([(key[0], TIMEOUT_ERROR, began)], columns=["url", "error_type", "started_at_ms"])
-            return
-        began, ended = state.get[0] if state.exists else None, False
-        for df in batches:
-            for kind, ts in zip(df["state"], df["ts"], strict=True):
-                ms = int(ts.timestamp() * 1000)
-                ended |= kind == "end"
-                began = ms if kind == "start" and (began is None or ms < began) else began
-        if ended or began is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((began,))
-            state.setTimeoutTimestamp(max(began + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"url": pd.Series([], dtype=str), "error_type": pd.Series([], dtype=str), "started_at_ms": pd.Series([], dtype="int64")})
-
-    return attempts.withWatermark("ts", late).groupBy("url").applyInPandasWithState(run, "url string, error_type string, started_at_ms long", "began long", "append", "EventTimeTimeout")
-
-
 def fresh(table: DataFrame, now_ms: int, ttl_ms: int, stamp: str = "fetched_at_ms") -> DataFrame:
     """The rows of a cache table that haven't expired."""
     return table.where(F.col(stamp) + ttl_ms > now_ms)
