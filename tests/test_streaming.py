@@ -76,3 +76,25 @@ def test_metrics_and_runs(spark):
     facts = spark.createDataFrame([("r2",), ("r2",), ("r1",)], "run_id string")
     done = {r.run_id: r for r in R.finish(table, "r2", 5000, facts, facts.where("run_id = 'r1'"), 1).collect()}
     assert (done["r2"].total_urls, done["r2"].elapsed_seconds, done["r2"].end_time_ms, done["r1"].end_time_ms) == (3, 3.0, 5000, None)
+
+
+def test_counters_come_with_the_write(spark, tmp_path):
+    """A table is written and counted in one job; a stream's batches bring their counters."""
+    from webstrata.streaming import metrics as M
+
+    failures = spark.createDataFrame([("DNS MX lookup error",), ("odd",), (None,), ("Process URL timeout",)], "error_type string")
+    rows, seen = M.with_error_counters(failures)
+    sc = spark.sparkContext
+    sc.setJobGroup("counted", "one job")
+    rows.write.parquet(str(tmp_path / "f"))
+    assert len(sc.statusTracker().getJobIdsForGroup("counted")) == 1
+    sc.setJobGroup("after", "reading counters starts none")
+    assert seen.get == {"timeout": 1, "connection_error": 0, "http_error": 0, "dns_error": 1, "tls_error": 0, "parse_error": 0, "other_error": 2, "total": 4}
+    assert len(sc.statusTracker().getJobIdsForGroup("after")) == 0
+    facts = spark.createDataFrame([("a", "a", 200, "t"), ("a", "b", 403, " "), ("c", None, 403, None)], "initial_domain string, final_domain string, http_status int, title string")
+    rows, seen = M.with_info_counters(facts)
+    assert rows.count() == 3 and seen.get == {"total": 3, "bot_detection_403": 2, "moved_domains": 1, "missing_title": 2}
+    stream, _ = M.with_error_counters(spark.readStream.schema("error_type string").parquet(str(tmp_path / "f")))
+    q = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert sum(p.observedMetrics["errors"]["total"] for p in q.recentProgress if "errors" in p.observedMetrics) == 4

@@ -94,8 +94,12 @@ class Star:
 
     @cached_property
     def url_redirect_chain(self) -> DataFrame:
+        return self.redirect_chain_with()
+
+    def redirect_chain_with(self, *columns: str) -> DataFrame:
+        """url_redirect_chain with some of the observation's columns, from one join with the observations."""
         order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-        return self.lines.select(F.col("l_orderkey").alias("url_status_id"), F.row_number().over(order).alias("sequence_order"), say("https://s", F.col("l_suppkey"), ".example/").alias("redirect_url"), F.when(F.col("l_linestatus") == "O", 301).otherwise(302).alias("http_status"))
+        return self.lines_with(*columns).select(F.col("l_orderkey").alias("url_status_id"), *columns, F.row_number().over(order).alias("sequence_order"), say("https://s", F.col("l_suppkey"), ".example/").alias("redirect_url"), F.when(F.col("l_linestatus") == "O", 301).otherwise(302).alias("http_status"))
 
     @cached_property
     def url_geoip(self) -> DataFrame:

@@ -240,8 +240,10 @@ def _(t):
 @query("q36_many_redirects", "SELECT any_value(final_domain) AS final_domain, any_value(initial_domain) AS initial_domain, count(*) AS redirect_count, string_agg(redirect_url, ' -> ' ORDER BY sequence_order) AS redirect_chain FROM url_status u JOIN url_redirect_chain r ON u.id = r.url_status_id GROUP BY u.id HAVING count(*) > 3")
 def _(t):
     hops = F.transform(F.sort_array(F.collect_list(F.struct("sequence_order", "redirect_url"))), lambda s: s["redirect_url"])
-    chains = t.url_redirect_chain.groupBy("url_status_id").agg(F.count("*").alias("redirect_count"), F.array_join(hops, " -> ").alias("redirect_chain")).where("redirect_count > 3")
-    return of_status(t, chains).select("final_domain", "initial_domain", "redirect_count", "redirect_chain").orderBy(F.desc("redirect_count"), "initial_domain")
+    # the observation's columns come along with its lines, so observations are ranked and joined once
+    key = ["url_status_id", "final_domain", "initial_domain"]
+    chains = t.redirect_chain_with(*key[1:]).groupBy(*key).agg(F.count("*").alias("redirect_count"), F.array_join(hops, " -> ").alias("redirect_chain")).where("redirect_count > 3")
+    return chains.select("final_domain", "initial_domain", "redirect_count", "redirect_chain").orderBy(F.desc("redirect_count"), "initial_domain")
 
 
 @query("q37_shared_certificates", "SELECT san_value, count(DISTINCT final_domain) AS domain_count, string_agg(DISTINCT final_domain, ',' ORDER BY final_domain) AS domains FROM url_certificate_sans s JOIN url_status u ON s.url_status_id = u.id GROUP BY 1 HAVING count(DISTINCT final_domain) > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -28,9 +28,32 @@ BUCKETS = {
 
 def error_counts(failures: DataFrame, *keys: str, error: str = "error_type") -> DataFrame:
     """Failures by bucket, those of no bucket as other_error, and in total; one row, or one for each value of keys."""
+    return failures.groupBy(*keys).agg(*error_counters(error))
+
+
+def error_counters(error: str = "error_type") -> list[Column]:
+    """The counters as aggregates, for a table's own query or to be observed while it is written."""
     named = F.col(error).isin([x for types in BUCKETS.values() for x in types])
     counts = [F.count_if(F.col(error).isin(types)).alias(bucket) for bucket, types in BUCKETS.items()]
-    return failures.groupBy(*keys).agg(*counts, F.count_if(~F.coalesce(named, F.lit(False))).alias("other_error"), F.count("*").alias("total"))
+    return [*counts, F.count_if(~F.coalesce(named, F.lit(False))).alias("other_error"), F.count("*").alias("total")]
+
+
+def observed(rows: DataFrame, name: str, *counters: Column) -> tuple[DataFrame, Observation]:
+    """rows as they are, and what comes to hold the counters once any action has read them: a write and its counters are one job, and
+    no row is read twice. In a stream the counters of each batch come with its progress, under the name."""
+    seen = Observation(name)
+    return (rows.observe(name, *counters) if rows.isStreaming else rows.observe(seen, *counters)), seen
+
+
+def with_error_counters(failures: DataFrame, error: str = "error_type") -> tuple[DataFrame, Observation]:
+    """Failures with their counters by bucket."""
+    return observed(failures, "errors", *error_counters(error))
+
+
+def with_info_counters(url_status: DataFrame) -> tuple[DataFrame, Observation]:
+    """Observations with counters of answers: all, 403, on another domain than the first, without a title."""
+    moved = F.coalesce(F.col("initial_domain") != F.col("final_domain"), F.lit(False))
+    return observed(url_status, "info", F.count("*").alias("total"), F.count_if(F.col("http_status") == 403).alias("bot_detection_403"), F.count_if(moved).alias("moved_domains"), F.count_if(F.coalesce(F.trim("title"), F.lit("")) == "").alias("missing_title"))
 
 
 def info_counts(url_status: DataFrame, chains: DataFrame) -> DataFrame:
