@@ -1,4 +1,4 @@
-"""What one HTML page says, by one pass of the standard library's parser in an Arrow-batched function.
+"""What one HTML page says, by one pass of the tokenizer in functions.markup in an Arrow-batched function.
 
 Built-in expressions can't parse HTML; this is the one place where Python reads pages. Everything derived from the parts
 (analytics, social links, contacts, script hosts) is native and lives in operators.extract.
@@ -6,42 +6,40 @@ Built-in expressions can't parse HTML; this is the one place where Python reads
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webstrata.functions.markup import Tokenizer
+
 SCHEMA = """title string, description string, canonical_url string, favicon_href string, meta array<struct<key: string, content: string>>, script_sources array<string>, script_ids array<string>,
 inline_script string, hints array<struct<hint_type: string, href: string>>, hrefs array<string>, json_ld array<string>, comments array<string>"""
 HINTS = ("preconnect", "dns-prefetch", "preload", "prefetch", "modulepreload")
-#: Script sources in markup that the parser does not see; a fixed value.
+#: Script sources also where the markup holds no script element, as in comments; a fixed value.
 SCRIPT_SRC = re.compile(r"""<script[^>]*src\s*=\s*["']([^"']+)["']""", re.I)
 
 
-class Page(HTMLParser):
+class Page(Tokenizer):
     def __init__(self, body: str):
-        super().__init__(convert_charrefs=True)
         self.title_parts: list[str] | None = None
         self.title_done = self.in_title = False
         self.script: dict | None = None
         self.script_text: list[str] = []
         self.inline: list[str] = []
         self.out: dict = {"title": "", "description": None, "canonical_url": None, "favicon_href": None, "meta": [], "script_sources": [], "script_ids": [], "inline_script": "", "hints": [], "hrefs": [], "json_ld": [], "comments": []}
-        self.feed(body)
-        self.close()
+        self.read(body)
         self.end_script()
         if self.title_parts is not None:
             self.out["title"] = "".join(self.title_parts).strip()
         self.out["inline_script"] = "\n".join(self.inline).lower()
         known = set(self.out["script_sources"])
-        for src in SCRIPT_SRC.findall(body):  # what a broken page hides from the parser
+        for src in SCRIPT_SRC.findall(body):
             if src not in known:
                 known.add(src)
                 self.out["script_sources"].append(src)
 
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in reversed(attrs)}  # of equal attributes the first counts
+    def start(self, tag, a):
         if tag == "title" and not self.title_done:
             self.in_title, self.title_parts = True, []
         elif tag == "meta" and "content" in a:
@@ -92,19 +90,19 @@ class Page(HTMLParser):
         elif "json" not in kind and text.strip() and text.strip()[0] not in "{[":
             self.inline.append(text)
 
-    def handle_endtag(self, tag):
+    def end(self, tag):
         if tag == "title" and self.in_title:
             self.in_title, self.title_done = False, True
         elif tag == "script":
             self.end_script()
 
-    def handle_data(self, data):
+    def text(self, data):
         if self.in_title:
             self.title_parts.append(data)
         elif self.script is not None:
             self.script_text.append(data)
 
-    def handle_comment(self, data):
+    def comment(self, data):
         self.out["comments"].append(data)
 
 
