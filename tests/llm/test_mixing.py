@@ -39,3 +39,38 @@ def test_clashing_columns(spark):
     df = docs.withColumns({c: F.lit("x") for c in ("rate", "cdf", "copy", "source_key", "order_key", "weight", "mass")})
     got = M.mix(df)
     assert set(got.columns) == set(df.columns) and sorted((r.doc_id, r.copy, r.order_key) for r in got.collect()) == want
+
+
+def test_internal_names_stay(spark):
+    docs = table(spark, 200)
+    names = ["_source", "_u", "_source_key", "_cdf", "row", "name", "u", "cdf", "source_key"]
+    got = M.mix(docs.withColumns({c: F.lit(c) for c in names}))
+    assert sorted((r.doc_id, r.copy, r.order_key) for r in got.collect()) == sorted((r.doc_id, r.copy, r.order_key) for r in M.mix(docs).collect())
+    assert all(r[c] == c for r in got.limit(5).collect() for c in names)
+
+
+def test_weights_of_nothing(spark):
+    """Weights that are all zero, or that name no present source, draw nothing."""
+    docs = table(spark, 200)
+    for weights in ({"big": 0.0, "mid": 0.0}, {"elsewhere": 1.0}, {"big": 0.0, "elsewhere": 2.0}):
+        assert M.mix(docs, weights).count() == 0
+    assert {r.source for r in M.mix(docs, {"mid": 1.0, "big": 0.0}, epochs=3.0).collect()} == {"mid"}
+
+
+def test_null_ids_draw_one_by_one(spark):
+    """Rows without an id are told apart by their texts: Poisson counts and keys of their own."""
+    docs = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text of a row "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    rows = M.mix(docs, epochs=2.0).groupBy("text").agg(F.count("*").alias("n")).collect()
+    counts = [r.n for r in rows] + [0] * (400 - len(rows))
+    mean = sum(counts) / 400
+    assert 1.7 < mean < 2.3 and 1.4 < sum((c - mean) ** 2 for c in counts) / 400 < 2.7 and {0, 1, 2, 3, 4} <= set(counts)
+    keys = [r.order_key for r in M.mix(docs, epochs=2.0).collect()]
+    assert len(set(keys)) == len(keys) == sum(counts)
+    repeated = docs.withColumn("doc_id", F.lit(7).cast("long"))
+    assert len({r.text: r for r in M.mix(repeated, epochs=2.0).collect()}) < 400
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "word " * 400_000, "a"), (2, "short", "b")], "doc_id long, text string, source string")
+    got = M.mix(df, {"a": 1.0, "b": 0.00001}).groupBy("source").agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert {r.source: r.n for r in got}.get("a", 2_000_000) % 2_000_000 == 0
