@@ -119,3 +119,29 @@ def test_very_long_vectors_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, 0, v, 1, 2), (2, 0, [2 * x for x in v], 1, 2), (None, 0, v, 1, 2), (4, 0, v[::-1], 1, 2)], "vec_id long, label int, embedding array<double>, id int, root int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(df).collect()}
     assert got[1][0] == 2 and got[2][0] == 2 and got[4] == (0, 4) and got[1][1] == got[2][1]
+
+
+def test_linked_rows_without_ids(spark):
+    """Rows of null vec_id that link with rows of an id, with each other and with copies of themselves: names are real ids, and each group keeps one row."""
+    rng, rows, groups = np.random.default_rng(8), [], []
+    for ids in ([5, None], [None, 17, 11], [None, None], [None], [None, None, None], [30, None, None, None]):
+        for copies in (False, True):
+            base = rng.normal(size=32)
+            vectors = [base.tolist() if copies else (base + 0.05 * rng.normal(size=32)).tolist() for _ in ids]
+            own = [None if i is None else i + 100 * len(groups) for i in ids]
+            rows += [(i, len(groups), v) for i, v in zip(own, vectors, strict=True)]
+            groups.append(own)
+    df = spark.createDataFrame([(i, 1, v, g) for i, g, v in rows], "vec_id long, label int, embedding array<double>, g int").repartition(3)
+    got = E.near_duplicates(df).collect()
+    assert len(got) == len(rows)
+    by_name = {}
+    for r in got:
+        by_name.setdefault(r.component_id, []).append(r)
+    for own in groups:
+        named = [i for i in own if i is not None]
+        if named:
+            found = by_name[min(named)]
+            assert sorted((r.vec_id is None, r.vec_id or 0) for r in found) == sorted((i is None, i or 0) for i in own)
+            assert [r.vec_id for r in found if r.kept] == [min(named)] and all(r.n_links == len(own) - 1 for r in found)
+    assert sum(r.kept for r in by_name[None]) == sum(all(i is None for i in own) for own in groups)
+    assert all(r.vec_id is None for r in by_name[None])

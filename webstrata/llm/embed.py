@@ -18,8 +18,8 @@ are logged.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and those of null label, link with nothing;
 vectors of different length are never compared; an empty table gives an empty result; rows that repeat a vec_id are one
-more copy of their vector; rows of null vec_id take part and keep it; ties in lists go to the smaller id; extra columns are
-ignored.
+more copy of their vector; rows of null vec_id take part and keep it, but never name a component: one of such rows alone has
+no name, and one of its rows is kept; ties in lists go to the smaller id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -315,13 +315,17 @@ def usable(v: Column, label: Column) -> Column:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
-    """vec_id, n_links, component_id and kept for every row."""
+    """vec_id, n_links, component_id and kept for every row.
+
+    Components are named by ids that rows have. Rows of a null vec_id link like all others and count as links; a component of such
+    rows alone has no name (null), and one of its rows is kept."""
     bounded_batches(vectors.sparkSession)
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v")).withColumn("good", usable(F.col("v"), F.col("label")))
-    rows = cut(rows.select("vec_id", F.when(F.col("good"), F.concat("label", F.lit(":"), F.size("v"))).alias("g"), F.when(F.col("good"), F.col("v")).alias("v")))
+    # written with a number, so that rows that are equal in all else can be told apart
+    rows = cut(rows.select("vec_id", F.when(F.col("good"), F.concat("label", F.lit(":"), F.size("v"))).alias("g"), F.when(F.col("good"), F.col("v")).alias("v"), F.monotonically_increasing_id().alias("row")))
     good = rows.where(F.col("g").isNotNull())
-    nodes = cut(good.groupBy("g", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).select(F.coalesce("least", F.xxhash64("g", "v")).alias("id"), "least", "g", "v", "copies"))
+    nodes = cut(good.groupBy("g", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("row").alias("row")).select(F.coalesce("least", F.xxhash64("g", "v")).alias("id"), "least", "row", "g", "v", "copies"))
     got = searched(nodes, threshold)
     if got is None:  # every pair, in blocks
         counted = whole_counts(nodes.select("id", F.xxhash64("g").alias("root"), "v", "copies"), threshold)
@@ -338,7 +342,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     counted = counted.groupBy("id").agg(F.sum("links").alias("links"))
     per_node = nodes.join(counted, "id", "left").join(listed, "id", "left").join(root.select(F.col("node").alias("id"), "root"), "id", "left")
     links = F.coalesce("links", "listed", F.lit(0)) + F.col("copies") - 1
-    done = cut(per_node.select("g", "v", links.alias("n_links"), F.coalesce("root", "id").alias("component_id")))
-    out = good.join(done, ["g", "v"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where(F.col("g").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    done = cut(per_node.select("g", "v", "least", "row", links.alias("n_links"), F.coalesce("root", "id").alias("root")))
+    # a node without an id stands in the search under a hash, which may be its component's root but never its name
+    names = cut(done.groupBy("root").agg(F.min("least").alias("component_id"), F.min("row").alias("holder")))
+    named = done.join(names, "root").select("g", "v", "n_links", "component_id", F.when(F.col("component_id").isNull(), F.col("holder")).alias("holder"))
+    out = good.join(cut(named), ["g", "v"]).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("row") == F.col("holder"), F.lit(False)).alias("kept"))
+    alone = rows.where(F.col("g").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
