@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.operators import export
@@ -103,10 +103,37 @@ def _(t):
     return export.json_lines(export.wide(tables(t))).select(*[read(f"$.{p}").alias(n) for n, p in paths.items()], read("$.response_time_ms").cast("double").alias("response_time"), F.to_json(found).alias("secrets"))
 
 
-@query("export_parquet", f"""SELECT initial_domain, run_id, http_status, response_time_seconds, coalesce(chain_n, 0)::INTEGER AS redirect_count, coalesce(last, '') AS final_redirect_url, {JSON.format("list_transform(chain_l, lambda x: {'redirect_url': x.redirect_url, 'sequence_order': x.sequence_order})")} AS redirect_chain, {JSON.format("tech_l")} AS technologies, {JSON.format("san_l")} AS certificate_sans, coalesce(mx_s, '') AS mx, coalesce(soc_i, '') AS identifiers, country_code AS geoip_country_code, registrar AS whois_registrar, CASE WHEN id % 2 = 1 THEN (id % 77 - 30)::INTEGER END AS favicon_hash, coalesce(sct_n, 0)::INTEGER AS exposed_secret_count, observed_at_ms FROM rows""")
+def listing(name: str, sep: str, *fields: str, between: str = ":", keep=None) -> Column:
+    """An array of structs as text: its fields by `between`, its entries by `sep`."""
+    form = lambda s: F.concat_ws(between, *[s[f].cast("string") for f in fields]) if fields else s
+    return F.array_join(F.transform(F.filter(name, keep) if keep else F.col(name), form), sep)
+
+
+def as_json(name: str) -> Column:
+    return F.to_json(name, {"ignoreNullFields": "false"})
+
+
+#: Every column of the nested rows, and what SQL says of it.
+FACT_NAMES = ["url", "initial_domain", "final_domain", "initial_url", "final_url", "ip_address", "http_status", "http_status_text", "response_time_seconds", "title", "description", "meta_robots", "body_sha256", "content_length", "http_version", "canonical_url", "tls_version", "ssl_cert_subject", "ssl_cert_issuer", "ssl_cert_valid_to_ms", "key_algorithm", "cert_fingerprint_sha256", "spf_record", "dmarc_record", "observed_at_ms", "run_id"]
+PARQUET = {name: name for name in FACT_NAMES} | {
+    "reverse_dns": "reverse_dns_name", "content_type": "'text/html'", "body_truncated": "CASE WHEN body_truncated THEN true END", "cipher_suite": "'X'", "redirect_count": "coalesce(chain_n, 0)::INTEGER", "final_redirect_url": "coalesce(last, '')",
+    "redirect_chain": JSON.format("list_transform(chain_l, lambda x: {'redirect_url': x.redirect_url, 'sequence_order': x.sequence_order})"), "technology_count": "coalesce(tech_n, 0)::INTEGER", "technologies": JSON.format("tech_l"), "certificate_sans": JSON.format("san_l"), "nameservers": JSON.format("ns_l"),
+    "oids": "coalesce(oid_s, '')", "cname_records": "coalesce(cname_s, '')", "ipv6_addresses": "coalesce(six_s, '')", "caa_records": "coalesce(caa_s, '')", "txt_records": "coalesce(txt_s, '')", "mx_records": "coalesce(mx_s, '')", "analytics_ids": "coalesce(ana_s, '')", "social_media_links": "coalesce(soc_s, '')",
+    "structured_data": "coalesce(sd_s, '')", "http_headers": "coalesce(http_s, '')", "security_headers": "coalesce(sec_s, '')", "partial_failures": "coalesce(fail_s, '')", "contact_links": "coalesce(con_s, '')", "exposed_secrets": "coalesce(sct_s, '')", "contact_link_count": "coalesce(con_n, 0)::INTEGER", "exposed_secret_count": "coalesce(sct_n, 0)::INTEGER",
+    "geoip_country_code": "country_code", "geoip_country_name": "country_name", "geoip_region": "region", "geoip_city": "city", "geoip_latitude": "NULL::DOUBLE", "geoip_longitude": "NULL::DOUBLE", "geoip_asn": "NULL::BIGINT", "geoip_asn_org": "NULL::VARCHAR",
+    "whois_registrar": "registrar", "whois_creation_date_ms": "creation_date_ms", "whois_expiration_date_ms": "NULL::BIGINT", "whois_registrant_country": "registrant_country", "favicon_hash": "CASE WHEN id % 2 = 1 THEN (id % 77 - 30)::INTEGER END", "favicon_url": "CASE WHEN id % 2 = 1 THEN concat('https://i/', id) END",
+}
+
+
+@query("export_parquet", f"SELECT {', '.join(f'{v} AS {k}' for k, v in PARQUET.items())}, coalesce(soc_i, '') AS identifiers FROM rows")
 def _(t):
     rows = export.parquet_rows(export.wide(tables(t)))
-    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias(c)
-    mx = F.array_join(F.transform("mx_records", lambda m: F.concat_ws(":", m["priority"].cast("string"), m["mail_exchange"])), ",")
+    shown = {
+        **{c: as_json(c) for c in ("redirect_chain", "technologies", "certificate_sans", "nameservers")}, "oids": listing("oids", ","), "cname_records": listing("cname_records", ", "), "ipv6_addresses": listing("ipv6_addresses", ", "), "caa_records": listing("caa_records", ", ", "flag", "tag", "value", between=" "),
+        "txt_records": listing("txt_records", ",", "record_type", "content", between="|"), "mx_records": listing("mx_records", ",", "priority", "mail_exchange"), "analytics_ids": listing("analytics_ids", ",", "provider", "tracking_id"), "social_media_links": listing("social_media_links", ",", "platform", "url"),
+        "structured_data": listing("structured_data", ",", "data_type", "property_name", "property_value", between="|"), "http_headers": listing("http_headers", ";", "name", "value", keep=lambda h: h["name"] != "ETag"), "security_headers": listing("security_headers", ";", "name", "value"),
+        "partial_failures": listing("partial_failures", ",", "error_type", "error_message"), "contact_links": listing("contact_links", ",", "contact_type", "contact_value"), "exposed_secrets": F.array_join(F.transform("exposed_secrets", export.secret_text), "; "),
+    }
+    assert set(rows.columns) == set(PARQUET), set(rows.columns) ^ set(PARQUET)
     who = F.array_join(F.filter(F.transform("social_media_links", lambda s: F.when(s["identifier"].isNotNull(), F.concat_ws(":", s["platform"], s["identifier"]))), lambda x: x.isNotNull()), ",")
-    return rows.select("initial_domain", "run_id", "http_status", "response_time_seconds", "redirect_count", "final_redirect_url", text("redirect_chain"), text("technologies"), text("certificate_sans"), mx.alias("mx"), who.alias("identifiers"), "geoip_country_code", "whois_registrar", "favicon_hash", "exposed_secret_count", "observed_at_ms")
+    return rows.select(*[shown.get(c, F.col(c)).alias(c) for c in rows.columns], who.alias("identifiers"))

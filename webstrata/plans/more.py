@@ -13,6 +13,7 @@ from webstrata.operators import export, extract, geo, secrets, tech, upsert
 from webstrata.plans import summary
 from webstrata.plans.bridge import Star, epoch_ms, say, with_tables
 from webstrata.plans.pages import marked
+from webstrata.sources import urls
 from webstrata.streaming import ingest, metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +203,22 @@ def _(t):
 UNION ALL SELECT DISTINCT doc_id, 'aws-access-key', m, 'critical', 'html_body' FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\bA[KS]IA[0-9A-Z]{16}\b')) AS m FROM documents)""")
 def _(t):
     return secrets.exposed(t.raw("documents"), "doc_id", "text").drop("context")
+
+
+def listed_urls(t):
+    """A list's lines by page_id: the page's URL between blanks, hosts without a scheme, addresses inside, comments and nothing."""
+    k = F.col("page_id")
+    line = F.when(k % 5 == 0, F.concat(F.lit("# "), "url")).when(k % 5 == 1, "").when(k % 5 == 2, F.concat(F.lit("  "), "url", F.lit(" "))).when(k % 5 == 3, say("www.S", k, ".co.uk/x")).otherwise(say("http://10.0.", k % 250, ".1/"))
+    return t.raw("pages").select(line.alias("value"))
+
+
+@query("url_list", r"""SELECT url AS line, url, regexp_extract(url, '([a-z0-9-]+\.[a-z]+)(/|$|:|\?)', 1) AS domain, true AS allowed FROM pages WHERE page_id % 5 = 2
+UNION ALL SELECT 'www.S' || page_id || '.co.uk/x', 'https://www.S' || page_id || '.co.uk/x', 's' || page_id || '.co.uk', true FROM pages WHERE page_id % 5 = 3
+UNION ALL SELECT 'http://10.0.' || page_id % 250 || '.1/', 'http://10.0.' || page_id % 250 || '.1/', '10.0.' || page_id % 250 || '.1', false FROM pages WHERE page_id % 5 = 4""")
+def _(t):
+    return urls.described(urls.lines(listed_urls(t)))
+
+
+@query("url_list_count", "SELECT count(*) AS n FROM pages WHERE page_id % 5 > 1")
+def _(t):
+    return urls.lines(listed_urls(t)).agg(F.count("*").alias("n"))
