@@ -94,13 +94,34 @@ def _(t):
 JSON = "coalesce(to_json({0})::VARCHAR, '[]')"
 
 
-@query("export_jsonl", f"""SELECT initial_domain, run_id, http_status::VARCHAR AS status, response_time_seconds AS response_time, description, body_truncated::VARCHAR AS truncated, {JSON.format("chain_l")} AS redirect_chain, {JSON.format("tech_l")} AS technologies, coalesce(tech_n, 0)::VARCHAR AS technology_count, ssl_cert_subject AS subject, ssl_cert_valid_to_ms::VARCHAR AS valid_to, {JSON.format("san_l")} AS sans,
-{JSON.format("ns_l")} AS nameservers, {JSON.format("mx_l")} AS mx_records, coalesce(sd_n, 0)::VARCHAR AS structured_count, country_code AS country, registrar, CASE WHEN id % 2 = 1 THEN (id % 77 - 30)::VARCHAR END AS icon, {JSON.format("sct_l")} AS secrets, observed_at_ms::VARCHAR AS timestamp FROM rows""")
+#: Places of the JSON lines, and what SQL says of each as text.
+PLACES = {
+    **{n: n for n in ("url", "initial_domain", "final_domain", "initial_url", "final_url", "ip_address", "title", "description", "meta_robots", "body_sha256", "http_version", "canonical_url", "spf_record", "dmarc_record", "run_id")}, "reverse_dns": "reverse_dns_name", "status": "http_status::VARCHAR", "status_description": "http_status_text",
+    "content_length": "content_length::VARCHAR", "content_type": "'text/html'", "body_truncated": "body_truncated::VARCHAR", "redirect_count": "coalesce(chain_n, 0)::VARCHAR", "final_redirect_url": "coalesce(last, '')", "redirect_chain": JSON.format("chain_l"), "technologies": JSON.format("tech_l"), "technology_count": "coalesce(tech_n, 0)::VARCHAR",
+    "tls.version": "tls_version", "tls.cipher_suite": "'X'", "tls.key_algorithm": "key_algorithm", "tls.cert_fingerprint_sha256": "cert_fingerprint_sha256", "tls.certificate.subject": "ssl_cert_subject", "tls.certificate.issuer": "ssl_cert_issuer", "tls.certificate.valid_to": "ssl_cert_valid_to_ms::VARCHAR", "tls.certificate.sans": JSON.format("san_l"), "tls.certificate.san_count": "coalesce(san_n, 0)::VARCHAR",
+    "dns.nameservers": JSON.format("ns_l"), "dns.nameserver_count": "coalesce(ns_n, 0)::VARCHAR", "dns.txt_record_count": "coalesce(txt_n, 0)::VARCHAR", "dns.mx_records": JSON.format("mx_l"), "dns.mx_record_count": "coalesce(mx_n, 0)::VARCHAR", "dns.cname_count": "coalesce(cname_n, 0)::VARCHAR", "dns.ipv6_count": "coalesce(six_n, 0)::VARCHAR", "dns.caa_count": "coalesce(caa_n, 0)::VARCHAR",
+    "analytics_count": "coalesce(ana_n, 0)::VARCHAR", "social_media_count": "coalesce(soc_n, 0)::VARCHAR", "structured_data.count": "coalesce(sd_n, 0)::VARCHAR", "http_header_count": "coalesce(http_n, 0)::VARCHAR", "security_header_count": "coalesce(sec_n, 0)::VARCHAR", "geoip.country_code": "country_code", "geoip.country_name": "country_name", "geoip.region": "region", "geoip.city": "city",
+    "whois.registrar": "registrar", "whois.creation_date_ms": "creation_date_ms::VARCHAR", "whois.registrant_country": "registrant_country", "favicon.hash": "CASE WHEN id % 2 = 1 THEN (id % 77 - 30)::VARCHAR END", "favicon.url": "CASE WHEN id % 2 = 1 THEN concat('https://i/', id) END", "contact_link_count": "coalesce(con_n, 0)::VARCHAR", "exposed_secret_count": "coalesce(sct_n, 0)::VARCHAR", "timestamp": "observed_at_ms::VARCHAR",
+}
+#: Lists of the JSON lines that SQL has as text: their place, the fields shown, what stands between fields and entries, and SQL's text.
+JSON_LISTS = {
+    "oids": ("tls.certificate.oids", [], "", ",", "oid_s"), "txt_records": ("dns.txt_records", ["record_type", "record_value"], "|", ",", "txt_s"), "cname_records": ("dns.cname_records", [], "", ", ", "cname_s"), "ipv6_addresses": ("dns.ipv6_addresses", [], "", ", ", "six_s"), "caa_records": ("dns.caa_records", ["flag", "tag", "value"], " ", ", ", "caa_s"),
+    "analytics_ids": ("analytics_ids", ["provider", "tracking_id"], ":", ",", "ana_s"), "social_media_links": ("social_media_links", ["platform", "url"], ":", ",", "soc_s"), "structured_types": ("structured_data.types", [], "", ",", "sd_t"), "structured_entries": ("structured_data.entries", ["data_type", "property_name", "property_value"], "|", ",", "sd_s"),
+    "security_headers": ("security_headers", ["name", "value"], ":", ";", "sec_s"), "partial_failures": ("partial_failures", ["error_type", "error_message"], ":", ",", "fail_s"), "contact_links": ("contact_links", ["contact_type", "contact_value"], ":", ",", "con_s"),
+}
+
+
+@query("export_jsonl", f"""SELECT {", ".join(f"{v} AS {k.replace('.', '_')}" for k, v in PLACES.items())}, {", ".join(f"coalesce({v[4]}, '') AS list_{k}" for k, v in JSON_LISTS.items())}, response_time_seconds AS response_time, {JSON.format("sct_l")} AS secrets FROM rows""")
 def _(t):
-    read = lambda path: F.get_json_object("value", path)
-    found = F.transform(F.from_json(read("$.exposed_secrets"), "array<struct<type: string, value: string, jwt_claims: string>>"), lambda s: F.struct(s["type"].alias("type"), s["value"].alias("value"), s["jwt_claims"].isNotNull().alias("claims")))
-    paths = {"initial_domain": "initial_domain", "run_id": "run_id", "status": "status", "description": "description", "truncated": "body_truncated", "redirect_chain": "redirect_chain", "technologies": "technologies", "technology_count": "technology_count", "subject": "tls.certificate.subject", "valid_to": "tls.certificate.valid_to", "sans": "tls.certificate.sans", "nameservers": "dns.nameservers", "mx_records": "dns.mx_records", "structured_count": "structured_data.count", "country": "geoip.country_code", "registrar": "whois.registrar", "icon": "favicon.hash", "timestamp": "timestamp"}
-    return export.json_lines(export.wide(tables(t))).select(*[read(f"$.{p}").alias(n) for n, p in paths.items()], read("$.response_time_ms").cast("double").alias("response_time"), F.to_json(found).alias("secrets"))
+    read = lambda path: F.get_json_object("value", f"$.{path}")
+    found = F.transform(F.from_json(read("exposed_secrets"), "array<struct<type: string, value: string, jwt_claims: string>>"), lambda s: F.struct(s["type"].alias("type"), s["value"].alias("value"), s["jwt_claims"].isNotNull().alias("claims")))
+
+    def text(path: str, fields: list[str], between: str, sep: str) -> Column:
+        items = F.from_json(read(path), f"array<struct<{', '.join(f'{f}: string' for f in fields)}>>" if fields else "array<string>")
+        return F.array_join(F.transform(items, lambda s: F.concat_ws(between, *[s[f] for f in fields]) if fields else s), sep)
+
+    lists = [text(*v[:4]).alias(f"list_{k}") for k, v in JSON_LISTS.items()]
+    return export.json_lines(export.wide(tables(t))).select(*[read(p).alias(p.replace(".", "_")) for p in PLACES], *lists, read("response_time_ms").cast("double").alias("response_time"), F.to_json(found).alias("secrets"))
 
 
 def listing(name: str, sep: str, *fields: str, between: str = ":", keep=None) -> Column:
