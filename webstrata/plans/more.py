@@ -100,19 +100,31 @@ def _(t):
     return ingest.released(t.raw("events").select("event_id", "user_id", (at - F.pmod(at, F.lit(60_000))).alias("came")), "user_id", "came", 5, 3).select("event_id", "start_ms")
 
 
+def members(rows: DataFrame, key: str, n: str) -> DataFrame:
+    """The rows of keys that more than one row has, with their number: nothing is collected into one row, however many share a key."""
+    return rows.join(rows.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1), key)
+
+
 @query("same_body_members", "SELECT body_sha256, cnt, final_domain FROM (SELECT body_sha256, final_domain, count(*) OVER (PARTITION BY body_sha256) AS cnt FROM url_status WHERE body_sha256 IS NOT NULL) WHERE cnt > 1")
 def _(t):
-    """The classes of equal bodies as rows: nothing is collected into one, however many sites share a body."""
-    rows = t.url_status.where("body_sha256 IS NOT NULL").select("body_sha256", "final_domain")
-    classes = rows.groupBy("body_sha256").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    return rows.join(classes, "body_sha256").select("body_sha256", "cnt", "final_domain")
+    return members(t.url_status.where("body_sha256 IS NOT NULL").select("body_sha256", "final_domain"), "body_sha256", "cnt")
+
+
+@query("same_fingerprint_members", "SELECT cert_fingerprint_sha256, cnt, final_domain FROM (SELECT cert_fingerprint_sha256, final_domain, count(*) OVER (PARTITION BY cert_fingerprint_sha256) AS cnt FROM url_status WHERE cert_fingerprint_sha256 IS NOT NULL) WHERE cnt > 1")
+def _(t):
+    rows = t.url_status.where("cert_fingerprint_sha256 IS NOT NULL").select("cert_fingerprint_sha256", "final_domain")
+    return members(rows, "cert_fingerprint_sha256", "cnt")
+
+
+@query("shared_certificate_members", "SELECT san_value, domain_count, final_domain FROM (SELECT san_value, final_domain, count(*) OVER (PARTITION BY san_value) AS domain_count FROM (SELECT DISTINCT san_value, final_domain FROM url_certificate_sans s JOIN url_status u ON s.url_status_id = u.id)) WHERE domain_count > 1")
+def _(t):
+    names = t.url_certificate_sans.join(t.url_status.select(F.col("id").alias("url_status_id"), "final_domain"), "url_status_id")
+    return members(names.select("san_value", "final_domain").distinct(), "san_value", "domain_count")
 
 
 @query("same_text_members", "SELECT body_sha256, cnt, doc_id FROM (SELECT sha256(text) AS body_sha256, doc_id, count(*) OVER (PARTITION BY sha256(text)) AS cnt FROM documents WHERE strlen(text) > 0) WHERE cnt > 1")
 def _(t):
-    rows = t.raw("documents").where(F.octet_length("text") > 0).select(S.body_sha256("text").alias("body_sha256"), "doc_id")
-    classes = rows.groupBy("body_sha256").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    return rows.join(classes, "body_sha256").select("body_sha256", "cnt", "doc_id")
+    return members(t.raw("documents").where(F.octet_length("text") > 0).select(S.body_sha256("text").alias("body_sha256"), "doc_id"), "body_sha256", "cnt")
 
 
 @query("events_per_second", f"SELECT {EVENT_MS} AS start_ms, count(*) AS n FROM events GROUP BY 1")
