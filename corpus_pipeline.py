@@ -7,13 +7,16 @@ texts are copies, and of rows equal in both one stays after stage 2. Null source
 id, then to the order of texts. Empty tables give empty results. Columns of other names than those of documents are dropped
 by stage 1, whatever their names.
 
-A stage's working tables last until the next stage begins, so its result is to be written before that, as run() does. SQL
-can't express the pipeline (stages 1, 2, 3 and 5 are fitted or iterative), so ORACLE_SQL is None and tests hold each stage
-against a plain version.
+A stage's working tables last until the next stage of the same run begins, so its result is to be written before that, as
+run() does; those of other runs are left alone, and the last stage's last as long as the session. SQL can't express the
+pipeline (stages 1, 2, 3 and 5 are fitted or iterative), so ORACLE_SQL is None and tests hold each stage against a plain
+version.
 """
 
 from __future__ import annotations
 
+import contextvars
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -29,15 +32,18 @@ LEAST_SCORE = 0.4
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: The run that stages belong to; stages that are called by themselves are one run.
+RUN = contextvars.ContextVar("run", default="by itself")
 
 
 def stage(plan: Stage) -> Stage:
-    """A stage that first drops the working tables of the one before it, whose result has been written."""
+    """A stage that first drops the working tables of the one before it in its run, whose result has been written."""
 
     @wraps(plan)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        sweep(spark, "stage")
-        with owned("stage"):
+        owner = f"stages of {RUN.get()}"
+        sweep(spark, owner)
+        with owned(owner):
             return plan(spark, docs, sf_dir)
 
     return run
@@ -87,7 +93,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, plan in STAGES[:-1]:
-        docs = cut(plan(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    token = RUN.set(uuid.uuid4().hex)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for _, plan in STAGES[:-1]:
+            docs = cut(plan(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        RUN.reset(token)
