@@ -64,3 +64,21 @@ def test_rows_without_ids_of_their_own(spark, tmp_path):
         kept[name] = docs.count()
     assert kept["language_id"] == kept["simhash_near_dedup"] == kept["substring_dedup"] == 60
     assert other.count() == 60
+
+
+def test_runs_leave_each_other_alone(spark, tmp_path, monkeypatch):
+    """Two lazy results are both readable, and within a run a stage's tables go when the next begins."""
+    from webstrata.llm.common import WRITTEN, cut
+
+    spark.createDataFrame([(1, "a", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    working = P.stage(lambda s, docs, path: cut(docs))
+    monkeypatch.setattr(P, "STAGES", [("one", working), ("two", working), ("three", working)])
+    before = len(WRITTEN)
+    one = P.run(spark, str(tmp_path))
+    assert one.count() == 1
+    two = P.run(spark, str(tmp_path))
+    assert one.count() == two.count() == 1
+    owners = [o for o in WRITTEN if o.startswith("stages of")]
+    assert len(owners) >= 2 and all(len(WRITTEN[o]) == 1 for o in owners[-2:]) and len(WRITTEN) >= before
+    by_itself = working(spark, spark.range(1), "")
+    assert by_itself.count() == 1 and one.count() == 1
