@@ -30,8 +30,8 @@ class Events(Tokenizer):
 @pytest.mark.parametrize(
     ("body", "title"),
     [
-        ("<html><head><title>Test Page</title></head><body></body></html>", "Test Page"), ("<title>\n    Test Page\n  </title>", "Test Page"), ("<title>Test &amp; Page &lt;Title&gt;</title>", "Test & Page <Title>"), ("<title></title>", ""), ("<html><head></head></html>", ""),
-        ("<title>First</title><title>Second</title>", "First"), ("<title><!-- literally text, not a comment --></title>", "<!-- literally text, not a comment -->"), ("<title>a <b>bold</b> move</title>", "a <b>bold</b> move"), ("<TITLE>x</TiTlE >y", "x"), ("<title>no end", "no end"),
+        ("<html><head><title>Our Shop</title></head><body></body></html>", "Our Shop"), ("<title>\n    Our Shop\n  </title>", "Our Shop"), ("<title>Salt &amp; Pepper &lt;Shop&gt;</title>", "Salt & Pepper <Shop>"), ("<title></title>", ""), ("<html><head></head></html>", ""),
+        ("<title>one</title><title>two</title>", "one"), ("<title><!-- stays --> as it is</title>", "<!-- stays --> as it is"), ("<title>a <b>bold</b> move</title>", "a <b>bold</b> move"), ("<TITLE>x</TiTlE >y", "x"), ("<title>no end", "no end"),
         ("<title>a</titles></title>", "a</titles>"), ("<textarea><title>no</title></textarea><title>yes</title>", "yes"), ("<style><title>no</title></style><title>yes</title>", "yes"), ("<script>'<title>no</title>'</script><title>yes</title>", "yes"), ("<!-- <title>no</title> --><title>yes</title>", "yes"),
         ("<title>1 &lt 2 &copy 3 &#x41;&#66;</title>", "1 < 2 © 3 AB"), ("<title>\r\na\rb</title>", "a\nb"),
     ],
