@@ -84,3 +84,9 @@ def test_words_that_share_a_hash_keep_their_own_ids():
     texts += [" ".join(["one", *texts, "two", *texts[::-1]]), "three"]
     for _ in range(2):
         assert [bytes(x) for x in encode([t.encode() for t in texts])] == [library(t) for t in texts]
+
+
+def test_a_packing_at_the_bound_is_not_searched_again():
+    size = [600, 400] * 50
+    best = [[2 * k, 2 * k + 1] for k in range(50)]
+    assert P.evolve(size, 1000, 1, [[[i] for i in range(100)], best]) is best

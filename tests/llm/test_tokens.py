@@ -46,3 +46,17 @@ def test_ids_of_batches_match_the_library(library, monkeypatch):
         part = all_texts[k : k + 50]
         for text, data in zip(part, encoder.encode([t.encode() for t in part]), strict=True):
             assert memoryview(data).cast("I").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_words_are_known_in_any_case_and_before_any_sign(library):
+    """Case and the signs after a word make no new words, but composition, special tokens and signs that are no letters are kept apart."""
+    from webstrata.llm import bpe
+
+    encoder = bpe.BatchEncoder(vocabulary_path())
+    text = "étant ÉTANT Étant, étant. étant!! été ÉTÉ; word Word WORD, (word) word's WORD'S"
+    odd = "H̱a ẖa á, Á, <|endoftext|> <|ENDOFTEXT|> x<|endoftext|>, a×, A÷. …! a…! İ, K K"
+    for t in (text, odd, f"{text} {odd}"):
+        assert memoryview(encoder.encode([t.encode()])[0]).cast("I").tolist() == library.encode(t, add_special_tokens=False).ids
+    known = encoder.memo.n
+    encoder.encode(["eTANT, ÉTANT# WORD. Word) été. ÉTÉ!!".encode()])
+    assert encoder.memo.n == known + 2  # etant and #

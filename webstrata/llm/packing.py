@@ -106,28 +106,33 @@ def exchange(displaced: list[int], size: list[int], capacity: int, bins: Packing
     """Displaced pieces take the places of one or two smaller ones in bins that they fill better; returns what is displaced then.
     Small pieces are left over, which best fit places more easily. At most SWAPS bins are looked at. Changes bins and fill."""
     loose = [b for b, used in enumerate(fill) if used < capacity]
+    displaced.sort(key=size.__getitem__)
+    sizes = [size[i] for i in displaced]
     for b in rng.sample(loose, min(len(loose), SWAPS)):
         if not displaced:
             break
-        displaced.sort(key=lambda i: size[i])
-        sizes, own, room, best = [size[i] for i in displaced], bins[b], capacity - fill[b], (0, None, None)
+        own, room, best = bins[b], capacity - fill[b], (0, None, None)
         few = rng.sample(own, 8) if len(own) > 8 else own
         for out in [*combinations(few, 1), *combinations(few, 2)]:
-            gone = sum(size[i] for i in out)
+            gone = size[out[0]] if len(out) == 1 else size[out[0]] + size[out[1]]
             at = bisect_right(sizes, gone + room) - 1
             if at >= 0 and sizes[at] - gone > best[0]:
                 best = (sizes[at] - gone, out, at)
+                if best[0] == room:
+                    break
         if best[1]:
             put = displaced.pop(best[2])
             bins[b] = [*(i for i in own if i not in best[1]), put]
             fill[b] += best[0]
             displaced += best[1]
+            displaced.sort(key=size.__getitem__)
+            sizes = [size[i] for i in displaced]
     return displaced
 
 
 def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: random.Random) -> tuple[Packing, list[int]]:
     """A child of a with a random run of b's best-filled bins."""
-    ranked = sorted(b, key=lambda g: -sum(size[i] for i in g))
+    ranked = sorted(b, key=lambda g: -sum([size[i] for i in g]))
     share = max(1, len(b) // rng.choice((3, 4, 6, 8)))
     injected = rng.sample(ranked[: max(share, (len(b) * 3) // 4)], share)
     taken = {i for g in injected for i in g}
@@ -137,10 +142,11 @@ def crossover(a: Packing, b: Packing, size: list[int], capacity: int, rng: rando
             bins.append(list(g))
         else:
             displaced += [i for i in g if i not in taken]
-    loose = sorted((k for k in range(len(bins)) if sum(size[i] for i in bins[k]) < capacity - 8), key=lambda k: sum(size[i] for i in bins[k]))[:2]
+    fill = [sum([size[i] for i in g]) for g in bins]
+    loose = sorted((k for k, used in enumerate(fill) if used < capacity - 8), key=fill.__getitem__)[:2]
     for k in sorted(loose, reverse=True):  # a small mutation: the loosest bins are dealt again too
         displaced += bins.pop(k)
-    fill = [sum(size[i] for i in g) for g in bins]
+        fill.pop(k)
     displaced = exchange(displaced, size, capacity, bins, fill, rng)
     displaced.sort(key=lambda i: -size[i])
     best_fit(displaced, size, capacity, bins, fill)
@@ -153,6 +159,8 @@ def evolve(size: list[int], capacity: int, seed: int, elite: list[Packing], popu
     n, bound = len(size), -(-sum(size) // capacity)
     pool = []
     for bins in elite:
+        if len(bins) == bound:
+            return bins
         pool.append((bins, [sum(size[i] for i in g) for g in bins]))
     while len(pool) < population:
         noise = 0.0 if not pool else 0.02 * len(pool)
