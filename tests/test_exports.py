@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from webstrata.operators import export
-from webstrata.plans import exports
+from webstrata.plans import exports, nested
 from webstrata.plans.bridge import Star
 
 DATA = "/root/testdata/sf0.001"
@@ -35,7 +35,7 @@ def test_nested_rows_are_those_of_tables(spark, odd):
     assert any(x.count('"jwt_claims":{') > 1 for x in ours)
 
 
-@pytest.mark.parametrize("name", ["export_jsonl"])
+@pytest.mark.parametrize("name", ["export_jsonl", "export_parquet"])
 def test_lines_are_read_and_sent_once(spark, name):
     plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1 and plan.count("REPARTITION_BY_NUM") == 1 and plan.count("SortMergeJoin") == 0
@@ -53,3 +53,11 @@ def test_of_a_nested_satellite_a_row_has_the_first(spark, monkeypatch):
     assert [tuple(r) for r in row["caa_records"]] == [(0, "s", "x"), (2, "s", "y")] and row["caa_records_count"] == 3
     assert row["technologies"] == [] and row["technologies_count"] == 0 and row["oids"] == []
     assert export.wide(export.Nested(url_status=facts), include_implied=True).first()["technologies_count"] == 1
+
+
+def test_large_lookups_give_the_same_rows(spark, odd, monkeypatch):
+    """Parts and suppliers that are too many to go to every task are joined by their keys."""
+    want = lines_of(exports.whole(Star(spark, odd)))
+    monkeypatch.setattr(nested, "FEW", 0)
+    monkeypatch.setattr(nested, "LINES", 1000)
+    assert lines_of(exports.whole(Star(spark, odd))) == want
