@@ -35,7 +35,7 @@ def test_nested_rows_are_those_of_tables(spark, odd):
     assert any(x.count('"jwt_claims":{') > 1 for x in ours)
 
 
-@pytest.mark.parametrize("name", ["export_jsonl", "export_parquet"])
+@pytest.mark.parametrize("name", ["export_jsonl", "export_parquet", "export_csv"])
 def test_lines_are_read_and_sent_once(spark, name):
     plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1 and plan.count("REPARTITION_BY_NUM") == 1 and plan.count("SortMergeJoin") == 0
